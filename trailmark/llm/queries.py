@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, mixing, quality
+from trailmark.llm import exact_dedup, language_id, lm, mixing, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -23,13 +27,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("doc_id", *figures, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("row.doc_id", "row.source", "row.lang", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "drawn")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op7_mixing)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
