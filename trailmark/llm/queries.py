@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, language_id, lm, mixing, quality
+from trailmark.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, sentencepiece_scan, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
@@ -31,13 +35,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_scan.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    decoded = sentencepiece_scan.decode(encoded)
+    return decoded.select("doc_id", "n_pieces", F.round("score", 3).alias("score"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("row.doc_id", "row.source", "row.lang", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "drawn")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op7_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
