@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, sentencepiece_scan, token_counts
+from trailmark.llm import exact_dedup, language_id, licenses, lm, mixing, ngram_join, passages, quality, sentencepiece_scan, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +46,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "row.lang", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "drawn")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("likeness", 4).alias("likeness"), "confirmed", "notice")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op8_license_scan, op9_substring_dedup, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
