@@ -40,7 +40,7 @@ THRESHOLD = Fraction(8, 10)
 RECALL = 0.99
 LEAST_LINE = 24
 LEAST_SENTENCE = 6
-LEAST_SPAN = 30
+LEAST_SPAN = 25
 CUT = 64
 
 
