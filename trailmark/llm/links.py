@@ -1,22 +1,31 @@
 """Connected groups from candidate tiles, without all pairs of a tile.
 
-A tile is a set of items that share a key.  Two items may be linked only if some tile holds both.  The groups depend on
-the links but need not have all of them looked at: a few hubs of every tile are compared with the tile's other members,
-linked items are merged, and only tiles that still hold different groups go on, without their hubs and with four times
-as many hubs in the next round.  A hub has then met every member of its tile that is not in its group already, so
-nothing is lost, and a tile of n copies costs n comparisons.
+A tile is a set of items that share a key.  Two items may be linked only if some tile holds both.
+
+1. Every item of a tile is compared with the tile's smallest one; what is linked becomes one group.  That is a row for
+   each place in a tile, however large it is, and settles groups of copies of one original.
+2. Tiles that still hold several groups, without their smallest items (which have met all others), are put together
+   where they share items.  Each such cluster is cut into blocks of at most ``BLOCK`` elements, and each pair of blocks
+   is one task's work: all pairs of different groups, by bitmaps first, and nothing once two groups are linked.
+
+So no link between two groups is lost; within a group not every link is looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailmark.llm.sets import linking, verified
 from trailmark.llm.store import Scratch
 
+#: Elements of a block of a cluster, eight bytes each.
+BLOCK = 500_000
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the smallest node reachable) for every node of edges (a, b).
@@ -33,10 +42,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = scratch.save(small.filter("u > v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == mark:
+        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.count_distinct("u")).first()
+        # As many edges as nodes with a smaller neighbour, and no such neighbour has one itself: all are stars.
+        if now[:2] == mark or (now[0] == now[2] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
             break
-        mark = now
+        mark = now[:2]
     low = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = low.select(F.col("label").alias("node")).distinct()
     return low.unionByName(roots.select("node", F.col("node").alias("label")))
@@ -48,31 +58,35 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.withColumn("low", F.min("c").over(w)).withColumn("high", F.max("c").over(w)).filter("low < high").select("key", "c")
 
 
-def groups(tiles: DataFrame, linked: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def groups(tiles: DataFrame, elements: DataFrame, threshold: Fraction, scratch: Scratch, possible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, label for all items that are linked with another one.
 
-    tiles: (key, c), saved.  linked: from pairs (a, b) the pairs that are links.
+    tiles: (key, c); elements: (c, e), the sorted elements of every item; both saved.  possible: a cheap filter of pairs
+    (a, b) that never drops a link.
     """
-    rest = tiles.select("key", "c", F.col("c").alias("g"))
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    hubs = 1
-    while True:
-        ranked = scratch.save(rest.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("c"))), "tiles")
-        hub = ranked.filter(F.col("k") <= hubs).select("key", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("k").alias("ka"))
-        pairs = hub.join(ranked, "key").filter((F.col("k") > F.col("ka")) & (F.col("g") != F.col("ga"))).select("a", F.col("c").alias("b")).distinct()
-        found = scratch.save(linked(pairs).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.isEmpty():
-            labels = scratch.save(components(edges, scratch), "labels")
-        left = ranked.filter(F.col("k") > hubs).select("key", "c")
-        if labels is not None:
-            left = left.join(labels.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("label", "c").alias("g"))
-        else:
-            left = left.select("key", "c", F.col("c").alias("g"))
-        w = Window.partitionBy("key")
-        rest = scratch.save(left.withColumn("lo", F.min("g").over(w)).withColumn("hi", F.max("g").over(w)).filter("lo < hi").select("key", "c", "g"), "rest")
-        if rest.isEmpty():
-            break
-        hubs *= 4
-    return labels if labels is not None else tiles.select(F.col("c").alias("node"), F.col("c").alias("label")).limit(0)
+    low = tiles.groupBy("key").agg(F.min("c").alias("a"))
+    pairs = tiles.join(low, "key").filter("c <> a").select("a", F.col("c").alias("b")).distinct()
+    stars = scratch.save(verified(possible(pairs) if possible else pairs, elements, threshold).distinct(), "stars")
+    near = stars.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("g"))
+    near = near.join(near.select(F.col("c").alias("g"), F.col("g").alias("gg")), "g", "left").select("c", F.coalesce("gg", "g").alias("g"))
+    left = tiles.join(low, "key").filter("c <> a").select("key", "c").join(near, "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
+    w = Window.partitionBy("key")
+    rest = left.withColumn("lo", F.min("g").over(w)).withColumn("hi", F.max("g").over(w)).filter("lo < hi").withColumn("first", F.min("c").over(w))
+    rest = scratch.save(rest.select("c", "g", "first").distinct(), "rest")
+    edges = stars
+    if not rest.isEmpty():
+        # Clusters hold whole groups' members only as far as they share unsettled tiles.
+        cluster = components(rest.select(F.col("c").alias("a"), F.col("first").alias("b")), scratch).select(F.col("node").alias("c"), F.col("label").alias("cluster"))
+        members = rest.select("c", "g").distinct().join(cluster, "c").join(elements, "c")
+        sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("e") / 8) / BLOCK).alias("blocks"))
+        members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        paired = members.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        more = paired.groupBy("cluster", "i", "j").applyInPandas(_linked(threshold), "a long, b long")
+        edges = stars.unionByName(scratch.save(more, "links"))
+    return scratch.save(components(edges, scratch), "labels")
+
+
+def _linked(threshold: Fraction):
+    link = linking(threshold)
+    return lambda pdf: link(pdf[["block", "c", "g", "e"]])

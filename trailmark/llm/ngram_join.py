@@ -6,7 +6,7 @@ into which hashing deals the elements, two blocks at least are alike in both.  A
 block alike under the scheme of a band; a set belongs to its own band's scheme, and to the next one's if a similar set
 may lie there.  (An empty block is a key only of sets with two or more empty blocks: otherwise a full block is alike.)
 
-In a tile, ``links.groups`` compares hubs with members.  A pair is compared first by bitmaps of hashed elements, whose
+In the tiles, ``links.groups`` finds what is linked.  A pair is compared first by bitmaps of hashed elements, whose
 differing bits bound the overlap from above, and then, if the bound allows a link, by intersecting the sorted arrays.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text with fewer words than n has its whole sequence as one
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import links
+from trailmark.llm.sets import bitmap, bounded, differing
 from trailmark.llm.shingles import WordHashes, as_long, mixed, windows
 from trailmark.llm.store import Scratch
 
@@ -44,11 +45,6 @@ def bands(most: int) -> list[int]:
     return starts
 
 
-def differing(threshold: Fraction, a: int, b: int) -> int:
-    """The most elements in which similar sets of sizes a and b differ."""
-    return math.floor((1 - threshold) / (1 + threshold) * (a + b))
-
-
 def element_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     words = text.lower().split() if text else []
     return np.unique(windows(hashes.array(words), n))
@@ -59,24 +55,6 @@ def class_of(elements: np.ndarray) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def bitmap(elements: np.ndarray) -> bytes:
-    """A bit for each element, by its highest bits, in a field at least twice as large as the set."""
-    width = max(8, (2 * len(elements) - 1).bit_length())
-    field = np.zeros(1 << width, bool)
-    field[(elements >> np.uint64(64 - width)).astype(np.int64)] = True
-    return np.packbits(field).tobytes()
-
-
-def bits_apart(a: bytes, b: bytes) -> int:
-    """Bits that differ; the longer field is folded to the shorter one's width first."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = np.packbits(np.unpackbits(x).reshape(len(y) * 8, -1).any(1))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def tile_keys(elements: np.ndarray, threshold: Fraction, starts: list[int]) -> np.ndarray:
     size = len(elements)
     while starts[-1] <= math.floor(size / threshold):
@@ -116,7 +94,7 @@ def signatures(n: int, threshold: Fraction):
                     e = element_set(x.as_py(), n, hashes)
                     sizes.append(len(e))
                     classes.append(class_of(e) if len(e) else None)
-                    maps.append(bitmap(e) if len(e) else None)
+                    maps.append(bitmap(e).tobytes() if len(e) else None)
                     keys.append(as_long(tile_keys(e, threshold, starts)) if len(e) else np.zeros(0, np.int64))
                 offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
@@ -141,43 +119,6 @@ def arrays(n: int):
     return run
 
 
-def bounded(threshold: Fraction):
-    """Pairs (a, b, na, nb, bits of both) that the bitmaps do not rule out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            ok = [i for i in range(len(a)) if bits_apart(x[i], y[i]) <= differing(threshold, na[i], nb[i])]
-            yield batch.select([0, 1]).take(pa.array(ok, pa.int64()))
-
-    return run
-
-
-def similar(threshold: Fraction):
-    """Pairs (a, b, sorted elements of both) whose Jaccard similarity is at least the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                e, f = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([e, f])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if threshold.denominator * shared >= threshold.numerator * (len(both) - shared):
-                    ok.append(i)
-            yield batch.select([0, 1]).take(pa.array(ok, pa.int64()))
-
-    return run
-
-
-def verified(pairs: DataFrame, elements: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) that are links, by exact intersection; elements: (c, e)."""
-    left = elements.select(F.col("c").alias("a"), F.col("e").alias("ea"))
-    right = elements.select(F.col("c").alias("b"), F.col("e").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(similar(threshold), "a long, b long")
-
-
 def classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, c) of every row, and (c, label) of every class that is linked with another class."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -195,13 +136,12 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: Fracti
     elements = scratch.save(texts.mapInArrow(arrays(n), "c long, e binary"), "elements")
     bits = scratch.save(signed.join(wanted, (signed["c"] == wanted["c"]) & signed["id"].eqNullSafe(wanted["first"])).select(signed["c"], "n", "bits"), "bits")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def possible(pairs: DataFrame) -> DataFrame:
         left = bits.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
         right = bits.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        possible = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded(threshold), "a long, b long")
-        return verified(possible, elements, threshold).distinct()
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded(threshold), "a long, b long")
 
-    return members, links.groups(tiles, linked, scratch)
+    return members, links.groups(tiles, elements, threshold, scratch, possible)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:

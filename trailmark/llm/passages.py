@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trailmark.llm import links
-from trailmark.llm.ngram_join import verified
 from trailmark.llm.shingles import HELD, WordHashes, as_long, mixed, windows
 from trailmark.llm.store import Scratch
 
@@ -180,7 +179,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     wanted = sources.groupBy("id").agg(F.collect_set("c").alias("wanted"))  # lines of one document
     elements = rows.join(wanted.hint("shuffle_hash"), "id").select("wanted", "text").mapInArrow(_elements, "c long, e binary")
     elements = scratch.save(elements, "elements")
-    labels = links.groups(tiles, lambda pairs: verified(pairs, elements, THRESHOLD).distinct(), scratch)
+    labels = links.groups(tiles, elements, THRESHOLD, scratch)
     labels = labels.select(F.col("node").alias("c"), "label")
     # Classes and components in two documents or more.
     one = found.select("rid", "id", F.explode(F.arrays_zip("start", "size", "c")).alias("u")).select("rid", "id", F.col("u.start").alias("start"), F.col("u.size").alias("size"), F.col("u.c").alias("c"))
