@@ -30,7 +30,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the documents that are left."""
-    return sentencepiece_scan.encode(docs).select("doc_id", "lang", "source", "n_pieces", "ids")
+    return sentencepiece_scan.encode(docs, keep=["doc_id", "lang", "source"], check=True)
 
 
 STAGES = [

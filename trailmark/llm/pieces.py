@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 
 #: A public vocabulary; any SentencePiece model with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nodes that a trie holds before it starts afresh.
-NODES = 400_000
+NODES = 250_000
+#: Segments whose ids are kept at hand.
+SEGMENTS = 100_000
 #: Longer words get a trie of their own, which is dropped with the word.
 LONG = 400
 
@@ -72,8 +75,8 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.best, self.length, self.piece, self.count = [0.0], [0], [-1], [0]
+        self.child: dict[int, int] = {}  # node and character as one number
+        self.best, self.length, self.piece, self.count = array("d", [0.0]), array("h", [0]), array("i", [-1]), array("i", [0])
 
     def full(self) -> bool:
         return len(self.best) > self.most
@@ -84,7 +87,8 @@ class Trie:
         path, node = [0], 0
         for end in range(1, len(s) + 1):
             c = s[end - 1]
-            at = child.get((node, c))
+            step = node * 0x110000 + ord(c)
+            at = child.get(step)
             if at is None:
                 top, length, piece = best[node] + self.v.fallback, 1, -1
                 if c in scores:
@@ -98,7 +102,7 @@ class Trie:
                     if hit is not None and best[path[-k - 1]] + hit[0] > top:
                         top, length, piece = best[path[-k - 1]] + hit[0], k + 1, hit[1]
                 at = len(best)
-                child[node, c] = at
+                child[step] = at
                 best.append(top)
                 self.length.append(length)
                 self.piece.append(piece)
@@ -124,7 +128,7 @@ class Trie:
 
 
 class Encoder(dict):
-    """segment -> (ids, score), by a trie that both start afresh when it is full."""
+    """segment -> (ids, score), by a trie ; both start afresh when they are full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -137,6 +141,7 @@ class Encoder(dict):
             return own.ids(s, path), own.best[path[-1]]
         if self.trie.full():
             self.trie.clear()
+        if len(self) > SEGMENTS:
             self.clear()
         path = self.trie.insert(s)
         self[s] = found = (self.trie.ids(s, path), self.trie.best[path[-1]])

@@ -49,20 +49,33 @@ def _lists(ids: list[list[int] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in ids]))
 
 
-def _encode(vocabulary, at: int):
+def spelled(ids: list[int], texts: dict[int, bytes]) -> bytes:
+    """The bytes of the ids, without the space that encoding puts in front."""
+    return b"".join([texts.get(i, b"") for i in ids]).removeprefix(b" ")
+
+
+def _encode(vocabulary, at: int, keep: list[int], check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
+        texts = vocabulary.value.texts
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                ids, scores = [], []
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
+                ids, scores, same = [], [], []
                 for x in batch.column(at):
                     text = x.as_py()
                     found, score = encode_text(text, encoder) if text is not None else (None, None)
                     ids.append(found)
                     scores.append(score)
+                    if check:
+                        same.append(text is None or spelled(found, texts) == text.encode("utf-8", "replace"))
                 sizes = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, sizes, pa.array(scores, pa.float64()), _lists(ids)], [*batch.schema.names, "n_pieces", "score", "ids"])
+                columns = [*(batch.column(k) for k in keep), sizes, pa.array(scores, pa.float64()), _lists(ids)]
+                names = [*(batch.schema.names[k] for k in keep), "n_pieces", "score", "ids"]
+                if check:
+                    columns.append(pa.array(same, pa.bool_()))
+                    names.append("round_trip")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -210,21 +223,30 @@ def scan(giants: DataFrame, vocabulary, longest: int, scratch: Scratch, chunk: i
     return joined.select("rid", F.size(ids).cast("long").alias("n_pieces"), "score", ids.alias("ids"))
 
 
-def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """The columns of ``df`` with n_pieces, score (natural log-probability) and ids."""
+def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """The columns of ``df``, or those in ``keep``, with n_pieces, score (natural log-probability) and ids.
+
+    With ``check`` also round_trip: whether decoding the ids gives back the text.
+    """
     found: Vocabulary = load(model)
     vocabulary = df.sparkSession.sparkContext.broadcast(found)
-    df = df.drop(*[f.name for f in NEW])
+    new = [*NEW, T.StructField("round_trip", T.BooleanType())] if check else NEW
+    df = df.drop(*[f.name for f in new])
+    keep = [c for c in keep or df.columns if c in df.columns]
     large = F.length(F.col(text_col).cast("string")) > giant
     small = df.filter(F.coalesce(~large, F.lit(True))).withColumn(text_col, F.col(text_col).cast("string"))
-    out = small.mapInArrow(_encode(vocabulary, small.columns.index(text_col)), T.StructType([*small.schema.fields, *NEW]))
+    small = small.select(*dict.fromkeys([*keep, text_col]))
+    places = [small.columns.index(c) for c in keep]
+    out = small.mapInArrow(_encode(vocabulary, small.columns.index(text_col), places, check), T.StructType([*(small.schema[k] for k in places), *new]))
     giants = df.filter(large).withColumn(text_col, F.col(text_col).cast("string"))
     if giants.isEmpty():
         return out
     scratch = Scratch(df.sparkSession, "pieces")
-    giants = scratch.save(giants.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "giants")
-    done = scan(giants.select("rid", F.col("row").getField(text_col).alias("text")), vocabulary, found.longest, scratch, chunk)
-    return out.unionByName(giants.join(done, "rid").select("row.*", *[f.name for f in NEW]))
+    giants = scratch.save(giants.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")), "giants")
+    done = giants.join(scan(giants.select("rid", "text"), vocabulary, found.longest, scratch, chunk), "rid")
+    if check:
+        done = decode(done, model=model).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text")))
+    return out.unionByName(done.select("row.*", *[f.name for f in new]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -235,19 +257,15 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = vocabulary.value.texts
-        most = max(texts) + 1
-        table = [texts.get(i, b"") for i in range(most)]
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
                 out = []
                 for x in batch.column(at):
                     if not x.is_valid:
                         out.append(None)
                         continue
-                    ids = x.values.to_numpy(zero_copy_only=False)
-                    spelled = b"".join([table[i] for i in ids.tolist()]) if not len(ids) or 0 <= ids.min() <= ids.max() < most else b"".join([texts.get(i, b"") for i in ids.tolist()])
-                    out.append(spelled.removeprefix(b" ").decode("utf-8", "replace"))
+                    out.append(spelled(x.as_py(), texts).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
