@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Most labelled rows of a language that the classifiers are fitted on, and most languages (the most frequent ones).
 SAMPLE = 1500
@@ -140,17 +139,15 @@ def predict(model):
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE) -> DataFrame:
-    """lang, text of at most ``most`` rows of each of the most frequent languages among the rows that may be learned from."""
+    """lang, text of about ``most`` rows of each of the most frequent languages among the rows that may be learned from."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    keys = rows.filter(F.col("lang").isin(langs)).select("id", "lang", F.xxhash64("id").alias("h"))
-    # Ranks are cut within each task first (a window group limit), so a frequent language is no hot key.
-    chosen = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= most)
-    floors = {r["lang"]: r["h"] for r in chosen.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    # Hashes are spread evenly, so this share of them has about ``most`` rows, with room for chance; learn() cuts the rest.
     cut = F.lit(False)
-    for lang, h in floors.items():
-        cut = cut | ((F.col("lang") == lang) & (F.xxhash64("id") <= F.lit(h)))
+    for lang, n in counts.items():
+        share = min(1.0, (most + 5 * math.sqrt(most)) / n)
+        cut = cut | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)))
     return rows.filter(cut).select("lang", "text")
 
 
@@ -165,7 +162,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(languages, code, weights, biases) from the labelled rows."""
     seen: dict[str, list[np.ndarray]] = {}
     for r in sample(df, id_col, text_col, lang_col, most).mapInArrow(sample_grams, "lang string, grams binary").toLocalIterator():
-        if len(own := seen.setdefault(r["lang"], [])) < most:  # rows that tie on the hash
+        if len(own := seen.setdefault(r["lang"], [])) < most:
             own.append(features(np.frombuffer(bytes(r["grams"]), "<u2")).astype(np.float16))
     langs = sorted(seen)
     code = codebook(len(langs))
