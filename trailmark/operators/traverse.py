@@ -96,7 +96,8 @@ def resolve(nodes: DataFrame, ref: str) -> str:
 
 def provenance(node_evidence: DataFrame, exchanges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The requests behind each of ``nodes`` (id)."""
-    return nodes.select("id").join(node_evidence, "id").withColumnRenamed("id", "node_id").join(exchanges, F.col("ev") == exchanges["id"]).select("node_id", "ev", "method", exchanges["host"], "path_template", "status", "role")
+    asked = exchanges.select(F.col("id").alias("ev"), "method", "host", "path_template", "status", "role")
+    return nodes.select(F.col("id").alias("node_id")).join(node_evidence.withColumnRenamed("id", "node_id"), "node_id").join(asked, "ev").select("node_id", "ev", "method", "host", "path_template", "status", "role")
 
 
 def static_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
