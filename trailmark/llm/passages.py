@@ -6,8 +6,8 @@ document).  Equal units form one class.  For lines of ``LEAST_LINE`` words or mo
 shingles are banded; lines that collide in a band meet in a tile, are verified by exact Jaccard similarity of at least
 0.8, and linked lines form one component.  (Shorter units with one word changed are below 0.8 anyway.)
 
-A component that occurs in two or more documents is repeated.  Repeated units of a document that touch or overlap form a
-span; a span of ``LEAST_SPAN`` words or more is reported.  Of each component the document with the smallest id keeps its
+A component that occurs in two or more documents is repeated.  Repeated units of a document with no more than ``GAP``
+words between them form a span; a span of ``LEAST_SPAN`` words or more is reported.  Of each component the document with the smallest id keeps its
 copy, and in all others it is to be removed.
 
 Defined results: null and empty texts have no units; a null id never counts as a document of its own, so its rows are
@@ -40,6 +40,8 @@ RECALL = 0.99
 LEAST_LINE = 24
 LEAST_SENTENCE = 6
 LEAST_SPAN = 25
+#: Words that may lie between two repeated units of a span (lines too short to be units).
+GAP = 8
 CUT = 64
 
 
@@ -191,7 +193,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     hits = one.join(again.hint("shuffle_hash"), "c").select("rid", "id", "start", (F.col("start") + F.col("size")).alias("end"), (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
     w = Window.partitionBy("rid", "removed").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = hits.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    island = hits.withColumn("new", F.coalesce(F.col("start") > before + GAP, F.lit(True)).cast("int"))
     island = island.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = island.groupBy("rid", "id", "removed", "island").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("keep_id").alias("keep_id"))
     n = F.col("end_word") - F.col("start_word")
