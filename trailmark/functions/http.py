@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.functions.template import query_pairs, route_template, template_path
 
@@ -57,7 +58,7 @@ def _inflated(body: bytes, coding: str) -> bytes | None:
     return None
 
 
-@F.pandas_udf("struct<body: binary, handled: boolean>")
+@F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("handled", T.BooleanType())]))
 def decoded_body(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """(body, transfer-encoding, content-encoding) -> the plain body, and whether its coding is known; at most 50 MB."""
     for bodies, transfers, codings in batches:

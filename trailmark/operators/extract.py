@@ -101,7 +101,11 @@ def page_references(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def script_assets(body: Column) -> Column:
     """array<struct<kind, raw>>: source maps, workers, service workers and imported scripts that a script names."""
     rules = [("sourcemap", r"//[#@]\s*sourceMappingURL=(\S+)"), ("worker", r"new\s+(?:Shared)?Worker\(\s*[\"'`]([^\"'`]+)"), ("serviceworker", r"serviceWorker\s*\.\s*register\(\s*[\"'`]([^\"'`]+)"), ("import", r"importScripts\(\s*[\"'`]([^\"'`]+)")]
-    return F.concat(*[F.transform(_all(body, p, 1), lambda u, k=k: F.struct(F.lit(k).alias("kind"), u.alias("raw"))) for k, p in rules])
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(_all(body, pattern, 1), lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("raw")))
+
+    return F.concat(*[named(k, p) for k, p in rules])
 
 
 def links(html: Column) -> Column:

@@ -8,17 +8,29 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
+
+
+def _struct(**fields: T.DataType | str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t] if isinstance(t, str) else t) for n, t in fields.items()])
+
+
+def _list(kind: T.DataType | str) -> T.ArrayType:
+    return T.ArrayType(_TYPES[kind] if isinstance(kind, str) else kind)
+
+
+_PANE = _struct(line="string", headers=_list(_struct(name="string", value="string")), body="string", truncated="boolean")
+
 #: One recorded request and response, masked.
-EXCHANGE = T.StructType.fromDDL(
-    "id BIGINT, source STRING, item BIGINT, role STRING, method STRING, scheme STRING, host STRING, port INT, path STRING, path_template STRING, "
-    "status INT, mime STRING, query_params ARRAY<STRING>, body_params ARRAY<STRING>, referer_host STRING, referer_path STRING, "
-    "set_cookies ARRAY<STRUCT<name: STRING, httponly: BOOLEAN, secure: BOOLEAN, samesite: STRING>>, credentials ARRAY<STRING>, "
-    "tech ARRAY<STRUCT<header: STRING, value: STRING>>, js_refs ARRAY<STRUCT<method: STRING, host: STRING, path: STRING, kind: STRING>>, "
-    "js_assets ARRAY<STRUCT<kind: STRING, host: STRING, path: STRING>>, stack ARRAY<STRUCT<name: STRING, category: STRING, how: STRING, version: STRING>>, "
-    "scan_truncated BOOLEAN, gql_ops ARRAY<STRING>, preflight BOOLEAN, secrets ARRAY<STRUCT<kind: STRING, hmac_12: STRING, length: INT, entropy: DOUBLE>>, "
-    "req STRUCT<line: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, body: STRING, truncated: BOOLEAN>, "
-    "resp STRUCT<line: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, body: STRING, truncated: BOOLEAN>"
-)
+EXCHANGE = _struct(
+    id="bigint", source="string", item="bigint", role="string", method="string", scheme="string", host="string", port="int", path="string", path_template="string",
+    status="int", mime="string", query_params=_list("string"), body_params=_list("string"), referer_host="string", referer_path="string",
+    set_cookies=_list(_struct(name="string", httponly="boolean", secure="boolean", samesite="string")), credentials=_list("string"),
+    tech=_list(_struct(header="string", value="string")), js_refs=_list(_struct(method="string", host="string", path="string", kind="string")),
+    js_assets=_list(_struct(kind="string", host="string", path="string")), stack=_list(_struct(name="string", category="string", how="string", version="string")),
+    scan_truncated="boolean", gql_ops=_list("string"), preflight="boolean", secrets=_list(_struct(kind="string", hmac_12="string", length="int", entropy="double")),
+    req=_PANE, resp=_PANE,
+)
 
 # Node types and their layers.
 LAYERS = {"host": 1, "tech": 1, "route": 2, "script": 3, "endpoint": 4, "parameter": 4, "operation": 4, "third_party": 5, "role": 5, "auth": 5, "cookie": 5}
