@@ -4,7 +4,8 @@ Documents with one set form one class.  Sizes are cut into bands (a band ends at
 a Jaccard similarity of at least t, they differ in at most k = (1 - t) / (1 + t) * (a + b) elements, so of k + 2 blocks
 into which hashing deals the elements, two blocks at least are alike in both.  A tile holds the classes that have one
 block alike under the scheme of a band; a set belongs to its own band's scheme, and to the next one's if a similar set
-may lie there.  (An empty block is a key only of sets with two or more empty blocks: otherwise a full block is alike.)
+may lie there.  An eighth more blocks than needed make it rare that a set fills no more blocks than a similar one may
+change: only for such sets are empty blocks keys, since otherwise a full block is alike in both.
 
 In the tiles, ``links.groups`` finds what is linked.  A pair is compared first by bitmaps of hashed elements, whose
 differing bits bound the overlap from above, and then, if the bound allows a link, by intersecting the sorted arrays.
@@ -68,14 +69,14 @@ def tile_keys(elements: np.ndarray, threshold: Fraction, starts: list[int]) -> n
         k = differing(threshold, top, top)
         if k < 1:
             continue  # sets of this size are similar only if equal
-        blocks = k + 2
+        blocks = k + k // 8 + 2
         at = ((elements >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # elements are sorted, so blocks are runs
         starts_at = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         which = at[starts_at]
         sums = np.add.reduceat(content, starts_at)
         salt = np.uint64((band * 0x9E3779B9 + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
         out.append(mixed(mixed(sums + which * np.uint64(0x165667B19E3779F9)) ^ salt))
-        if blocks - len(which) >= 2:
+        if len(which) <= differing(threshold, size, min(top, math.floor(size / threshold))):
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
             out.append(mixed(mixed(empty + np.uint64(1)) ^ salt ^ np.uint64(0xA0761D6478BD642F)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -124,24 +125,25 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: Fracti
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     signed = scratch.save(rows.mapInArrow(signatures(n, threshold), f"id {kind}, n long, c long, bits binary, keys array<long>"), "signatures")
-    members = signed.select("id", "n", "c")
+    members = scratch.save(signed.select("id", "n", "c", "bits"), "members")
     first = members.filter("c is not null").groupBy("c").agg(F.min("id").alias("first"))
     once = signed.join(first.filter("first is not null"), "c").filter(F.col("id") == F.col("first"))
     # A class without any id has no row to go by; its copies are one class all the same, and it takes part through all of them.
     nameless = signed.join(first.filter("first is null").select("c"), "c")
     keyed = once.select("c", "keys").unionByName(nameless.select("c", "keys")).select(F.explode("keys").alias("key"), "c")
     tiles = scratch.save(links.shared_keys(keyed).distinct(), "tiles")
+    scratch.drop(signed)  # the keys, by far the largest of the tables
     wanted = scratch.save(tiles.select("c").distinct().join(first, "c"), "wanted")
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first"))).select("c", "text")
     elements = scratch.save(texts.mapInArrow(arrays(n), "c long, e binary"), "elements")
-    bits = scratch.save(signed.join(wanted, (signed["c"] == wanted["c"]) & signed["id"].eqNullSafe(wanted["first"])).select(signed["c"], "n", "bits"), "bits")
+    bits = scratch.save(members.join(wanted, (members["c"] == wanted["c"]) & members["id"].eqNullSafe(wanted["first"])).select(members["c"], "n", "bits"), "bits")
 
     def possible(pairs: DataFrame) -> DataFrame:
         left = bits.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
         right = bits.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded(threshold), "a long, b long")
 
-    return members, links.groups(tiles, elements, threshold, scratch, possible)
+    return members.drop("bits"), links.groups(tiles, elements, threshold, scratch, possible)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
