@@ -5,8 +5,8 @@ A tile is a set of items that share a key.  Two items may be linked only if some
 1. Every item of a tile is compared with the tile's smallest one; what is linked becomes one group.  That is a row for
    each place in a tile, however large it is, and settles groups of copies of one original.
 2. Tiles that still hold several groups, without their smallest items (which have met all others), are put together
-   where they share items.  Each such cluster is cut into blocks of at most ``BLOCK`` elements, and each pair of blocks
-   is one task's work: all pairs of different groups, by bitmaps first, and nothing once two groups are linked.
+   where they share items.  Each such cluster is cut into blocks of about ``BLOCK`` elements or ``ITEMS`` items, whichever
+   is less, and each pair of blocks is one task's work: all pairs of different groups, by bitmaps first, and nothing once two groups are linked.
 
 So no link between two groups is lost; within a group not every link is looked at.
 """
@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 from trailmark.llm.sets import linking, verified
 from trailmark.llm.store import Scratch
 
-#: Elements of a block of a cluster, eight bytes each.
+#: Elements of a block of a cluster, eight bytes each, and its items.
 BLOCK = 500_000
+ITEMS = 1_000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -78,7 +79,7 @@ def groups(tiles: DataFrame, elements: DataFrame, threshold: Fraction, scratch:
         # Clusters hold whole groups' members only as far as they share unsettled tiles.
         cluster = components(rest.select(F.col("c").alias("a"), F.col("first").alias("b")), scratch).select(F.col("node").alias("c"), F.col("label").alias("cluster"))
         members = rest.select("c", "g").distinct().join(cluster, "c").join(elements, "c")
-        sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("e") / 8) / BLOCK).alias("blocks"))
+        sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum(F.length("e") / 8) / BLOCK, F.count("c") / ITEMS)).alias("blocks"))
         members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         paired = members.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
