@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nodes that a trie holds before it starts afresh.
 NODES = 250_000
-#: Segments whose ids are kept at hand.
-SEGMENTS = 100_000
+#: Segments whose ids are kept at hand, in each of two generations.
+SEGMENTS = 150_000
 #: Longer words get a trie of their own, which is dropped with the word.
 LONG = 400
 
@@ -66,8 +66,7 @@ def load(path: str = MODEL) -> Vocabulary:
 class Trie:
     """Forward scores of a unigram model, once for every prefix that strings share.
 
-    A node is a prefix: its best score, the length of the last piece of the best segmentation, the id of that piece
-    (-1: spelled in bytes) and the number of tokens.
+    A node is a prefix: its best score and the number of tokens of its best segmentation.
     """
 
     def __init__(self, vocabulary: Vocabulary, nodes: int = NODES):
@@ -76,7 +75,7 @@ class Trie:
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # node and character as one number
-        self.best, self.length, self.piece, self.count = array("d", [0.0]), array("h", [0]), array("i", [-1]), array("i", [0])
+        self.best, self.count = array("d", [0.0]), array("i", [0])
 
     def full(self) -> bool:
         return len(self.best) > self.most
@@ -104,49 +103,63 @@ class Trie:
                 at = len(best)
                 child[step] = at
                 best.append(top)
-                self.length.append(length)
-                self.piece.append(piece)
                 self.count.append(self.count[path[-length]] + (1 if piece >= 0 else len(c.encode("utf-8", "replace"))))
             path.append(at)
             node = at
         return path
 
-    def ids(self, s: str, path: list[int]) -> list[int]:
-        """The best segmentation of ``s``."""
-        out: list[int] = []
-        end = len(s)
-        while end:
-            at = path[end]
-            piece = self.piece[at]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out.extend(self.v.bytes_[b] for b in reversed(s[end - 1].encode("utf-8", "replace")))
-            end -= self.length[at]
-        out.reverse()
-        return out
-
 
 class Encoder(dict):
-    """segment -> (ids, score), by a trie ; both start afresh when they are full."""
+    """segment -> (ids, score) of its best segmentation.
+
+    When it is full, what it holds becomes the older generation, from which a segment that is met again comes back.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.trie = Trie(vocabulary)
+        self.v = vocabulary
+        self.older: dict[str, tuple[list[int], float]] = {}
+        # Ends of pieces; those that are pieces with score and id.
+        self.ends: dict[str, tuple[float, int] | tuple[()]] = dict.fromkeys(vocabulary.tails, ()) | vocabulary.scores
 
     def __missing__(self, s: str) -> tuple[list[int], float]:
-        if len(s) > LONG:
-            own = Trie(self.trie.v)
-            path = own.insert(s)
-            return own.ids(s, path), own.best[path[-1]]
-        if self.trie.full():
-            self.trie.clear()
-        if len(self) > SEGMENTS:
-            self.clear()
-        path = self.trie.insert(s)
-        self[s] = found = (self.trie.ids(s, path), self.trie.best[path[-1]])
+        found = self.older.get(s) or self.best(s)
+        if len(s) <= LONG:
+            if len(self) >= SEGMENTS:
+                self.older = dict(self)
+                self.clear()
+            self[s] = found
         return found
 
+    def best(self, s: str) -> tuple[list[int], float]:
+        """Of equal segmentations the one whose last pieces are shorter."""
+        look, fallback = self.ends.get, self.v.fallback
+        scores, starts, pieces = [0.0], [0], [-1]
+        for last, c in enumerate(s):
+            hit = look(c)
+            top, piece, start = scores[last] + (hit[0] if hit else fallback), hit[1] if hit else -1, last
+            if hit is not None:
+                for p in range(last - 1, -1, -1):
+                    hit = look(s[p : last + 1])
+                    if hit is None:
+                        break
+                    if hit and scores[p] + hit[0] > top:
+                        top, piece, start = scores[p] + hit[0], hit[1], p
+            scores.append(top)
+            starts.append(start)
+            pieces.append(piece)
+        out: list[int] = []
+        end = len(s)
+        while end:
+            piece, start = pieces[end], starts[end]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out.extend(self.v.bytes_[b] for b in reversed(s[start].encode("utf-8", "replace")))
+            end = start
+        out.reverse()
+        return out, scores[-1]
+
 
 class Counts(dict):
     """pre-token (bytes, without its leading space) -> number of tokens, the terminal counts of a trie."""

@@ -38,8 +38,8 @@ NEW = [T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleT
 def encode_text(text: str, encoder: Encoder) -> tuple[list[int], float]:
     if not text:
         return [], 0.0
-    found = [encoder[s] for s in encoder.trie.v.segments(" " + text)]
-    return list(chain.from_iterable([f[0] for f in found])), sum(f[1] for f in found)
+    found = [encoder[s] for s in encoder.v.segments(" " + text)]
+    return list(chain.from_iterable([f[0] for f in found])), sum([f[1] for f in found])
 
 
 def _lists(ids: list[list[int] | None]) -> pa.Array:
@@ -84,7 +84,7 @@ class Chunk:
     """A chunk of a text and what follows it as far as a piece may reach: ``text`` has ``own`` characters of its own."""
 
     def __init__(self, text: str, own: int, encoder: Encoder):
-        self.text, self.own, self.encoder, self.v = text, own, encoder, encoder.trie.v
+        self.text, self.own, self.encoder, self.v = text, own, encoder, encoder.v
         n = self.v.longest
         # No piece lies across a mark, so all paths meet there.
         marks = [p for p in range(n, own) if self.v.splits and text[p] == " " and text[p - 1] != " "]
@@ -119,7 +119,7 @@ class Chunk:
             return m
         head = np.array([self._walk(i, self.first)[0][self.first - i] for i in range(n)])
         tail = np.array(self._walk(self.last, self.own)[0][self.own - self.last :][:n])
-        return head[:, None] + sum(s for _, s in self._middle()) + tail[None, :]
+        return head[:, None] + sum([s for _, s in self._middle()]) + tail[None, :]
 
     def _trace(self, start: int, stop: int, end: int) -> list[int]:
         best, back = self._walk(start, stop)
