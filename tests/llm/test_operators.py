@@ -203,6 +203,40 @@ def test_shared_passages(docs, rows, empty):
     assert len(cut[last].split()) < len(words[last]) and len(cut[last - 1].split()) == len(words[last - 1])
 
 
+@pytest.mark.parametrize("ends", [0, 4, 9])
+def test_shared_passages_at_every_offset(spark, ends):
+    """52 shared words inside longer lines, with no sentence ends (0) or after every few words, are found to their ends."""
+    r = random.Random(ends)
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(4))
+    stopped = lambda ws: [w + "." if ends and i % ends == ends - 1 else w for i, w in enumerate(ws)]
+    data, want = [], {}
+    for k in range(60):
+        passage = stopped([word() for _ in range(52)])
+        for copy in range(2):
+            before = [word() for _ in range(5 + (k * (copy + 1)) % 61)]
+            data.append((2 * k + copy, " ".join([*stopped(before), *passage, *[word() for _ in range(5 + k % 7)]])))
+            want[2 * k + copy] = (len(before), len(before) + 52, copy == 1, 2 * k)
+    got = passages.repeated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        start, end, removed, keep = want[r["doc_id"]]
+        assert (r["removed"], r["keep_id"]) == (removed, keep) and r["start_word"] <= start and end <= r["end_word"]
+        assert r["n_words"] <= 52 + 12  # sentences that are alike by 0.8 count as a whole
+    assert sum(r["n_words"] == 52 for r in got) >= 0.7 * len(got)
+
+
+def test_short_near_copies_share_a_band():
+    import numpy as np
+
+    r, found = np.random.default_rng(9), 0
+    for k in range(300):
+        a = r.integers(0, 2**63, 13 + k % 12).astype(np.uint64)
+        b = np.r_[a, r.integers(0, 2**63, 1 + k % 2).astype(np.uint64)]
+        keys = [passages.banded(windows(x, 5), np.zeros(1, np.int64), np.array([len(x)]), np.ones(1, np.uint64))[0] for x in (a, b)]
+        found += len(np.intersect1d(*keys)) > 0
+    assert found >= 290
+
+
 def brute_components(rows, n, num, den):
     sets_ = []
     for r in rows:

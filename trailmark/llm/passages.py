@@ -1,14 +1,17 @@
 """Passages that several documents share, by MinHash banding of paragraphs.
 
-Units of a text are its lines and, so that a passage is found inside a longer line as well, its sentences (short ones
-joined to the next; a sentence of more than ``CUT`` words is cut at words chosen by their hash, thus alike in every
-document).  Equal units form one class.  For lines of ``LEAST_LINE`` words or more, MinHash values of their five-word
-shingles are banded; lines that collide in a band meet in a tile, are verified by exact Jaccard similarity of at least
-0.8, and linked lines form one component.  (Shorter units with one word changed are below 0.8 anyway.)
+Units of a text are its lines, its sentences (short ones joined to the next; a sentence of more than ``CUT`` words is
+cut at words chosen by their hash) and its anchors: of every ``REACH`` runs of ``ANCHOR`` words that follow one another,
+wherever lines and sentences end, the run with the smallest hash.  So any ``ANCHOR + REACH - 1`` words that two texts
+share hold an anchor of both, whatever is around them.  Equal units form one class.  For lines and sentences of
+``LEAST_BANDED`` words or more (of fewer, no two different ones reach 0.8), MinHash values of their five-word shingles
+are banded; those that collide in a band meet in a tile, are verified by exact Jaccard similarity of at least 0.8, and
+linked ones form one component.
 
 A component that occurs in two or more documents is repeated.  Repeated units of a document with no more than ``GAP``
-words between them form a span; a span of ``LEAST_SPAN`` words or more is reported.  Of each component the document with the smallest id keeps its
-copy, and in all others it is to be removed.
+words between them form a span.  The first and the last unit of a span are extended word by word as far as another
+document goes on alike, and a span that then has ``LEAST_SPAN`` words or more is reported.  Of each component the
+document with the smallest id keeps its copy, and in all others it is to be removed.
 
 Defined results: null and empty texts have no units; a null id never counts as a document of its own, so its rows are
 not reported; repeated rows are one document and repeat nothing by themselves; an empty table gives an empty result;
@@ -37,12 +40,19 @@ from trailmark.llm.store import Scratch
 WIDTH = 5
 THRESHOLD = Fraction(8, 10)
 RECALL = 0.99
-LEAST_LINE = 24
+#: Words of the shortest line or sentence that is banded, and from how many on a band has ROWS values in place of one.
+LEAST_BANDED = 8
+LONG_UNIT = 24
 LEAST_SENTENCE = 6
 LEAST_SPAN = 25
 #: Words that may lie between two repeated units of a span (lines too short to be units).
 GAP = 8
 CUT = 64
+#: Words of an anchor, and the number of places of which one is an anchor at least.
+ANCHOR = 8
+REACH = 10
+#: A run that goes on for more words than this beyond a unit has another anchor there.
+MOST_MORE = ANCHOR + REACH
 
 
 def tuned(threshold: float = float(THRESHOLD), recall: float = RECALL, rows: int = 2) -> int:
@@ -51,6 +61,7 @@ def tuned(threshold: float = float(THRESHOLD), recall: float = RECALL, rows: int
 
 
 ROWS, BANDS = 2, tuned()
+SHORT_BANDS = tuned(rows=1)
 
 
 class MarkedHashes(WordHashes):
@@ -110,26 +121,49 @@ def units(text: bytes | None, table: MarkedHashes) -> tuple[np.ndarray, np.ndarr
     return np.r_[starts, s_starts[extra]], np.r_[sizes, s_sizes[extra]], np.r_[classes[0], classes[1][extra]], hashes, len(starts)
 
 
+def anchors(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and classes of the anchors, from the hashes of all windows of WIDTH words."""
+    n = len(every) - (ANCHOR - WIDTH)
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = mixed(every[:n] * np.uint64(0x9E3779B97F4A7C15) + every[ANCHOR - WIDTH :])
+    k = min(REACH, n)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, k).argmin(1) + np.arange(n - k + 1))
+    return at, mixed(h[at] ^ np.uint64(0xA0761D6478BD642F))
+
+
 def line_shingles(hashes: np.ndarray, start: int, size: int) -> np.ndarray:
     return windows(hashes[start : start + size], WIDTH)
 
 
-def band_keys(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """BANDS keys of each of the lines, all of which have at least WIDTH words."""
-    every = windows(hashes, WIDTH)
+def band_keys(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """Keys of each of the units, all of which have at least WIDTH words; ``every``: the hashes of all windows of WIDTH words."""
     counts = sizes - WIDTH + 1
-    at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    own, cut = every[at], np.r_[0, np.cumsum(counts)[:-1]]
-    low = [np.minimum.reduceat(mixed(own ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), cut) for j in range(ROWS * BANDS)]
-    keys = [mixed(sum(low[b * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)) + np.uint64(b)) for b in range(BANDS)]
+    cut = np.r_[0, np.cumsum(counts)[:-1]]
+    own = every[np.repeat(starts - cut, counts) + np.arange(counts.sum())]
+    low = [np.minimum.reduceat(mixed(own ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)), cut) for j in range(rows * bands)]
+    keys = [mixed(sum(low[b * rows + r] * np.uint64(2 * r + 3) for r in range(rows)) + np.uint64(100 * (rows - 1) + b)) for b in range(bands)]
     return np.stack(keys, 1)
 
 
-UNITS = "rid long, id {}, start array<int>, size array<int>, c array<long>, line_c array<long>, keys array<long>"
+def banded(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and the classes they belong to; a unit about as long as LONG_UNIT has keys of both kinds, so that it meets shorter and longer ones."""
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    # Of two sets at the threshold the larger has at most 1 / threshold times the elements of the smaller.
+    most = math.floor((LONG_UNIT - WIDTH) / THRESHOLD) + WIDTH - 1
+    for picked, rows, bands in ((sizes >= LONG_UNIT, ROWS, BANDS), ((sizes >= LEAST_BANDED) & (sizes <= most), 1, SHORT_BANDS)):
+        at = np.flatnonzero(picked)
+        if len(at):
+            keys.append(band_keys(every, starts[at], sizes[at], rows, bands).ravel())
+            of.append(np.repeat(classes[at], bands))
+    return np.concatenate(keys), np.concatenate(of)
+
+
+UNITS = "rid long, id {}, start array<int>, size array<int>, c array<long>, key array<long>, key_c array<long>"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (rid, id, text): rid, id, the units, and the classes and band keys of the long lines."""
+    """From (rid, id, text): rid, id, the units, and the band keys of lines and sentences with their classes."""
     table = MarkedHashes()
 
     def lists(values: list[np.ndarray], kind: type) -> pa.Array:
@@ -141,44 +175,108 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(i, 500)
             out: list[tuple] = []
             for x in batch.column(2).cast(pa.large_binary()):
-                starts, sizes, classes, hashes, n_lines = units(x.as_py(), table)
-                long = np.flatnonzero(sizes[:n_lines] >= LEAST_LINE)
-                keys = as_long(band_keys(hashes, starts[long], sizes[long]).ravel()) if len(long) else np.zeros(0, np.int64)
+                starts, sizes, classes, hashes, _ = units(x.as_py(), table)
+                every = windows(hashes, WIDTH) if len(hashes) >= WIDTH else hashes[:0]
+                keys, key_c = banded(every, starts, sizes, classes)
                 whole_units = sizes >= LEAST_SENTENCE
-                out.append((starts[whole_units], sizes[whole_units], as_long(classes[whole_units]), as_long(classes[long]), keys))
-            starts, sizes, classes, line_c, keys = map(list, zip(*out, strict=True))
+                at, own = anchors(every)
+                starts, sizes, classes = np.r_[starts[whole_units], at], np.r_[sizes[whole_units], np.full(len(at), ANCHOR)], np.r_[classes[whole_units], own]
+                out.append((starts, sizes, as_long(classes), as_long(keys), as_long(key_c)))
+            starts, sizes, classes, keys, key_c = map(list, zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists(starts, np.int32), lists(sizes, np.int32), lists(classes, np.int64), lists(line_c, np.int64), lists(keys, np.int64)],
-                ["rid", "id", "start", "size", "c", "line_c", "keys"],
+                [batch.column(0), batch.column(1), lists(starts, np.int32), lists(sizes, np.int32), lists(classes, np.int64), lists(keys, np.int64), lists(key_c, np.int64)],
+                ["rid", "id", "start", "size", "c", "key", "key_c"],
             )
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (wanted classes, text): c, e (sorted distinct shingles) of those lines."""
+    """From (wanted classes, text): c, e (sorted distinct shingles) of those lines and sentences."""
     table = MarkedHashes()
     for batch in batches:
         found: dict[int, bytes] = {}
         for wanted, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-            starts, sizes, classes, hashes, n_lines = units(x.as_py(), table)
+            starts, sizes, classes, hashes, _ = units(x.as_py(), table)
             left = set(wanted)
-            for k, c in enumerate(as_long(classes[:n_lines]).tolist()):
+            for k, c in enumerate(as_long(classes).tolist()):
                 if c in left:
                     found[c] = np.unique(line_shingles(hashes, starts[k], sizes[k])).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["c", "e"])
 
 
+ENDS = "id {}, side int, start int, end int, c long, keys array<long>"
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, wanted units with a side, text): the hash of each unit with 1, 2, ... more words of that side (-1 before, 1 after)."""
+    table = MarkedHashes()
+    for batch in batches:
+        rows: list[int] = []
+        found: list[tuple] = []
+        keys: list[list[int]] = []
+        for i, (wanted, x) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
+            hashes = table.array((x.as_py() or b"").lower().split())
+            units_ = [(u["side"], u["start"], u["end"], u["c"]) for u in wanted if u["end"] <= len(hashes)]
+            if not units_:
+                continue
+            side, start, end, c = (np.array(v, np.int64) for v in zip(*units_, strict=True))
+            have = np.minimum(np.where(side < 0, start, len(hashes) - end), MOST_MORE)
+            h, out = c.view(np.uint64) ^ (side + 1).astype(np.uint64), []
+            for j in range(MOST_MORE):
+                at = np.clip(np.where(side < 0, start - 1 - j, end + j), 0, len(hashes) - 1)
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[at])
+                out.append(as_long(h))
+            found += units_
+            keys += [k[:n] for k, n in zip(np.stack(out, 1).tolist(), have.tolist(), strict=True)]
+            rows += [i] * len(units_)
+        side, start, end, c = zip(*found, strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(side, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            ["id", "side", "start", "end", "c", "keys"],
+        )
+
+
+def islands(hits: DataFrame) -> DataFrame:
+    """``hits`` with ``island``, the same number for those of a row with no more than GAP words between them."""
+    w = Window.partitionBy("rid", "removed").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = hits.withColumn("new", F.coalesce(F.col("start") > before + GAP, F.lit(True)).cast("int"))
+    return island.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def extended(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
+    """Islands of hits, extended word by word: rid, id, removed, start, end, keep_id.
+
+    A removed one goes on as far as a document with a smaller id does, a kept one as far as any other document.
+    """
+    spans = islands(hits).groupBy("rid", "id", "removed", "island").agg(
+        F.min(F.struct("start", "end", "c")).alias("first"), F.max(F.struct("end", "start", "c")).alias("last"), F.min("keep_id").alias("keep_id")
+    )
+    spans = scratch.save(spans, "spans")
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{u}.start").alias("start"), F.col(f"{u}.end").alias("end"), F.col(f"{u}.c").alias("c")) for side, u in ((-1, "first"), (1, "last"))]))
+    edges = spans.select("rid", "id", "removed", "island", sides.alias("u")).select("rid", "id", "removed", "island", "u.*")
+    # The same units of other documents count wherever they are in a span.
+    wanted = hits.join(edges.select("c", "side").distinct().hint("shuffle_hash"), "c").groupBy("id").agg(F.collect_set(F.struct("side", "start", "end", "c")).alias("wanted"))
+    kind = dict(rows.dtypes)["id"]
+    ends = scratch.save(rows.join(wanted.hint("shuffle_hash"), "id").select("id", "wanted", "text").mapInArrow(_ends, ENDS.format(kind)), "ends")
+    shared = ends.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    asked = edges.join(ends, ["id", "side", "start", "end", "c"]).select("rid", "id", "removed", "island", "side", F.posexplode("keys").alias("j", "key"))
+    more = asked.join(shared.hint("shuffle_hash"), "key").filter("if(removed, lo < id, lo = id)").groupBy("rid", "removed", "island")
+    more = more.agg(*[F.max(F.when(F.col("side") == side, F.col("j") + 1)).alias(name) for side, name in ((-1, "left"), (1, "right"))])
+    start, end = F.col("first.start") - F.coalesce("left", F.lit(0)), F.col("last.end") + F.coalesce("right", F.lit(0))
+    return spans.join(more, ["rid", "removed", "island"], "left").select("rid", "id", "removed", start.alias("start"), end.alias("end"), "keep_id")
+
+
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
     """One row per span: id, start_word, end_word (exclusive), n_words, removed, keep_id (smallest document that has some of it)."""
     scratch = Scratch(df.sparkSession, "passages")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     kind = dict(rows.dtypes)["id"]
     found = scratch.save(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(_units, UNITS.format(kind)), "units")
-    # Lines that collide in a band.
-    lines = found.select("id", F.posexplode("line_c").alias("k", "c"), "keys")
-    keyed = lines.select(F.explode(F.slice("keys", F.col("k") * BANDS + 1, F.lit(BANDS))).alias("key"), "c").groupBy("key", "c").agg(F.lit(1).alias("one")).select("key", "c")
+    # Lines and sentences that collide in a band.
+    keyed = found.select(F.explode(F.arrays_zip("key", "key_c")).alias("u")).select(F.col("u.key").alias("key"), F.col("u.key_c").alias("c")).distinct()
     tiles = scratch.save(links.shared_keys(keyed), "tiles")
-    sources = found.select("id", F.explode("line_c").alias("c")).join(tiles.select("c").distinct().hint("shuffle_hash"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
-    wanted = sources.groupBy("id").agg(F.collect_set("c").alias("wanted"))  # lines of one document
+    sources = found.select("id", F.explode(F.array_distinct("key_c")).alias("c")).join(tiles.select("c").distinct().hint("shuffle_hash"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
+    wanted = sources.groupBy("id").agg(F.collect_set("c").alias("wanted"))  # lines and sentences of one document
     elements = rows.join(wanted.hint("shuffle_hash"), "id").select("wanted", "text").mapInArrow(_elements, "c long, e binary")
     elements = scratch.save(elements, "elements")
     labels = links.groups(tiles, elements, THRESHOLD, scratch)
@@ -190,12 +288,11 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     spread = scratch.save(spread, "classes")
     whole = spread.groupBy("label").agg(F.min("lo").alias("keep_id"), F.max("hi").alias("hi")).filter("keep_id < hi")
     again = scratch.save(spread.join(whole.select("label", "keep_id"), "label").select("c", "keep_id"), "repeated")
-    hits = one.join(again.hint("shuffle_hash"), "c").select("rid", "id", "start", (F.col("start") + F.col("size")).alias("end"), (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
-    w = Window.partitionBy("rid", "removed").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = hits.withColumn("new", F.coalesce(F.col("start") > before + GAP, F.lit(True)).cast("int"))
-    island = island.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = island.groupBy("rid", "id", "removed", "island").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("keep_id").alias("keep_id"))
+    hits = one.join(again.hint("shuffle_hash"), "c").select("rid", "id", "start", (F.col("start") + F.col("size")).alias("end"), "c", (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
+    hits = scratch.save(hits, "hits")
+    # Extended spans may reach each other.
+    joined = islands(extended(rows, hits, scratch)).groupBy("rid", "id", "removed", "island")
+    spans = joined.agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("keep_id").alias("keep_id"))
     n = F.col("end_word") - F.col("start_word")
     return spans.filter(n >= least).select(F.col("id").alias(id_col), "start_word", "end_word", n.alias("n_words"), "removed", "keep_id")
 
