@@ -125,6 +125,18 @@ def test_language_model_base_scores(docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [1, 3])
+def test_language_model_counts_the_end_beyond_the_head(spark, head):
+    """In few, long documents the end is rarer than the words that are sent to every task."""
+    data = [(i, "a b c d e " * 50) for i in range(20)]
+    got = lm.score(spark.createDataFrame(data, "doc_id long, text string"), head=head).collect()
+    docs_ = sum(not r["held_out"] for r in got)
+    n, v = 251 * docs_, 6
+    for r in got:
+        assert r["train_tokens"] == n and r["n_known"] == r["n_tokens"] == 251
+        assert r["base_score"] == pytest.approx(250 * math.log10((50 * docs_ + 1) / (n + v + 1)) + math.log10((docs_ + 1) / (n + v + 1)))
+
+
 def test_language_model_is_normalised():
     import numpy as np
 

@@ -156,10 +156,10 @@ def train(pairs: np.ndarray, width: int = 24, noise: int = 10, steps: int = 150,
 
 
 def score_texts(model):
-    """model: broadcast of (head words, their classes, log10(c + 1), log10 share in the class, pair table, room of each class)."""
+    """model: broadcast of (head words, their classes, log10(c + 1), log10 share in the class, pair table, room of each class, count of the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, classes, base, share, table, room = model.value
+        head, classes, base, share, table, room, ends = model.value
         index = {w: i for i, w in enumerate(head)}
         get, rare = index.get, len(head)
         flat = table.ravel()
@@ -173,14 +173,14 @@ def score_texts(model):
                 kinds[1:-1] = classes[at]
                 lost = np.flatnonzero(~known)
                 tail = Counter(tokens[i] for i in lost)
-                b = float(base[at].sum() + base[index[END]] if END in index else base[at].sum())
+                b = float(base[at].sum() + np.log10(ends + 1))
                 s = float(share[at].sum())
                 if len(lost):
                     own = [ending_class(tokens[i]) for i in lost]
                     kinds[lost + 1] = own
                     s -= float(room[own].sum())
                 s += float(flat[kinds[:-1] * CLASSES + kinds[1:]].sum())
-                out.append((len(at) + 1, int(known.sum()) + (END in index), b, s, list(tail), list(tail.values())))
+                out.append((len(at) + 1, int(known.sum()) + (ends > 0), b, s, list(tail), list(tail.values())))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             names = ["n_tokens", "n_known", "base", "score", "tail", "times"]
@@ -232,7 +232,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     classes = np.array([of.get(w, -1) if w in listed else ending_class(w) for w, _ in top] + [0], np.int64)
     logs = np.array([np.log10(k + 1) for _, k in top] + [0.0])
     share = np.array([0.0 if w in listed else np.log10(k + 1) - room[ending_class(w)] for w, k in top] + [0.0])
-    model = sc.broadcast(([w for w, _ in top], classes, logs, share, table, room))
+    # The end is in no document's tail, so its count goes along whether it is among the head words or not.
+    ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = sc.broadcast(([w for w, _ in top], classes, logs, share, table, room, int(ends)))
     # Row ids are fixed by writing them: what follows reads the table.
     first = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text")
     schema = f"rid long, id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<long>"
