@@ -163,6 +163,21 @@ def test_language_identification(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, and one of many rows that share one id."""
+    langs = [f"l{k:02d}" for k in range(70)]
+    kinds = {k: ["".join(random.Random(f"{k}{i}").choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for i in range(12)] for k in [*langs, "one id"]}
+    text = lambda k, i: " ".join(random.Random(f"{k}:{i}").choices(kinds[k], k=30))
+    data = [(100 * a + i, text(k, i), k) for a, k in enumerate(langs) for i in range(12)]
+    one = next(i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.createDataFrame(data + [(one, text("one id", i), "one id") for i in range(3000)], "doc_id long, text string, lang string").cache()
+    assert {r["lang"] for r in language_id.sample(df, "doc_id", "text", "lang").select("lang").distinct().collect()} == set(kinds)
+    sample = language_id.sample(df, "doc_id", "text", "lang", most=100).groupBy("lang").count().collect()
+    assert 20 <= {r["lang"]: r["count"] for r in sample}["one id"] < 300
+    got = language_id.identify(df.filter(F.col("lang") != "one id")).collect()
+    assert {r["lang_pred"] for r in got} == set(langs)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 20])
 def test_codewords_are_far_apart(n):
     code = language_id.codebook(n)

@@ -5,8 +5,9 @@ n-grams of one to three bytes, predicts the bit of a text; the languages' codewo
 margins by loss-weighted decoding (the sum of logistic losses), and the nearest one wins.  A text whose two nearest
 codewords are about equally far is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample, at most ``SAMPLE`` labelled rows of each language chosen by a hash of
-the id, of which whole texts are used.  Prediction reads whole texts and nothing but the text.
+Every value of the label column that has a text to learn from is a language.  The classifiers are fitted on a bounded
+sample, at most ``SAMPLE`` labelled rows of each language chosen by a hash of id and text, of which whole texts are used;
+equal rows count once there.  Prediction reads whole texts and nothing but the text.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if nothing was learned; rows with a
 null label are predicted but not learned from; with one learned language every text with a letter gets it; repeated
@@ -26,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most labelled rows of a language that the classifiers are fitted on, and most languages (the most frequent ones).
+#: Most labelled rows of a language that the classifiers are fitted on; most of all languages together, of which each has
+#: an equal part, but LEAST rows in any case.
 SAMPLE = 1500
-LANGUAGES = 64
+ROWS = 16_000
+LEAST = 20
 BUCKETS = 4096
 UNSURE = 0.6
 LETTER = re.compile(r"[^\W\d_]")
@@ -72,7 +75,7 @@ def codebook(n: int) -> np.ndarray:
         code = np.random.default_rng(seed).choice([-1.0, 1.0], (n, width))
         if (np.abs(code.sum(0)) == n).any():
             continue
-        least = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        least = ((width - code @ code.T) / 2 + width * np.eye(n)).min()
         if least > far:
             best, far = code, least
     return best
@@ -95,7 +98,7 @@ def fit(x: np.ndarray, labels: np.ndarray, code: np.ndarray, steps: int = 200, r
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the nearest codeword by logistic loss, its score (softmax of the negated losses), and whether it is ambiguous."""
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None, :, :]).sum(-1)
+    loss = np.logaddexp(0, -margins) @ (code > 0).T + np.logaddexp(0, margins) @ (code < 0).T
     near = np.exp(loss.min(1, keepdims=True) - loss)
     p = near / near.sum(1, keepdims=True)
     best = p.argmax(1)
@@ -138,17 +141,23 @@ def predict(model):
     return run
 
 
+def share_of(most: int, languages: int) -> int:
+    """Most rows of each of so many languages."""
+    return max(min(most, LEAST), min(most, ROWS // max(languages, 1)))
+
+
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE) -> DataFrame:
-    """lang, text of about ``most`` rows of each of the most frequent languages among the rows that may be learned from."""
+    """lang, text of about ``most`` different rows (or the language's share of ROWS) of each language among the rows that may be learned from."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    counts = rows.select("lang", "h").distinct().groupBy("lang").count()
+    most = share_of(most, counts.count())
     # Hashes are spread evenly, so this share of them has about ``most`` rows, with room for chance; learn() cuts the rest.
-    cut = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, (most + 5 * math.sqrt(most)) / n)
-        cut = cut | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003)))
-    return rows.filter(cut).select("lang", "text")
+    share = F.least(F.lit(1.0), F.lit(most + 5 * math.sqrt(most)) / F.col("count"))
+    cuts = counts.select(F.col("lang").alias("l"), F.ceil(share * 1_000_003).alias("cut"))
+    near = rows.join(F.broadcast(cuts), F.col("lang") == F.col("l")).filter(F.pmod("h", F.lit(1_000_003)) < F.col("cut"))
+    return near.dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +173,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in sample(df, id_col, text_col, lang_col, most).mapInArrow(sample_grams, "lang string, grams binary").toLocalIterator():
         if len(own := seen.setdefault(r["lang"], [])) < most:
             own.append(features(np.frombuffer(bytes(r["grams"]), "<u2")).astype(np.float16))
+    # One share for all, as hashes are chosen with room for chance.
+    limit = share_of(most, len(seen))
     langs = sorted(seen)
+    seen = {k: seen[k][:limit] for k in langs}
     code = codebook(len(langs))
     if len(langs) < 2:
         return langs, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32)
