@@ -211,6 +211,22 @@ def test_license_notices(spark, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_dual_and_wrapped_license_notices(spark, rows):
+    grant = " ".join(licenses.TEMPLATES["mit"][2].split())
+    half = len(grant.split()) // 2
+    wrapped = [" * " + " ".join(grant.split()[:half]), " * " + " ".join(grant.split()[half:]) + "."]
+    data = [
+        (1, "Released under the MIT License. Licensed under the Apache License, Version 2.0."),
+        (2, "Released under the MIT License. " + prose(40, 8).replace("\n", " ") + " Licensed under the Apache License, Version 2.0."),
+        (3, "\n".join([prose(30, 9).replace("\n", " ") + ".", "", *wrapped, "", "The end."])),
+    ]
+    data += [(100 + k, r[1]) for k, r in enumerate(rows)]
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).filter("doc_id < 100").collect()
+    found = {(r["doc_id"], r["paragraph"], r["family"]) for r in got if r["confirmed"]}
+    assert found == {(1, 0, "mit"), (1, 0, "apache-2.0"), (2, 0, "mit"), (2, 0, "apache-2.0"), (3, 2, "mit")}
+    assert sum(r["doc_id"] == 3 for r in got) == 1
+
+
 def test_shared_passages(docs, rows, empty):
     got = passages.repeated(docs).collect()
     spans = defaultdict(list)

@@ -6,7 +6,8 @@ variants of the templates (words dropped, swapped and put in) and on paragraphs
 temperature fitted on variants held back calibrates the probabilities.  A prediction is confirmed if the paragraph has
 most word pairs of some template of the family.
 
-Paragraphs are lines; a line of more than ``LONG`` words is looked at sentence by sentence as well.  A paragraph without
+Paragraphs are lines, their sentences, and sentences and pairs of sentences that go on over successive lines, as in
+wrapped notices; each line gives one finding for each family.  A paragraph without
 any n-gram of non-zero weight has the probabilities of the bias, which are those of ``unknown``; texts that lack every
 word of such n-grams are passed over by that rule, which changes no result.
 
@@ -31,7 +32,6 @@ UNKNOWN = "unknown"
 #: Most documents whose paragraphs are used as examples of no licence.
 NEGATIVES = 600
 VARIANTS = 60
-LONG = 60
 LEAST_P = 0.5
 LEAST_ALIKE = 0.6
 
@@ -181,13 +181,62 @@ def train(paragraphs: list[bytes], seed: int = 11, steps: int = 400, sparse: flo
     return Model(families, {g: rows.index(i) for g, i in used.items()}, w[rows], b, heat, cues, templates)
 
 
-def paragraphs(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Number of the line, and the line or one sentence of a long one."""
+def notices(text: bytes, m: Model) -> list[tuple[int, tuple, bytes]]:
+    """(line, finding, notice), one for each line and family.
+
+    Lines and their sentences come first.  Then sentences, and pairs of them, that go on over successive lines with
+    words are looked at as one; what is found there stands at its first line, in place of unconfirmed findings of the
+    family in its lines, and is left out if one of these lines has the family already.
+    """
+    best: dict[tuple[int, str], tuple[tuple, bytes]] = {}
+
+    def note(k: int, found: tuple, part: bytes) -> None:
+        at = k, found[0]
+        if at not in best or (found[3], found[1]) > (best[at][0][3], best[at][0][1]):
+            best[at] = found, part.strip()
+
+    # (line, sentence or part of one, its words) of successive lines with words
+    block: list[tuple[int, bytes, list[bytes]]] = []
+
+    def settle() -> None:
+        if block and block[0][0] != block[-1][0]:
+            # Sentences over several lines, with the lines of their first and last words.
+            whole: list[tuple[int, int, bytes, list[bytes]]] = []
+            goes_on = False
+            for k, part, ws in block:
+                if goes_on:
+                    first, _, head, own = whole[-1]
+                    whole[-1] = first, k, head + b"\n" + part, own + ws
+                else:
+                    whole.append((k, k, part, ws))
+                goes_on = part.rstrip()[-1:] not in (b".", b"!", b"?")
+            pairs_ = [(a[0], b[1], a[2] + b"\n" + b[2], a[3] + b[3]) for a, b in zip(whole, whole[1:], strict=False)]
+            for first, last, part, ws in whole + pairs_:
+                if first == last or not (found := m.find(ws)):
+                    continue
+                here = [(k, found[0]) for k in range(first, last + 1) if (k, found[0]) in best]
+                if here and (not found[3] or any(best[at][0][3] for at in here)):
+                    continue
+                for at in here:
+                    del best[at]
+                note(first, found, part)
+        block.clear()
+
     for k, line in enumerate(text.split(b"\n")):
-        yield k, line
-        if line.count(b" ") >= LONG:
-            for part in re.split(rb"(?<=[.!?])\s+", line):
-                yield k, part
+        parts = [(part, words(part)) for part in re.split(rb"(?<=[.!?])\s+", line)]
+        ws = [w for _, own in parts for w in own]
+        if not ws:
+            settle()
+            continue
+        block.extend((k, part, own) for part, own in parts if own)
+        alone = [(part, f) for part, own in parts if (f := m.find(own))] if len(parts) > 1 else []
+        for part, found in alone:
+            note(k, found, part)
+        # What only the line as a whole resembles says less than what its sentences are.
+        if (found := m.find(ws)) and (found[3] or not any(f[3] for _, f in alone)):
+            note(k, found, line)
+    settle()
+    return [(k, *x) for (k, _), x in sorted(best.items())]
 
 
 def _scan(model):
@@ -199,13 +248,9 @@ def _scan(model):
                 text = x.as_py()
                 if not text or m.cues.isdisjoint(words(text)):
                     continue
-                best: dict[int, tuple] = {}
-                for k, part in paragraphs(text):
-                    if (found := m.find(words(part))) and (k not in best or (found[3], found[1]) > (best[k][3], best[k][1])):
-                        best[k] = (*found, part.strip().decode("utf-8", "replace"))
-                for k, found in sorted(best.items()):
+                for k, found, part in notices(text, m):
                     at.append(i)
-                    out.append((k, *found))
+                    out.append((k, *found, part.decode("utf-8", "replace")))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "paragraph", "family", "probability", "likeness", "confirmed", "notice"])
@@ -225,7 +270,7 @@ def examples(df: DataFrame, id_col: str, text_col: str, most: int = NEGATIVES) -
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = NEGATIVES) -> DataFrame:
-    """One row per paragraph with a notice: id, paragraph, family, probability, likeness, confirmed, notice."""
+    """One row per line and family of a notice: id, paragraph, family, probability, likeness, confirmed, notice."""
     model = df.sparkSession.sparkContext.broadcast(train(examples(df, id_col, text_col, most)))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     more = [T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("likeness", T.DoubleType()), T.StructField("confirmed", T.BooleanType()), T.StructField("notice", T.StringType())]
