@@ -326,23 +326,46 @@ def test_tile_keys_share_for_similar_sets():
                 assert sets.bits_apart(sets.bitmap(a).tobytes(), sets.bitmap(b).tobytes()) <= sets.differing(t, len(a), len(b))
 
 
-def test_clusters_of_several_blocks(spark, monkeypatch):
-    """A chain of sets, each similar to the next alone, is one group however it is cut into blocks."""
+def item_table(spark, sets_):
+    rows = [(i, len(e), bytearray(sets.bitmap(e).tobytes()), bytearray(e.tobytes())) for i, e in enumerate(sets_)]
+    return spark.createDataFrame(rows, ngram_join.ITEM)
+
+
+@pytest.mark.parametrize("items", [7, 1000])
+def test_clusters_of_several_blocks(spark, monkeypatch, items):
+    """A chain of sets, each similar to the next alone, is one group however it and its tile are cut into blocks."""
     import numpy as np
 
     monkeypatch.setattr(links, "BLOCK", 150)
+    monkeypatch.setattr(links, "ITEMS", items)
     all_ = np.unique(np.random.default_rng(5).integers(0, 2**63, 400).astype(np.uint64))
     chain = [np.sort(all_[i * 4 : i * 4 + 100]) for i in range(20)] + [np.sort(all_[300:390])]
-    elements = spark.createDataFrame([(i, bytearray(e.tobytes())) for i, e in enumerate(chain)], "c long, e binary")
-    tiles = spark.createDataFrame([(1, i) for i in range(len(chain))], "key long, c long")
-    got = links.groups(tiles, elements, Fraction(9, 10), Scratch(spark, "test")).collect()
+    tiles = spark.createDataFrame([(1, i, 0) for i in range(len(chain))], "key long, c long, low long")
+    got = links.groups(tiles, item_table(spark, chain), Fraction(9, 10), Scratch(spark, "test")).collect()
     assert {r["node"]: r["label"] for r in got} == dict.fromkeys(range(20), 0)
 
 
+def test_heavy_values_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(links, "HEAVY", 10)
+    left = spark.createDataFrame([(1 if i < 60 else None if i < 90 else i, i) for i in range(100)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 2) for i in [1, *range(95, 120)]], "k long, w long")
+    plain = lambda how: sorted(map(str, left.join(right, "k", how).collect()))
+    for how in ("inner", "left"):
+        assert sorted(map(str, links.spread_join(left, right, "k", how).collect())) == plain(how)
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in links.components(edges, Scratch(spark, "test")).collect()}
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+    r = random.Random(4)
+    pairs = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(0, k) for k in range(200, 230)]
+    want = {}
+    for a, b in pairs * 120:
+        if a != b:
+            want[a] = want[b] = min(want.get(a, a), want.get(b, b))
+    got = links.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "test")).collect()
+    assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
 
 
 def test_windows_tell_order_and_length():

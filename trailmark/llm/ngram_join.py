@@ -11,7 +11,7 @@ In the tiles, ``links.groups`` finds what is linked.  A pair is compared first b
 differing bits bound the overlap from above, and then, if the bound allows a link, by intersecting the sorted arrays.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text with fewer words than n has its whole sequence as one
-element.  Elements are compared by 64-bit hashes.
+element.  Elements, and sets as wholes, are told apart by 64-bit hashes.
 
 Defined results: a null text or one without words has no elements and stays alone; repeated rows are copies of each
 other; a null id gets the smallest id of its group, null if it has none; an empty table gives an empty result; extra
@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import links
-from trailmark.llm.sets import bitmap, bounded, differing
-from trailmark.llm.shingles import WordHashes, as_long, mixed, windows
+from trailmark.llm.sets import bitmap, differing
+from trailmark.llm.shingles import HELD, WordHashes, as_long, mixed, windows
 from trailmark.llm.store import Scratch
 
 FIRST, STEP = 10, 1.5
+ITEM = "c long, n long, bits binary, e binary"
 
 
 def bands(most: int) -> list[int]:
@@ -82,86 +83,115 @@ def tile_keys(elements: np.ndarray, threshold: Fraction, starts: list[int]) -> n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures(n: int, threshold: Fraction):
-    """From (id, text): id, n_shingles, class c, bitmap, keys."""
+def _sets(column: pa.Array, n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+    return (element_set(x.as_py(), n, hashes) for x in column.cast(pa.large_binary()))
+
+
+def sets(n: int):
+    """From (id, fp, text): id, fp, n (the size of the set) and c (its class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, starts = WordHashes(), bands(1000)
+        hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for i in range(0, len(texts), 500):
-                sizes, classes, maps, keys = [], [], [], []
-                for x in texts[i : i + 500]:
-                    e = element_set(x.as_py(), n, hashes)
-                    sizes.append(len(e))
-                    classes.append(class_of(e) if len(e) else None)
-                    maps.append(bitmap(e).tobytes() if len(e) else None)
-                    keys.append(as_long(tile_keys(e, threshold, starts)) if len(e) else np.zeros(0, np.int64))
-                offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i : i + 500], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), lists], ["id", "n", "c", "bits", "keys"]
-                )
+            found = [(len(e), class_of(e) if len(e) else None) for e in _sets(batch.column(2), n, hashes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["id", "fp", "n", "c"])
 
     return run
 
 
-def arrays(n: int):
-    """From (c, text) the rows whose text is of class c: c, e (the sorted elements)."""
+def keys(n: int, threshold: Fraction):
+    """From (text): (key, c) of every set, once for the copies that a task has met lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, starts, met = WordHashes(), bands(1000), set()
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for i in range(0, len(texts), 500):
-                found = [(c, e.tobytes()) for c, x in zip(batch.column(0)[i : i + 500].to_pylist(), texts[i : i + 500], strict=True) if class_of(e := element_set(x.as_py(), n, hashes)) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([e for _, e in found], pa.binary())], ["c", "e"])
+            held: list[np.ndarray] = []
+            classes: list[int] = []
+            size = 0
+
+            def settle() -> pa.RecordBatch:
+                of = np.repeat(np.array(classes, np.int64), [len(k) for k in held])
+                return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(held))), pa.array(of)], ["key", "c"])
+
+            for e in _sets(batch.column(0), n, hashes):
+                if not len(e) or (c := class_of(e)) in met:
+                    continue
+                if len(met) >= HELD:
+                    met.clear()
+                met.add(c)
+                held.append(tile_keys(e, threshold, starts))
+                classes.append(c)
+                size += len(held[-1])
+                if size > 200_000:
+                    yield settle()
+                    held, classes, size = [], [], 0
+            if held:
+                yield settle()
+
+    return run
+
+
+def arrays(n: int):
+    """From (c, text) the rows whose text is of class c, once for each: c, n, bits, e (the sorted elements)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, met = WordHashes(), set()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                found = []
+                for c, e in zip(batch.column(0).to_pylist(), _sets(batch.column(1), n, hashes), strict=True):
+                    if c not in met and len(e) and class_of(e) == c:
+                        met.add(c)
+                        found.append((c, len(e), bitmap(e).tobytes(), e.tobytes()))
+                c, sizes, maps, elements = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(elements, pa.binary())], ["c", "n", "bits", "e"])
 
     return run
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, n, c) of every row, and (c, label) of every class that is linked with another class."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    signed = scratch.save(rows.mapInArrow(signatures(n, threshold), f"id {kind}, n long, c long, bits binary, keys array<long>"), "signatures")
-    members = scratch.save(signed.select("id", "n", "c", "bits"), "members")
-    first = members.filter("c is not null").groupBy("c").agg(F.min("id").alias("first"))
-    once = signed.join(first.filter("first is not null"), "c").filter(F.col("id") == F.col("first"))
-    # A class without any id has no row to go by; its copies are one class all the same, and it takes part through all of them.
-    nameless = signed.join(first.filter("first is null").select("c"), "c")
-    keyed = once.select("c", "keys").unionByName(nameless.select("c", "keys")).select(F.explode("keys").alias("key"), "c")
-    tiles = scratch.save(links.shared_keys(keyed).distinct(), "tiles")
-    scratch.drop(signed)  # the keys, by far the largest of the tables
-    wanted = scratch.save(tiles.select("c").distinct().join(first, "c"), "wanted")
-    texts = rows.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first"))).select("c", "text")
-    elements = scratch.save(texts.mapInArrow(arrays(n), "c long, e binary"), "elements")
-    bits = scratch.save(members.join(wanted, (members["c"] == wanted["c"]) & members["id"].eqNullSafe(wanted["first"])).select(members["c"], "n", "bits"), "bits")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        left = bits.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-        right = bits.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bounded(threshold), "a long, b long")
-
-    return members.drop("bits"), links.groups(tiles, elements, threshold, scratch, possible)
-
-
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id."""
-    scratch = Scratch(df.sparkSession, "ngram")
+    """(id, fp, n, c) of every row, and (node, label) of every class that is linked with another class; both saved.
+
+    fp is a hash of the text.  The texts are read once for the classes and once for the keys, which go straight into the
+    shuffle that brings equal ones together; only those of two classes or more are written.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    members = scratch.save(rows.mapInArrow(sets(n), f"id {dict(rows.dtypes)['id']}, fp long, n long, c long"), "members")
+    tiles = scratch.save(links.shared_keys(rows.select("text").mapInArrow(keys(n, threshold), "key long, c long")), "tiles")
+    wanted = tiles.select("c").distinct().join(members.filter("c is not null").groupBy("c").agg(F.min("id").alias("first")), "c")
+    wanted = scratch.save(wanted, "wanted")
+    texts = rows.join(wanted.filter("first is not null").hint("shuffle_hash"), F.col("id") == F.col("first")).select("c", "text")
+    items = texts.mapInArrow(arrays(n), ITEM)
+    # Classes that no row with an id has are found among the rows without one.
+    nameless = wanted.filter("first is null").select("c")
+    if not nameless.isEmpty():
+        own = rows.filter("id is null").select("fp", "text").join(members.filter("id is null").groupBy("c").agg(F.min("fp").alias("fp")).join(nameless, "c"), "fp")
+        items = items.unionByName(own.select("c", "text").mapInArrow(arrays(n), ITEM).dropDuplicates(["c"]))
+    return members, links.groups(tiles, scratch.save(items, "items"), threshold, scratch)
+
+
+def named(df: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """id, fp, n, component of every row."""
     members, labels = classes(df, id_col, text_col, n, threshold, scratch)
     first = members.filter("c is not null").groupBy("c").agg(F.min("id").alias("first"))
-    labels = labels.select(F.col("node").alias("c"), "label")
-    by = first.join(labels, "c", "left").select("c", "first", F.coalesce("label", "c").alias("label"))
+    by = scratch.save(first.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select("c", "first", F.coalesce("label", "c").alias("label")), "firsts")
     least = by.groupBy("label").agg(F.min("first").alias("component"))
-    by = scratch.save(by.join(least, "label").select("c", "component"), "components")
-    return members.join(by, "c", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
-    )
+    by = scratch.save(links.spread_join(by, least, "label").select("c", "component"), "components")
+    found = links.spread_join(members, by, "c", "left")
+    return found.select("id", "fp", "n", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: Fraction = Fraction(9, 10), scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id."""
+    found = named(df, id_col, text_col, n, threshold, scratch or Scratch(df.sparkSession, "ngram"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """The rows of ``df``, of each linked group only the one with the smallest id; rows with equal ids and sets stay together."""
-    named = join(df, id_col, text_col, n, threshold)
-    gone = named.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: Fraction = Fraction(8, 10), scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``df``, of each linked group only those with its smallest id; a group without ids stays as it is."""
+    found = named(df, id_col, text_col, n, threshold, scratch or Scratch(df.sparkSession, "ngram"))
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id", "fp").distinct()
+    text = F.col(f"d.`{text_col}`").cast("string")
+    return df.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")) & (F.xxhash64(text) == F.col("g.fp")), "left_anti")

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where the machine is the cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,5 +41,13 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a table of ``save`` that nothing will read again."""
         for file in df.inputFiles()[:1]:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            self._delete(file, parent=True)
+
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self._delete(self.path)
+
+    def _delete(self, path: str, parent: bool = False) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder = folder.getParent() if parent else folder
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
