@@ -80,8 +80,39 @@ def test_round_trip_and_chunks(spark, vocabulary):
         ids, score = sentencepiece_scan.encode_text(r["text"], encoder)
         assert r["score"] == pytest.approx(score, abs=1e-6)
         assert r["n_pieces"] == len(r["ids"])
-        if len(r["text"]) <= 120:
-            assert r["ids"] == ids
+        assert r["ids"] == ids and r["score"] == score
+
+
+def test_ties_are_settled_alike_in_whole_and_cut_texts(spark):
+    """A vocabulary of many equal segmentations: together, alone and in chunks the ids are the same, those of brute force."""
+    pairs = ["a", "b", "ab", "ba", "aa", "aba", "bab", " a", " b", " ", " ab"]
+    v = pieces.Vocabulary({p: (-1.0 * len(p.strip() or " "), i) for i, p in enumerate(pairs)}, list(range(100, 356)), -20.0)
+    encoder = pieces.Encoder(v)
+
+    def brute(text):
+        best = [(0.0, [])]
+        for e in range(1, len(text) + 1):
+            found = [(best[s][0] + v.scores[text[s:e]][0], -s, best[s][1] + [v.scores[text[s:e]][1]]) for s in range(e) if text[s:e] in v.scores]
+            top = max(found, key=lambda x: x[:2])
+            best.append((top[0], top[2]))
+        return best[-1][1]
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab" if k % 3 else "aab ") for _ in range(rng.randrange(20, 200))) for k in range(60)] + ["ab" * 90, "a" * 77, "ab " * 60]
+    want = [brute(" " + t) for t in texts]
+    assert [sentencepiece_scan.encode_text(t, encoder)[0] for t in texts] == want
+    words = sorted({s for t in texts for s in v.segments(" " + t)})
+    assert [encoder.gathered(encoder.places([w]))[0].tolist() for w in words] == [encoder.best(w)[0] for w in words]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    got = sentencepiece_scan.scan(df, spark.sparkContext.broadcast(v), v.longest, Scratch(spark, "test"), chunk=11).collect()
+    assert {r["rid"]: r["ids"] for r in got} == dict(enumerate(want))
+
+
+def test_columns_with_odd_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "x", 2)], "doc_id long, `text` string, `a.b` string, round_trip int")
+    got = sentencepiece_scan.encode(df, check=True)
+    assert got.columns == ["doc_id", "text", "a.b", "n_pieces", "score", "ids", "round_trip"]
+    assert got.first()["round_trip"] is True and sentencepiece_scan.encode(df, giant=2, check=True).first()["ids"] == got.first()["ids"]
 
 
 def test_empty_tables(spark):

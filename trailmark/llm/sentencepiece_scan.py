@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding of whole texts, giant ones by a max-plus parallel scan.
 
 A text is encoded as its best segmentation under a unigram vocabulary, with a space put in front; characters that are no
-piece are spelled in bytes, so decoding gives back the text exactly.
+piece are spelled in bytes, so decoding gives back the text exactly.  Of equal segmentations it is the one whose last
+piece is longest, then the one before it, and so on; scores are rounded so that sums are exact.
 
 A text of more than ``GIANT`` characters is cut into chunks of ``CHUNK``.  The state at a cut is how far the piece that
 lies across it reaches into the next chunk.  Each chunk yields a matrix of best scores from every state at its start
-to every state at its end; matrices are combined in the (max, +) algebra, up to ``FAN`` at a time and level by level,
-which gives the states of the best path at the ends of all blocks; going down again gives them at every cut; and then
-every chunk is traced back on its own.  No task sees more than ``FAN`` matrices of a text at once.
+to every state at its end; matrices are combined in the (max, +) algebra, up to ``FAN`` at a time and level by level.
+Going down again gives every chunk the best scores of the states at its start, with which it tells, for each state at its end,
+from which one the best segmentation comes; following these from the text's end settles all states, and then every
+chunk is traced back on its own.  The ids are those of a text that is not cut.  No task sees more than ``FAN`` matrices
+of a text at once, or of any text more than a few whole numbers a chunk.
 
 Defined results: a null text has null ids; an empty text has no ids; repeated rows get equal ids, each its own row; an
 empty table gives an empty result; of input columns named n_pieces, score or ids (decoding: decoded) the result has the
@@ -38,15 +41,13 @@ NEW = [T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleT
 def encode_text(text: str, encoder: Encoder) -> tuple[list[int], float]:
     if not text:
         return [], 0.0
-    found = [encoder[s] for s in encoder.v.segments(" " + text)]
-    return list(chain.from_iterable([f[0] for f in found])), sum([f[1] for f in found])
+    places = encoder.places(encoder.v.segments(" " + text))
+    return encoder.gathered(places)[0].tolist(), float(encoder.score[places].sum())
 
 
-def _lists(ids: list[list[int] | None]) -> pa.Array:
-    sizes = np.array([len(x) if x is not None else 0 for x in ids], np.int64)
-    flat = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.int32, int(sizes.sum()))
+def _lists(ids: np.ndarray, sizes: np.ndarray, null: list[bool] | None = None) -> pa.Array:
     offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in ids]))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array(null) if null else None)
 
 
 def spelled(ids: list[int], texts: dict[int, bytes]) -> bytes:
@@ -57,25 +58,25 @@ def spelled(ids: list[int], texts: dict[int, bytes]) -> bytes:
 def _encode(vocabulary, at: int, keep: list[int], check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
-        texts = vocabulary.value.texts
         for whole in batches:
             for start in range(0, whole.num_rows, 250):
                 batch = whole.slice(start, 250)
-                ids, scores, same = [], [], []
-                for x in batch.column(at):
-                    text = x.as_py()
-                    found, score = encode_text(text, encoder) if text is not None else (None, None)
-                    ids.append(found)
-                    scores.append(score)
-                    if check:
-                        same.append(text is None or spelled(found, texts) == text.encode("utf-8", "replace"))
-                sizes = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-                columns = [*(batch.column(k) for k in keep), sizes, pa.array(scores, pa.float64()), _lists(ids)]
+                texts = batch.column(at).to_pylist()
+                parts = [encoder.v.segments(" " + x) if x else [] for x in texts]
+                places = encoder.places(list(chain.from_iterable(parts)))
+                ids, sizes = encoder.gathered(places)
+                ends = np.r_[0, np.cumsum([len(x) for x in parts])]
+                many, total = np.r_[0, np.cumsum(sizes)][ends], np.r_[0.0, np.cumsum(encoder.score[places])][ends]
+                null = [x is None for x in texts]
+                columns = [pa.array(np.diff(many), pa.int64(), mask=np.array(null)), pa.array(np.diff(total), pa.float64(), mask=np.array(null)), _lists(ids, np.diff(many), null)]
                 names = [*(batch.schema.names[k] for k in keep), "n_pieces", "score", "ids"]
                 if check:
+                    # Each segment's ids were spelled when it was first met; the segments must make up the text.
+                    bad = np.isin(places, list(encoder.wrong)) if encoder.wrong else np.zeros(len(places), bool)
+                    same = [not x or ("".join(p) == " " + x and not bad[i:j].any()) for x, p, i, j in zip(texts, parts, ends, ends[1:], strict=False)]
                     columns.append(pa.array(same, pa.bool_()))
                     names.append("round_trip")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns], names)
 
     return run
 
@@ -86,16 +87,18 @@ class Chunk:
     def __init__(self, text: str, own: int, encoder: Encoder):
         self.text, self.own, self.encoder, self.v = text, own, encoder, encoder.v
         n = self.v.longest
-        # No piece lies across a mark, so all paths meet there.
+        # No piece lies across a mark, so all segmentations meet there.
         marks = [p for p in range(n, own) if self.v.splits and text[p] == " " and text[p - 1] != " "]
         self.first, self.last = (marks[0], marks[-1]) if marks else (None, None)
 
-    def _walk(self, start: int, stop: int) -> tuple[list[float], list[tuple[int, int]]]:
-        """Best scores from ``start`` to every place up to stop + longest - 1 by pieces that begin before ``stop``, and the last pieces."""
+    def _walk(self, start: int, stop: int, begin: dict[int, float]) -> tuple[list[float], list[tuple[int, int]]]:
+        """Best scores of the places from ``start`` to stop + longest - 1, reached by pieces that begin before ``stop``,
+        with the length and id of the last piece: the longest of equal ones, 0 for a score in ``begin``."""
         text, scores, n = self.text, self.v.scores, self.v.longest
         best = [-np.inf] * (max(stop, start) - start + n)
         back = [(0, 0)] * len(best)
-        best[0] = 0.0
+        for p, score in begin.items():
+            best[p - start] = score
         for p in range(start, stop):
             now = best[p - start]
             if now == -np.inf:
@@ -107,38 +110,52 @@ class Chunk:
                     back[p - start + k] = (k, hit[1])
         return best, back
 
-    def _middle(self) -> list[tuple[list[int], float]]:
-        return [self.encoder[s] for s in self.v.segments(self.text[self.first : self.last])]
+    def _middle(self) -> np.ndarray:
+        return self.encoder.places(self.v.segments(self.text[self.first : self.last]))
 
     def matrix(self) -> np.ndarray:
         n = self.v.longest
         m = np.full((n, n), -np.inf)
         if self.first is None:
-            for i in range(n):
-                m[i] = self._walk(i, self.own)[0][max(0, self.own - i) :][:n] if i <= self.own else -np.inf
+            for i in range(min(n, self.own + 1)):
+                m[i] = self._walk(i, self.own, {i: 0.0})[0][max(0, self.own - i) :][:n]
             return m
-        head = np.array([self._walk(i, self.first)[0][self.first - i] for i in range(n)])
-        tail = np.array(self._walk(self.last, self.own)[0][self.own - self.last :][:n])
-        return head[:, None] + sum([s for _, s in self._middle()]) + tail[None, :]
+        head = np.array([self._walk(i, self.first, {i: 0.0})[0][self.first - i] for i in range(n)])
+        tail = np.array(self._walk(self.last, self.own, {self.last: 0.0})[0][self.own - self.last :][:n])
+        places = self._middle()
+        return head[:, None] + self.encoder.score[places].sum() + tail[None, :]
 
-    def _trace(self, start: int, stop: int, end: int) -> list[int]:
-        best, back = self._walk(start, stop)
+    def _trace(self, back: list[tuple[int, int]], start: int, end: int) -> tuple[list[int], int]:
+        """The pieces up to ``end``, and the place where they begin."""
         ids: list[int] = []
         p = end
-        while p > start:
+        while back[p - start][0]:
             k, piece = back[p - start]
             if piece >= 0:
                 ids.append(piece)
             else:
                 ids.extend(self.v.bytes_[b] for b in reversed(self.text[p - 1].encode("utf-8", "replace")))
             p -= k
-        return ids[::-1]
+        return ids[::-1], p
+
+    def _head(self, f: np.ndarray) -> list[tuple[int, int]]:
+        """From the best scores f of the states at its start, the last pieces up to the first mark or the end."""
+        return self._walk(0, self.own if self.first is None else self.first, {i: x for i, x in enumerate(f.tolist()) if x > -np.inf})[1]
 
-    def ids(self, i: int, j: int) -> list[int]:
-        """The pieces that begin in this chunk on the best path from state i to state j."""
+    def origins(self, f: np.ndarray) -> list[int]:
+        """For every state at its end, the state at its start that the best segmentation comes from."""
+        back, n = self._head(f), self.v.longest
         if self.first is None:
-            return self._trace(i, self.own, self.own + j)
-        return [*self._trace(i, self.first, self.first), *chain.from_iterable(x for x, _ in self._middle()), *self._trace(self.last, self.own, self.own + j)]
+            return [self._trace(back, 0, self.own + j)[1] for j in range(n)]
+        return [self._trace(back, 0, self.first)[1]] * n
+
+    def ids(self, f: np.ndarray, j: int) -> np.ndarray:
+        """The pieces that begin in this chunk on the best segmentation to state j."""
+        back = self._head(f)
+        if self.first is None:
+            return np.array(self._trace(back, 0, self.own + j)[0], np.int32)
+        tail = self._trace(self._walk(self.last, self.own, {self.last: 0.0})[1], self.last, self.own + j)[0]
+        return np.concatenate([np.array(self._trace(back, 0, self.first)[0], np.int32), self.encoder.gathered(self._middle())[0], np.array(tail, np.int32)])
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,60 +187,97 @@ def _square(m: bytes) -> np.ndarray:
 
 
 def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
-    """From the states at the ends of a block to those at the ends of each of its parts."""
+    """From the best scores of the states at the start of a block to those at the start of each of its parts."""
     pdf = pdf.sort_values("k")
-    parts = [_square(m) for m in pdf["m"]]
-    forward = [np.full(len(parts[0]), -np.inf)]
-    forward[0][pdf["i"].iloc[0]] = 0.0
-    for m in parts:
-        forward.append((forward[-1][:, None] + m).max(0))
-    states = [int(pdf["j"].iloc[0])]
-    for f, m in zip(reversed(forward[:-1]), reversed(parts), strict=True):
-        states.append(int((f + m[:, states[-1]]).argmax()))
-    states.reverse()
-    return pd.DataFrame({"rid": pdf["rid"], "k": pdf["k"], "i": states[:-1], "j": states[1:]})
+    forward = [np.frombuffer(pdf["f"].iloc[0])]
+    for m in pdf["m"].iloc[:-1]:
+        forward.append((forward[-1][:, None] + _square(m)).max(0))
+    return pd.DataFrame({"rid": pdf["rid"], "k": pdf["k"], "f": [f.tobytes() for f in forward]})
+
+
+def _cut(chunk: int, longest: int):
+    """From (rid, text): rid, k, own, text of the chunks, each with what a piece may reach beyond it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = " " + text.as_py()
+                for first in range(0, len(text), 64 * chunk):  # so many chunks at a time
+                    at = range(first, min(first + 64 * chunk, len(text)), chunk)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([rid] * len(at), pa.int64()), pa.array([p // chunk for p in at], pa.int64()), pa.array([min(chunk, len(text) - p) for p in at], pa.int32()), pa.array([text[p : p + chunk + longest] for p in at], pa.string())],
+                        ["rid", "k", "own", "text"],
+                    )
+
+    return run
+
+
+def _origins(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
+        for batch in batches:
+            own, text, f = (batch.column(c).to_pylist() for c in range(2, 5))
+            found = [Chunk(t, k, encoder).origins(np.frombuffer(x)) for k, t, x in zip(own, text, f, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bytes(x) for x in found], pa.binary())], ["rid", "k", "t"])
+
+    return run
+
+
+def _states(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The state at the end of each chunk of a text."""
+    pdf = pdf.sort_values("k", ascending=False)
+    j, out = 0, []
+    for t in pdf["t"]:
+        out.append(j)
+        j = t[j]
+    return pd.DataFrame({"rid": pdf["rid"], "k": pdf["k"], "j": out})
 
 
 def _traced(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            own, text, m, i, j = (batch.column(c).to_pylist() for c in range(2, 7))
-            ids, score = [], []
-            for o, t, x, a, b in zip(own, text, m, i, j, strict=True):
-                ids.append(Chunk(t, o, encoder).ids(a, b))
-                score.append(float(_square(x)[a, b]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), _lists(ids)], ["rid", "k", "score", "ids"])
+            own, text, f, j = (batch.column(c).to_pylist() for c in range(2, 6))
+            ids = []
+            for o, t, x, b in zip(own, text, f, j, strict=True):
+                ids.append(Chunk(t, o, encoder).ids(np.frombuffer(x), b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64))], ["rid", "k", "ids"])
 
     return run
 
 
 def scan(giants: DataFrame, vocabulary, longest: int, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """From (rid, text) of non-empty texts: rid, n_pieces, score, ids."""
-    text = F.concat(F.lit(" "), F.col("text"))
-    cut = giants.select("rid", text.alias("text"), F.length(text).alias("n"))
-    parts = cut.select("rid", "n", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("k"))
-    parts = parts.select(
-        "rid", "k", F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk).cast("int").alias("own"), F.expr(f"substring(text, cast(k * {chunk} + 1 as int), {chunk + longest})").alias("text")
-    )
+    cut = giants.select("rid", "text").mapInArrow(_cut(chunk, longest), "rid long, k long, own int, text string")
     # A last chunk shorter than a piece could be jumped over by a state; it is part of the look-ahead of the one before, and its matrix allows that.
-    parts = scratch.save(parts.repartition("rid", "k"), "chunks")
+    parts = scratch.save(cut.repartition("rid", "k"), "chunks")
     levels = [scratch.save(parts.mapInArrow(_matrices(vocabulary), "rid long, k long, m binary"), "matrices")]
     while not levels[-1].filter("k > 0").isEmpty():
         up = levels[-1].groupBy("rid", F.floor(F.col("k") / FAN).alias("block")).applyInPandas(_combine, "rid long, k long, m binary")
         levels.append(scratch.save(up, "matrices"))
-    states = levels[-1].select("rid", "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    start = np.full(longest, -np.inf)
+    start[0] = 0.0
+    forward = levels[-1].select("rid", "k", F.lit(bytearray(start.tobytes())).alias("f"))
     for level in reversed(levels[:-1]):
-        below = level.withColumn("block", F.floor(F.col("k") / FAN)).join(states.withColumnRenamed("k", "block"), ["rid", "block"])
-        states = scratch.save(below.groupBy("rid", "block").applyInPandas(_spread, "rid long, k long, i int, j int"), "states")
-    ready = parts.join(levels[0], ["rid", "k"]).join(states, ["rid", "k"]).select("rid", "k", "own", "text", "m", "i", "j")
-    traced = ready.mapInArrow(_traced(vocabulary), "rid long, k long, score double, ids array<int>")
-    joined = traced.groupBy("rid").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))  # one text's ids: one value of the result
+        below = level.withColumn("block", F.floor(F.col("k") / FAN)).join(forward.withColumnRenamed("k", "block"), ["rid", "block"])
+        forward = scratch.save(below.groupBy("rid", "block").applyInPandas(_spread, "rid long, k long, f binary"), "forward")
+    total = levels[-1].select("rid", "m").mapInArrow(_totals, "rid long, score double")
+    ready = scratch.save(parts.join(forward, ["rid", "k"]).select("rid", "k", "own", "text", "f"), "ready")
+    states = ready.mapInArrow(_origins(vocabulary), "rid long, k long, t binary").groupBy("rid").applyInPandas(_states, "rid long, k long, j int")
+    traced = ready.join(states, ["rid", "k"]).select("rid", "k", "own", "text", "f", "j").mapInArrow(_traced(vocabulary), "rid long, k long, ids array<int>")
+    joined = traced.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))  # one text's ids: one value of the result
     ids = F.flatten(F.col("x.ids"))
-    return joined.select("rid", F.size(ids).cast("long").alias("n_pieces"), "score", ids.alias("ids"))
+    return joined.join(total, "rid").select("rid", F.size(ids).cast("long").alias("n_pieces"), "score", ids.alias("ids"))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(_square(m)[0, 0]) for m in batch.column(1).to_pylist()], pa.float64())], ["rid", "score"])
 
 
-def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+def encode(
+    df: DataFrame, text_col: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None, check: bool = False, scratch: Scratch | None = None
+) -> DataFrame:
     """The columns of ``df``, or those in ``keep``, with n_pieces, score (natural log-probability) and ids.
 
     With ``check`` also round_trip: whether decoding the ids gives back the text.
@@ -231,22 +285,20 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, giant: int
     found: Vocabulary = load(model)
     vocabulary = df.sparkSession.sparkContext.broadcast(found)
     new = [*NEW, T.StructField("round_trip", T.BooleanType())] if check else NEW
-    df = df.drop(*[f.name for f in new])
-    keep = [c for c in keep or df.columns if c in df.columns]
-    large = F.length(F.col(text_col).cast("string")) > giant
-    small = df.filter(F.coalesce(~large, F.lit(True))).withColumn(text_col, F.col(text_col).cast("string"))
-    small = small.select(*dict.fromkeys([*keep, text_col]))
-    places = [small.columns.index(c) for c in keep]
-    out = small.mapInArrow(_encode(vocabulary, small.columns.index(text_col), places, check), T.StructType([*(small.schema[k] for k in places), *new]))
-    giants = df.filter(large).withColumn(text_col, F.col(text_col).cast("string"))
-    if giants.isEmpty():
-        return out
-    scratch = Scratch(df.sparkSession, "pieces")
-    giants = scratch.save(giants.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")), "giants")
-    done = giants.join(scan(giants.select("rid", "text"), vocabulary, found.longest, scratch, chunk), "rid")
-    if check:
-        done = decode(done, model=model).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text")))
-    return out.unionByName(done.select("row.*", *[f.name for f in new]))
+    keep = [c for c in keep or df.columns if c in df.columns and c not in [f.name for f in new]]
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col], F.lit(None).alias("none")).alias("row"))
+    large = F.coalesce(F.length("text") > giant, F.lit(False))
+    out = rows.filter(~large).mapInArrow(_encode(vocabulary, 0, [0, 1], check), T.StructType([*rows.schema.fields, *new]))
+    giants = rows.filter(large)
+    if not giants.isEmpty():
+        scratch = scratch or Scratch(df.sparkSession, "pieces")
+        giants = scratch.save(giants.withColumn("rid", F.monotonically_increasing_id()), "giants")
+        done = giants.join(scan(giants, vocabulary, found.longest, scratch, chunk), "rid")
+        if check:
+            done = decode(done.select("text", "row", *[f.name for f in NEW]), model=model).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text")))
+        out = out.unionByName(done.select("text", "row", *[f.name for f in new]))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in keep], *[f.name for f in new])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
