@@ -72,10 +72,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``."""
     names = df.columns
-    scratch = Scratch(df.sparkSession, "exact")
+    scratch = scratch or Scratch(df.sparkSession, "exact")
     keep = scratch.save(winners(df, id_col, text_col).select("sha", "fp", "keep_id"), "keep")
     norm = normalised(F.col(text_col))
     tagged = df.select(

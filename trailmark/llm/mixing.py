@@ -100,7 +100,7 @@ def uniform(id_: Column, seed: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(df: DataFrame, targets: Targets | None = None, budget: float = 0.7, id_col: str = "doc_id", text_col: str = "text", axes: dict[str, Column] | None = None) -> DataFrame:
+def mix(df: DataFrame, targets: Targets | None = None, budget: float = 0.7, id_col: str = "doc_id", text_col: str = "text", axes: dict[str, Column] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``row`` (struct of its columns), n_tokens, probability, weight (share of its cell) and drawn.
 
     budget is a share of all tokens.  Without targets, sources get shares by the square root of their tokens, languages
@@ -115,7 +115,7 @@ def mix(df: DataFrame, targets: Targets | None = None, budget: float = 0.7, id_c
         *[c.cast("string").alias(named[a]) for a, c in axes.items()],
     )
     counts = rows.groupBy(*named.values()).agg(F.sum("n_tokens").alias("n"))
-    counts = Scratch(df.sparkSession, "mixing").save(counts, "cells")
+    counts = (scratch or Scratch(df.sparkSession, "mixing")).save(counts, "cells")
     powers = {"source": 0.5, "lang": 0.7}
     goals = {a: (targets or {}).get(a) or tempered(counts, named[a], powers.get(a, 1.0)) for a in axes}
 

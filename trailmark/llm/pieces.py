@@ -8,13 +8,14 @@ from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 #: A public vocabulary; any SentencePiece model with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Nodes that a trie holds before it starts afresh.
 NODES = 250_000
 #: Segments, and their ids, that an encoder keeps at hand before it starts afresh.
-SEGMENTS = 300_000
+SEGMENTS = 400_000
 KEPT_IDS = 4_000_000
 #: Longer words get a trie of their own, which is dropped with the word.
 LONG = 400
@@ -186,13 +187,15 @@ class Encoder:
 
     def places(self, segments: list[str]) -> np.ndarray:
         """Where each segment is in ``start`` and ``score``; what was found before may not be looked up any more."""
-        new = set(segments).difference(self.index)
+        coded = pa.array(segments, pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [s for s in words if s not in self.index]
         if len(self.index) + len(new) > SEGMENTS or len(self.ids) > KEPT_IDS:
             self.clear()
-            new = set(segments)
+            new = words
         if new:
-            self._add(sorted(new))
-        return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+            self._add(new)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
 
     def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of segments one after another, and the number of each."""
@@ -201,12 +204,13 @@ class Encoder:
         return self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
     def _add(self, new: list[str]) -> None:
-        alone = [s for s in new if len(s) > TOGETHER]
-        ids, sizes, scores, odd = self._together([s for s in new if len(s) <= TOGETHER])
         order = [s for s in new if len(s) <= TOGETHER]
-        alone += [order[k] for k in odd]
-        odd_ = set(odd)
-        order = [s for k, s in enumerate(order) if k not in odd_]
+        alone = [s for s in new if len(s) > TOGETHER] if len(order) < len(new) else []
+        ids, sizes, scores, odd = self._together(order)
+        if odd:
+            alone += [order[k] for k in odd]
+            for k in reversed(odd):
+                del order[k]
         found = [self.best(s) for s in alone]
         base = len(self.score)
         self.index.update(zip(order + alone, range(base, base + len(order) + len(alone)), strict=True))
@@ -227,7 +231,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0), []
         steps = self.v.steps
         chars = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([len(s) for s in segments])
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         ends = np.cumsum(sizes)
         of = np.repeat(np.arange(len(sizes)), sizes)
         first = steps.go(np.zeros(len(chars), np.int64), chars)

@@ -32,30 +32,24 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: name -> (good if, bad if); neither: the rule abstains
-RULES: dict[str, tuple[Column, Column]] = {}
-
-
 def rules() -> dict[str, tuple[Column, Column]]:
-    """Built on first use, since columns need a running session."""
-    if not RULES:
-        never = F.lit(False)
-        mean = _ratio("word_chars", "n_words")
-        letters = _ratio("n_letters", "word_chars")
-        variety = F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)))
-        RULES.update({
-            "word_length": (never, (mean < 2.5) | (mean > 14)),
-            "letters": (letters > 0.93, letters < 0.8),
-            "symbols": (never, _ratio("n_symbols", "word_chars") > 0.03),
-            "runs": (never, _ratio("n_runs", "n_words") > 0.1),
-            "lone": (never, _ratio("n_lone", "n_words") > 0.1),
-            "capitals": (never, _ratio("n_upper", "word_chars") > 0.3),
-            "digits": (never, _ratio("n_digits", "word_chars") > 0.3),
-            "lines": (never, _ratio("n_dup_lines", "n_lines") > 0.3),
-            "windows": (never, _ratio("n_repeat_words", "n_words") > 0.3),
-            "variety": (variety > 5, variety < 2.5),
-        })
-    return RULES
+    """name -> (good if, bad if); neither: the rule abstains."""
+    never = F.lit(False)
+    mean = _ratio("word_chars", "n_words")
+    letters = _ratio("n_letters", "word_chars")
+    variety = F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)))
+    return {
+        "word_length": (never, (mean < 2.5) | (mean > 14)),
+        "letters": (letters > 0.93, letters < 0.8),
+        "symbols": (never, _ratio("n_symbols", "word_chars") > 0.03),
+        "runs": (never, _ratio("n_runs", "n_words") > 0.1),
+        "lone": (never, _ratio("n_lone", "n_words") > 0.1),
+        "capitals": (never, _ratio("n_upper", "word_chars") > 0.3),
+        "digits": (never, _ratio("n_digits", "word_chars") > 0.3),
+        "lines": (never, _ratio("n_dup_lines", "n_lines") > 0.3),
+        "windows": (never, _ratio("n_repeat_words", "n_words") > 0.3),
+        "variety": (variety > 5, variety < 2.5),
+    }
 
 
 def with_figures(df: DataFrame, text_col: str) -> DataFrame:
@@ -167,7 +161,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select(F.col("id").alias(id_col), *FIGURES[:5], "base_failed", "kept", "quality", *[c for c in out.columns if c.startswith("vote_")])
 
 
-def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``df`` that are kept, with the columns of ``df``."""
-    figures = Scratch(df.sparkSession, "quality").save(with_figures(df, text_col), "figures")
+    figures = (scratch or Scratch(df.sparkSession, "quality")).save(with_figures(df, text_col), "figures")
     return _verdicts(figures).filter("kept").select("row.*")
