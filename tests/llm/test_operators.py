@@ -248,7 +248,7 @@ def test_shared_passages(docs, rows, empty):
 
 @pytest.mark.parametrize("ends", [0, 4, 9])
 def test_shared_passages_at_every_offset(spark, ends):
-    """52 shared words inside longer lines, with no sentence ends (0) or after every few words, are found to their ends."""
+    """52 shared words inside longer lines, whatever is around them, are found to their ends."""
     r = random.Random(ends)
     word = lambda: "".join(r.choice(SYLLABLES) for _ in range(4))
     stopped = lambda ws: [w + "." if ends and i % ends == ends - 1 else w for i, w in enumerate(ws)]
@@ -264,10 +264,50 @@ def test_shared_passages_at_every_offset(spark, ends):
     for r in got:
         start, end, removed, keep = want[r["doc_id"]]
         assert (r["removed"], r["keep_id"]) == (removed, keep) and r["start_word"] <= start and end <= r["end_word"]
-        assert r["n_words"] <= 52 + 12  # sentences that are alike by 0.8 count as a whole
+        assert r["n_words"] <= 52 + 2  # a word that follows by chance
     assert sum(r["n_words"] == 52 for r in got) >= 0.7 * len(got)
 
 
+def test_line_links_find_near_copies(spark):
+    """Against all pairs of lines: of those alike by 0.8 or more, 0.9 at least are in one component, and no others."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(4))
+    lines = []
+    for _ in range(120):
+        ws = [word() for _ in range(r.randrange(9, 70))]
+        lines.append(ws)
+        for _ in range(2):
+            v = list(ws)
+            for _ in range(r.randrange(1, 3)):
+                v[r.choice([0, len(v) - 1, r.randrange(len(v))])] = word()
+            lines.append(v)
+    shingles = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in lines]
+    alike = {(i, j) for i in range(len(lines)) for j in range(i) if 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j])}
+    df = spark.createDataFrame([(i, 0, " ".join(x)) for i, x in enumerate(lines)], "id long, t int, text string")
+    met = df.mapInArrow(passages._units, passages.ROW.format("long")).filter("start < 0")
+    tiles = links.shared_keys(met.select("key", "c")).join(met.select("key", "c", "id", "t"), ["key", "c"])
+    scratch = Scratch(spark, "test")
+    labels, places = passages.line_links(df, scratch.save(tiles), scratch)
+    label = {x["id"]: x["label"] for x in places.join(labels, "c").collect()}
+    assert len(alike) > 80 and sum(i in label and label[i] == label.get(j) for i, j in alike) >= 0.9 * len(alike)
+    parent = list(range(len(lines)))
+    for i, j in sorted(alike) * 3:
+        parent[i] = parent[j] = min(parent[i], parent[j])
+    assert all(parent[i] == parent[j] for i in label for j in label if label[i] == label[j])
+
+
+def test_removed_words_are_in_another_document(spark):
+    """Between two shared runs with a few words of its own, those words stay."""
+    word = lambda k: f"w{k}x"
+    left, right = [word(k) for k in range(30)], [word(k) for k in range(100, 130)]
+    data = [(1, " ".join([*left, *right])), (2, " ".join(["aa", *left, "own", "words", "in", "here", "are", "six", *right, "zz"])), (2, " ".join(["aa", *left, "own", "words", "in", "here", "are", "six", *right, "zz"]))]
+    df = spark.createDataFrame([(*d, "x", 1) for d in data], "doc_id long, text string, `__id` string, spans int")
+    got = sorted((r["start_word"], r["end_word"]) for r in passages.repeated(df).collect() if r["doc_id"] == 2)
+    assert got == [(1, 31), (37, 67)]
+    texts = {r["text"] for r in passages.without_repeats(df).filter("doc_id = 2").collect()}
+    assert {t.replace("  ", " ").strip() for t in texts} == {"aa own words in here are six zz"}
+
+
 def test_short_near_copies_share_a_band():
     import numpy as np
 

@@ -1,21 +1,21 @@
 """Passages that several documents share, by MinHash banding of paragraphs.
 
-Units of a text are its lines, its sentences (short ones joined to the next; a sentence of more than ``CUT`` words is
-cut at words chosen by their hash) and its anchors: of every ``REACH`` runs of ``ANCHOR`` words that follow one another,
-wherever lines and sentences end, the run with the smallest hash.  So any ``ANCHOR + REACH - 1`` words that two texts
-share hold an anchor of both, whatever is around them.  Equal units form one class.  For lines and sentences of
-``LEAST_BANDED`` words or more (of fewer, no two different ones reach 0.8), MinHash values of their five-word shingles
-are banded; those that collide in a band meet in a tile, are verified by exact Jaccard similarity of at least 0.8, and
-linked ones form one component.
-
-A component that occurs in two or more documents is repeated.  Repeated units of a document with no more than ``GAP``
-words between them form a span.  The first and the last unit of a span are extended word by word as far as another
-document goes on alike, and a span that then has ``LEAST_SPAN`` words or more is reported.  Of each component the
-document with the smallest id keeps its copy, and in all others it is to be removed.
+Paragraphs are the lines of a text.  For those of ``LEAST_BANDED`` words or more (of fewer, no two different ones reach
+0.8), MinHash values of their five-word shingles are banded; those that collide in a band meet in a tile, are verified by
+exact Jaccard similarity of at least 0.8, and linked ones form one component.  So that passages are found wherever lines
+end, each text is also cut at words that its own words choose: where the hash of three words is the smallest of
+``REACH`` on either side.  So in a passage that two texts share the cuts are the same in both, but for ``REACH`` words at
+its ends, whatever is around it; the pieces are some nine words long, and equal ones form one component.
+
+A component that occurs in two or more documents is repeated.  Repeated units of a document that touch form a span.  The
+first and the last unit of a span are extended word by word as far as another document goes on alike.  Spans with
+no more than ``GAP`` words between them form a chain; the spans of a chain that has ``LEAST_SPAN`` words or more in its spans are
+reported, without the words between them.  Of each component the document with the smallest id keeps its copy, and in all others
+it is to be removed.
 
 Defined results: null and empty texts have no units; a null id never counts as a document of its own, so its rows are
 not reported; repeated rows are one document and repeat nothing by themselves; an empty table gives an empty result;
-extra columns do not matter.
+extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,32 +27,31 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trailmark.llm import links
+from trailmark.llm.ngram_join import ITEM
+from trailmark.llm.sets import bitmap
 from trailmark.llm.shingles import HELD, WordHashes, as_long, mixed, windows
 from trailmark.llm.store import Scratch
 
 WIDTH = 5
 THRESHOLD = Fraction(8, 10)
 RECALL = 0.99
-#: Words of the shortest line or sentence that is banded, and from how many on a band has ROWS values in place of one.
+#: Words of the shortest line that is banded, and from how many on a band has ROWS values in place of one.
 LEAST_BANDED = 8
 LONG_UNIT = 24
-LEAST_SENTENCE = 6
+#: Words of the shortest unit.
+LEAST_UNIT = 5
 LEAST_SPAN = 25
-#: Words that may lie between two repeated units of a span (lines too short to be units).
+#: Words that may lie between two spans of a chain.
 GAP = 8
-CUT = 64
-#: Words of an anchor, and the number of places of which one is an anchor at least.
-ANCHOR = 8
-REACH = 10
-#: A run that goes on for more words than this beyond a unit has another anchor there.
-MOST_MORE = ANCHOR + REACH
+#: Places on either side of a cut among which it has the smallest hash, and words of the longest piece.
+REACH = 4
+LONGEST = 40
 
 
 def tuned(threshold: float = float(THRESHOLD), recall: float = RECALL, rows: int = 2) -> int:
@@ -64,17 +63,6 @@ ROWS, BANDS = 2, tuned()
 SHORT_BANDS = tuned(rows=1)
 
 
-class MarkedHashes(WordHashes):
-    """The last bit of a word's hash says whether the word ends a sentence."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        ends = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?")
-        self[word] = h = xxhash.xxh3_64_intdigest(word) & ~1 | ends
-        return h
-
-
 def _content(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A hash of each run of words, of their order too."""
     if not len(starts):
@@ -85,57 +73,6 @@ def _content(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return mixed(np.add.reduceat(spread, starts) + sizes.astype(np.uint64))
 
 
-def _sentences(hashes: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Starts of the sentences; ``lines``: ends of the lines."""
-    ends = np.flatnonzero(hashes & np.uint64(1)) + 1
-    cuts: list[int] = []
-    start = 0
-    line_ends = set(lines.tolist())
-    for end in np.union1d(ends, lines).tolist():
-        if end - start > CUT:
-            inside = np.flatnonzero((hashes[start:end] >> np.uint64(8)) % np.uint64(16) == 0) + start + 1
-            for p in inside.tolist():
-                if p - start >= LEAST_SENTENCE and p < end:
-                    cuts.append(p)
-                    start = p
-        if end - start >= LEAST_SENTENCE or end in line_ends:
-            cuts.append(end)
-            start = end
-    return np.array([0, *cuts[:-1]], np.int64)
-
-
-def units(text: bytes | None, table: MarkedHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, class) of all units, first the lines, then the sentences that aren't lines; the words' hashes; the number of lines."""
-    none = np.zeros(0, np.int64)
-    parts = [x for line in (text or b"").split(b"\n") if (x := line.lower().split())]
-    if not parts:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), 0
-    hashes = np.concatenate([table.array(x) for x in parts])
-    sizes = np.array([len(x) for x in parts])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    s_starts = _sentences(hashes, ends)
-    s_sizes = np.diff(np.r_[s_starts, len(hashes)])
-    classes = _content(hashes, starts, sizes), _content(hashes, s_starts, s_sizes)
-    extra = ~np.isin(s_starts * (len(hashes) + 1) + s_sizes, starts * (len(hashes) + 1) + sizes)
-    return np.r_[starts, s_starts[extra]], np.r_[sizes, s_sizes[extra]], np.r_[classes[0], classes[1][extra]], hashes, len(starts)
-
-
-def anchors(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and classes of the anchors, from the hashes of all windows of WIDTH words."""
-    n = len(every) - (ANCHOR - WIDTH)
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = mixed(every[:n] * np.uint64(0x9E3779B97F4A7C15) + every[ANCHOR - WIDTH :])
-    k = min(REACH, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, k).argmin(1) + np.arange(n - k + 1))
-    return at, mixed(h[at] ^ np.uint64(0xA0761D6478BD642F))
-
-
-def line_shingles(hashes: np.ndarray, start: int, size: int) -> np.ndarray:
-    return windows(hashes[start : start + size], WIDTH)
-
-
 def band_keys(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """Keys of each of the units, all of which have at least WIDTH words; ``every``: the hashes of all windows of WIDTH words."""
     counts = sizes - WIDTH + 1
@@ -159,142 +96,212 @@ def banded(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np
     return np.concatenate(keys), np.concatenate(of)
 
 
-UNITS = "rid long, id {}, start array<int>, size array<int>, c array<long>, key array<long>, key_c array<long>"
+def paragraphs(text: bytes | None, table: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the places where the lines with words end."""
+    parts = [x for line in (text or b"").split(b"\n") if (x := line.lower().split())]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return table.array([w for x in parts for w in x]), np.cumsum([len(x) for x in parts])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (rid, id, text): rid, id, the units, and the band keys of lines and sentences with their classes."""
-    table = MarkedHashes()
+def cuts(hashes: np.ndarray) -> np.ndarray:
+    """Ends of the pieces."""
+    n = len(hashes)
+    if n < 3:
+        return np.array([n]) if n else np.zeros(0, np.int64)
+    h = mixed(windows(hashes, 3) ^ np.uint64(0x9E3779B97F4A7C15))
+    around = np.pad(h, REACH, constant_values=np.uint64(2**64 - 1))
+    near = np.lib.stride_tricks.sliding_window_view(around, REACH)
+    at = np.flatnonzero((h < near[: len(h)].min(1)) & (h <= near[REACH + 1 : REACH + 1 + len(h)].min(1)))
+    ends = np.union1d(at[at > 0], [n])
+    begin = np.r_[0, ends[:-1]]
+    long = np.flatnonzero(ends - begin > LONGEST)
+    return np.union1d(ends, np.concatenate([np.arange(begin[k] + LONGEST, ends[k], LONGEST) for k in long])) if len(long) else ends
 
-    def lists(values: list[np.ndarray], kind: type) -> pa.Array:
-        offsets = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(kind) if values else np.zeros(0, kind)))
 
+ROW = "key long, c long, id {}, t int, start int, size int"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, t, text): a row for each unit, whose key is its class, and one for each band key of a line, with start -1,
+    once for the copies of a line that a task has met lately."""
+    table, met = WordHashes(), set()
     for whole in batches:
         for i in range(0, whole.num_rows, 500):
             batch = whole.slice(i, 500)
-            out: list[tuple] = []
-            for x in batch.column(2).cast(pa.large_binary()):
-                starts, sizes, classes, hashes, _ = units(x.as_py(), table)
-                every = windows(hashes, WIDTH) if len(hashes) >= WIDTH else hashes[:0]
-                keys, key_c = banded(every, starts, sizes, classes)
-                whole_units = sizes >= LEAST_SENTENCE
-                at, own = anchors(every)
-                starts, sizes, classes = np.r_[starts[whole_units], at], np.r_[sizes[whole_units], np.full(len(at), ANCHOR)], np.r_[classes[whole_units], own]
-                out.append((starts, sizes, as_long(classes), as_long(keys), as_long(key_c)))
-            starts, sizes, classes, keys, key_c = map(list, zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists(starts, np.int32), lists(sizes, np.int32), lists(classes, np.int64), lists(keys, np.int64), lists(key_c, np.int64)],
-                ["rid", "id", "start", "size", "c", "key", "key_c"],
-            )
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (wanted classes, text): c, e (sorted distinct shingles) of those lines and sentences."""
-    table = MarkedHashes()
+            rows: list[np.ndarray] = []
+            for k, x in enumerate(batch.column(2).cast(pa.large_binary())):
+                hashes, lines = paragraphs(x.as_py(), table)
+                if not len(hashes):
+                    continue
+                begin = np.r_[0, lines[:-1]]
+                sizes, classes = lines - begin, _content(hashes, begin, lines - begin)
+                ends = cuts(hashes)
+                from_ = np.r_[0, ends[:-1]]
+                own = _content(hashes, from_, ends - from_)
+                extra = ~np.isin(own, classes)
+                starts, lengths, all_ = np.r_[begin, from_[extra]], np.r_[sizes, (ends - from_)[extra]], np.r_[classes, own[extra]]
+                unit = lengths >= LEAST_UNIT
+                rows.append(np.stack([as_long(all_[unit]), as_long(all_[unit]), np.full(unit.sum(), k), starts[unit], lengths[unit]]))
+                fresh = np.array([c not in met for c in as_long(classes).tolist()])
+                if fresh.any() and len(hashes) >= WIDTH:
+                    met.update(as_long(classes[fresh]).tolist())
+                    keys, key_c = banded(windows(hashes, WIDTH), begin[fresh], sizes[fresh], classes[fresh])
+                    rows.append(np.stack([as_long(keys), as_long(key_c), np.full(len(keys), k), np.full(len(keys), -1), np.zeros(len(keys), np.int64)]))
+                if len(met) > HELD:
+                    met.clear()
+            if rows:
+                key, c, at, start, size = np.concatenate(rows, 1)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "c", "id", "t", "start", "size"])
+
+
+LINES = "c long, id {}, t int, start int, size int, n long, bits binary, e binary"
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, t, text, wanted classes): c, id, t, start, size of those lines, and of each the size, bitmap and sorted distinct shingles."""
+    table = WordHashes()
     for batch in batches:
-        found: dict[int, bytes] = {}
-        for wanted, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-            starts, sizes, classes, hashes, _ = units(x.as_py(), table)
-            left = set(wanted)
-            for k, c in enumerate(as_long(classes).tolist()):
-                if c in left:
-                    found[c] = np.unique(line_shingles(hashes, starts[k], sizes[k])).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["c", "e"])
+        at, found = [], []
+        for k, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
+            hashes, lines = paragraphs(x.as_py(), table)
+            begin = np.r_[0, lines[:-1]].astype(np.int64)
+            wanted = set(wanted)
+            for c, start, end in zip(as_long(_content(hashes, begin, lines - begin)).tolist(), begin.tolist(), lines.tolist(), strict=True):
+                if c in wanted:
+                    e = np.unique(windows(hashes[start:end], WIDTH))
+                    at.append(k)
+                    found.append((c, start, end - start, len(e), bitmap(e).tobytes(), e.tobytes()))
+        c, start, size, n, bits, e = zip(*found, strict=True) if found else [()] * 6
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(e, pa.binary())],
+            ["c", "id", "t", "start", "size", "n", "bits", "e"],
+        )
+
 
+ENDS = "id {}, t int, side int, start int, end int, c long, keys array<long>"
 
-ENDS = "id {}, side int, start int, end int, c long, keys array<long>"
+
+def _room(places: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words by which a unit may be extended: if more of them are shared, the whole piece beside it is.
+
+    ``places``: the cuts.  A cut that a text chooses depends on ``REACH + 3`` words beside it.  Beside a unit that ends
+    within a piece it is the piece after that one.
+    """
+    right = np.searchsorted(places, end, "right")
+    right = np.minimum(right + (places[np.maximum(right - 1, 0)] != end), len(places) - 1)
+    left = np.searchsorted(places, start, "left") - 1
+    left = np.maximum(left - (places[np.minimum(left + 1, len(places) - 1)] != start), 0)
+    return np.where(side < 0, start - places[left], places[right] - end) + REACH + 3
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, wanted units with a side, text): the hash of each unit with 1, 2, ... more words of that side (-1 before, 1 after)."""
-    table = MarkedHashes()
+    """From (id, t, text, wanted units with a side): the hash of each unit with 1, 2, ... more words of that side (-1 before, 1 after)."""
+    table = WordHashes()
     for batch in batches:
         rows: list[int] = []
         found: list[tuple] = []
         keys: list[list[int]] = []
-        for i, (wanted, x) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
+        for i, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
             hashes = table.array((x.as_py() or b"").lower().split())
             units_ = [(u["side"], u["start"], u["end"], u["c"]) for u in wanted if u["end"] <= len(hashes)]
             if not units_:
                 continue
             side, start, end, c = (np.array(v, np.int64) for v in zip(*units_, strict=True))
-            have = np.minimum(np.where(side < 0, start, len(hashes) - end), MOST_MORE)
+            have = np.minimum(np.where(side < 0, start, len(hashes) - end), _room(np.r_[0, cuts(hashes)], side, start, end))
             h, out = c.view(np.uint64) ^ (side + 1).astype(np.uint64), []
-            for j in range(MOST_MORE):
+            for j in range(int(have.max())):
                 at = np.clip(np.where(side < 0, start - 1 - j, end + j), 0, len(hashes) - 1)
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[at])
                 out.append(as_long(h))
             found += units_
-            keys += [k[:n] for k, n in zip(np.stack(out, 1).tolist(), have.tolist(), strict=True)]
+            keys += [k[:n] for k, n in zip(np.stack(out, 1).tolist() if out else [[]] * len(have), have.tolist(), strict=True)]
             rows += [i] * len(units_)
         side, start, end, c = zip(*found, strict=True) if found else ((), (), (), ())
+        at = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(side, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "side", "start", "end", "c", "keys"],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(side, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            ["id", "t", "side", "start", "end", "c", "keys"],
         )
 
 
-def islands(hits: DataFrame) -> DataFrame:
-    """``hits`` with ``island``, the same number for those of a row with no more than GAP words between them."""
-    w = Window.partitionBy("rid", "removed").orderBy("start", "end")
+SPAN = ["id", "t", "removed", "island"]
+
+
+def islands(hits: DataFrame, gap: int = 0, name: str = "island") -> DataFrame:
+    """``hits`` with ``island``, the same number for those of a row with no more than ``gap`` words between them."""
+    w = Window.partitionBy("id", "t", "removed").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = hits.withColumn("new", F.coalesce(F.col("start") > before + GAP, F.lit(True)).cast("int"))
-    return island.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = hits.withColumn("new", F.coalesce(F.col("start") > before + gap, F.lit(True)).cast("int"))
+    return new.withColumn(name, F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def extended(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
-    """Islands of hits, extended word by word: rid, id, removed, start, end, keep_id.
+    """Islands of hits, extended word by word: id, t, removed, start, end, keep_id.
 
     A removed one goes on as far as a document with a smaller id does, a kept one as far as any other document.
     """
-    spans = islands(hits).groupBy("rid", "id", "removed", "island").agg(
+    spans = islands(hits).groupBy(*SPAN).agg(
         F.min(F.struct("start", "end", "c")).alias("first"), F.max(F.struct("end", "start", "c")).alias("last"), F.min("keep_id").alias("keep_id")
     )
     spans = scratch.save(spans, "spans")
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{u}.start").alias("start"), F.col(f"{u}.end").alias("end"), F.col(f"{u}.c").alias("c")) for side, u in ((-1, "first"), (1, "last"))]))
-    edges = spans.select("rid", "id", "removed", "island", sides.alias("u")).select("rid", "id", "removed", "island", "u.*")
+    edges = spans.select(*SPAN, sides.alias("u")).select(*SPAN, "u.*")
     # The same units of other documents count wherever they are in a span.
-    wanted = hits.join(edges.select("c", "side").distinct().hint("shuffle_hash"), "c").groupBy("id").agg(F.collect_set(F.struct("side", "start", "end", "c")).alias("wanted"))
-    kind = dict(rows.dtypes)["id"]
-    ends = scratch.save(rows.join(wanted.hint("shuffle_hash"), "id").select("id", "wanted", "text").mapInArrow(_ends, ENDS.format(kind)), "ends")
+    asked_of = edges.groupBy("c").agg(F.collect_set("side").alias("sides"))
+    wanted = links.spread_join(hits, asked_of, "c").select("id", "t", F.explode("sides").alias("side"), "start", "end", "c")
+    wanted = wanted.groupBy("id", "t").agg(F.collect_set(F.struct("side", "start", "end", "c")).alias("wanted"))
+    found = rows.join(wanted.hint("shuffle_hash"), ["id", "t"]).select("id", "t", "text", "wanted")
+    ends = scratch.save(found.mapInArrow(_ends, ENDS.format(dict(rows.dtypes)["id"])), "ends")
     shared = ends.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    asked = edges.join(ends, ["id", "side", "start", "end", "c"]).select("rid", "id", "removed", "island", "side", F.posexplode("keys").alias("j", "key"))
-    more = asked.join(shared.hint("shuffle_hash"), "key").filter("if(removed, lo < id, lo = id)").groupBy("rid", "removed", "island")
+    asked = edges.join(ends, ["id", "t", "side", "start", "end", "c"]).select(*SPAN, "side", F.posexplode("keys").alias("j", "key"))
+    more = links.spread_join(scratch.save(asked, "asked"), shared, "key").filter("if(removed, lo < id, lo = id)").groupBy(*SPAN)
     more = more.agg(*[F.max(F.when(F.col("side") == side, F.col("j") + 1)).alias(name) for side, name in ((-1, "left"), (1, "right"))])
     start, end = F.col("first.start") - F.coalesce("left", F.lit(0)), F.col("last.end") + F.coalesce("right", F.lit(0))
-    return spans.join(more, ["rid", "removed", "island"], "left").select("rid", "id", "removed", start.alias("start"), end.alias("end"), "keep_id")
+    return spans.join(more, SPAN, "left").select("id", "t", "removed", start.alias("start"), end.alias("end"), "keep_id")
+
+
+def line_links(rows: DataFrame, banded_: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(c, label) of the lines that are linked with another one, and the places of all lines that were compared, in the
+    documents they were taken from; both saved.  ``banded_``: key, c, low, id, t of the band keys of two lines or more."""
+    sources = banded_.groupBy("c").agg(F.min(F.struct("id", "t")).alias("s")).groupBy("s.id", "s.t").agg(F.collect_set("c").alias("wanted"))
+    found = rows.join(sources.hint("shuffle_hash"), ["id", "t"]).select("id", "t", "text", "wanted")
+    lines = scratch.save(found.mapInArrow(_lines, LINES.format(dict(rows.dtypes)["id"])), "lines")
+    items = scratch.save(lines.select(*[f.split()[0] for f in ITEM.split(", ")]).dropDuplicates(["c"]), "items")
+    labels = links.groups(scratch.save(banded_.select("key", "c", "low").distinct(), "tiles"), items, THRESHOLD, scratch)
+    return labels.select(F.col("node").alias("c"), "label"), lines.select("c", "id", "t", "start", "size")
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN, scratch: Scratch | None = None) -> DataFrame:
     """One row per span: id, start_word, end_word (exclusive), n_words, removed, keep_id (smallest document that has some of it)."""
-    scratch = Scratch(df.sparkSession, "passages")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    kind = dict(rows.dtypes)["id"]
-    found = scratch.save(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(_units, UNITS.format(kind)), "units")
-    # Lines and sentences that collide in a band.
-    keyed = found.select(F.explode(F.arrays_zip("key", "key_c")).alias("u")).select(F.col("u.key").alias("key"), F.col("u.key_c").alias("c")).distinct()
-    tiles = scratch.save(links.shared_keys(keyed), "tiles")
-    sources = found.select("id", F.explode(F.array_distinct("key_c")).alias("c")).join(tiles.select("c").distinct().hint("shuffle_hash"), "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"))
-    wanted = sources.groupBy("id").agg(F.collect_set("c").alias("wanted"))  # lines and sentences of one document
-    elements = rows.join(wanted.hint("shuffle_hash"), "id").select("wanted", "text").mapInArrow(_elements, "c long, e binary")
-    elements = scratch.save(elements, "elements")
-    labels = links.groups(tiles, elements, THRESHOLD, scratch)
-    labels = labels.select(F.col("node").alias("c"), "label")
-    # Classes and components in two documents or more.
-    one = found.select("rid", "id", F.explode(F.arrays_zip("start", "size", "c")).alias("u")).select("rid", "id", F.col("u.start").alias("start"), F.col("u.size").alias("size"), F.col("u.c").alias("c"))
-    spread = one.groupBy("c").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    spread = spread.join(labels, "c", "left").filter("label is not null or lo < hi").select("c", F.coalesce("label", "c").alias("label"), "lo", "hi")
-    spread = scratch.save(spread, "classes")
-    whole = spread.groupBy("label").agg(F.min("lo").alias("keep_id"), F.max("hi").alias("hi")).filter("keep_id < hi")
-    again = scratch.save(spread.join(whole.select("label", "keep_id"), "label").select("c", "keep_id"), "repeated")
-    hits = one.join(again.hint("shuffle_hash"), "c").select("rid", "id", "start", (F.col("start") + F.col("size")).alias("end"), "c", (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
+    scratch = scratch or Scratch(df.sparkSession, "passages")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.hash(text).alias("t"), text.alias("text")).filter("id is not null")
+    # One shuffle brings together the copies of each unit and the lines that collide in a band.
+    w = Window.partitionBy("key")
+    met = rows.mapInArrow(_units, ROW.format(dict(rows.dtypes)["id"]))
+    met = met.withColumns({"low": F.min("c").over(w), "high": F.max("c").over(w), "lo": F.min("id").over(w), "hi": F.max("id").over(w)})
+    met = scratch.save(met.filter("low < high or (start >= 0 and lo < hi)").drop("high", "hi"), "met")
+    labels, lines = line_links(rows, met.filter("start < 0"), scratch)
+    units = met.filter("start >= 0").select("c", "id", "t", "start", "size", "lo")
+    # Linked lines that only one document has.
+    alone = lines.join(labels.select("c"), "c", "left_semi").join(units.select("c").distinct(), "c", "left_anti").distinct().withColumn("lo", F.col("id"))
+    units = scratch.save(units.unionByName(alone), "units")
+    classes = units.groupBy("c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "lo", "hi")
+    classes = scratch.save(classes, "classes")
+    whole = classes.groupBy("label").agg(F.min("lo").alias("keep_id"), F.max("hi").alias("hi")).filter("keep_id < hi").select("label", "keep_id")
+    again = links.spread_join(classes, whole, "label").select("c", "keep_id")
+    hits = links.spread_join(units, again, "c").select("id", "t", "start", (F.col("start") + F.col("size")).alias("end"), "c", (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
     hits = scratch.save(hits, "hits")
     # Extended spans may reach each other.
-    joined = islands(extended(rows, hits, scratch)).groupBy("rid", "id", "removed", "island")
-    spans = joined.agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("keep_id").alias("keep_id"))
-    n = F.col("end_word") - F.col("start_word")
-    return spans.filter(n >= least).select(F.col("id").alias(id_col), "start_word", "end_word", n.alias("n_words"), "removed", "keep_id")
+    joined = islands(extended(rows, hits, scratch)).groupBy(*SPAN).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keep_id").alias("keep_id"))
+    chains = islands(joined, GAP, "chain")
+    shared = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("id", "t", "removed", "chain"))
+    spans = chains.withColumn("shared", shared).filter(F.col("shared") >= least)
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    return spans.select(F.col("id").alias(id_col), start.alias("start_word"), end.alias("end_word"), (end - start).alias("n_words"), "removed", "keep_id").distinct()
 
 
 def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -315,8 +322,8 @@ def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
     """``df`` with the spans that are to be removed cut out of its texts."""
-    spans = repeated(df, id_col, text_col, least).filter("removed").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
-    joined = df.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__spans")
+    spans = repeated(df, id_col, text_col, least).filter("removed").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    joined = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")).join(spans, "id", "left").select("row.*", "spans")
     at = df.columns.index(text_col)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in df.schema.fields]
     return joined.mapInArrow(lambda batches: _without(batches, at), T.StructType(fields))
