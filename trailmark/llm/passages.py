@@ -323,7 +323,7 @@ def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN) -> DataFrame:
     """``df`` with the spans that are to be removed cut out of its texts."""
     spans = repeated(df, id_col, text_col, least).filter("removed").groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    joined = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")).join(spans, "id", "left").select("row.*", "spans")
+    joined = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")).join(spans, "id", "left").select("row.*", F.col("spans").alias(f"spans of {df.columns}"))
     at = df.columns.index(text_col)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in df.schema.fields]
     return joined.mapInArrow(lambda batches: _without(batches, at), T.StructType(fields))
