@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from trailmark.functions import classify
 from trailmark.functions.domains import in_scope
 
-NODE = "id string, type string, layer int, label string, host string, path string, method string, location string, httponly boolean, secure boolean, samesite string, status int, cred string, anonymous int, main boolean"
+NODE = "id string, type string, layer int, label string, host string, path string, method string, location string, httponly boolean, secure boolean, samesite string, status int, cred string, anonymous int, main boolean, once boolean"
 EDGE = "src string, dst string, type string, state string"
 
 
@@ -22,7 +22,7 @@ def _text(*parts) -> Column:
 
 
 def _node(kind: str | Column, layer: int | Column, id_: Column, label: Column, **more: Column) -> Column:
-    values = {"id": id_, "type": F.lit(kind) if isinstance(kind, str) else kind, "layer": F.lit(layer) if isinstance(layer, int) else layer, "label": label} | more
+    values = {"id": id_, "type": F.lit(kind) if isinstance(kind, str) else kind, "layer": F.lit(layer) if isinstance(layer, int) else layer, "label": label, "once": F.lit(True)} | more
     fields = [f.strip().split(" ") for f in NODE.split(",")]
     return F.struct(*[values.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in fields])
 
@@ -81,6 +81,11 @@ def _params() -> Column:
     return F.concat(named("query_params", "query"), named("body_params", "body"))
 
 
+def _first(values: Column | str, value: Column, i: Column) -> Column:
+    """Whether ``value``, at place i of an array of values, is not there before."""
+    return F.array_position(F.col(values) if isinstance(values, str) else values, value) == i + 1
+
+
 def _nodes() -> Column:
     fp, host = F.col("first_party"), F.col("host")
     mapped = F.col("node_id").isNotNull()
@@ -89,12 +94,12 @@ def _nodes() -> Column:
     none = F.array().cast(f"array<struct<{', '.join(': '.join(f.strip().split(' ')) for f in NODE.split(','))}>>")
     role = F.when(F.col("role").isNotNull(), F.array(_node("role", 5, _text("role:", F.col("role")), _text("role: ", F.col("role")))))
     place = F.array(F.when(fp, _node("host", 1, _text("host:", host), host)).otherwise(_node("third_party", 5, _text("host:", host), host)))
-    tech = F.when(fp, F.transform("tech", lambda t: _node("tech", 1, _text("tech:", t["value"]), t["value"], location=t["header"])))
-    cookies = F.when(fp, F.transform("set_cookies", lambda c: _node("cookie", 5, _text("cookie:", c["name"]), c["name"], httponly=c["httponly"], secure=c["secure"], samesite=c["samesite"])))
-    auth = F.when(endpoint, F.transform("credentials", lambda c: _node("auth", 5, _text("auth:", c), _cred_label(c))))
-    with_cred = F.when(endpoint, F.transform("credentials", lambda c: _node("endpoint", 4, F.col("node_id"), F.lit(None), cred=c, main=F.lit(False))))
-    ops = F.when(endpoint, F.transform("gql_ops", lambda o: _node("operation", 4, _text("op:", F.col("node_id"), ":", o), o)))
-    params = F.when(paged, F.transform(_params(), lambda p: _node("parameter", 4, _text("param:", F.col("node_id"), ":", p["name"]), p["name"], location=p["location"])))
+    tech = F.when(fp, F.transform("tech", lambda t, i: _node("tech", 1, _text("tech:", t["value"]), t["value"], location=t["header"], once=_first("tech.value", t["value"], i))))
+    cookies = F.when(fp, F.transform("set_cookies", lambda c, i: _node("cookie", 5, _text("cookie:", c["name"]), c["name"], httponly=c["httponly"], secure=c["secure"], samesite=c["samesite"], once=_first("set_cookies.name", c["name"], i))))
+    auth = F.when(endpoint, F.transform("credentials", lambda c, i: _node("auth", 5, _text("auth:", c), _cred_label(c), once=_first("credentials", c, i))))
+    with_cred = F.when(endpoint, F.transform("credentials", lambda c: _node("endpoint", 4, F.col("node_id"), F.lit(None), cred=c, main=F.lit(False), once=F.lit(False))))
+    ops = F.when(endpoint, F.transform("gql_ops", lambda o, i: _node("operation", 4, _text("op:", F.col("node_id"), ":", o), o, once=_first("gql_ops", o, i))))
+    params = F.when(paged, F.transform(_params(), lambda p, i: _node("parameter", 4, _text("param:", F.col("node_id"), ":", p["name"]), p["name"], location=p["location"], once=_first(F.concat("query_params", "body_params"), p["name"], i))))
     parts = [role, place, tech, cookies, F.when(mapped, F.array(_main())), auth, with_cred, ops, params]
     return F.concat(*[F.coalesce(p, none) for p in parts])
 
@@ -117,23 +122,27 @@ def _edges() -> Column:
 
 
 def node_contributions(x: DataFrame) -> DataFrame:
-    """One row per exchange and node: the node's fields, ev, pos (order within the exchange), role."""
+    """The node's fields, ev, pos (order within the exchange), role, and whether it is the exchange's first row of the node.
+
+    An exchange has one ev, so evidence is counted by that mark and its rows need not meet before they are counted.
+    """
     rows = x.filter(~F.col("probe")).select(F.col("id").alias("ev"), "role", "first_party", F.posexplode(_nodes()).alias("pos", "n"))
     return rows.select("n.*", "ev", "pos", F.when(F.col("first_party") & F.col("n.type").isin("route", "endpoint", "script", "operation"), F.col("role")).alias("role"))
 
 
 def edge_contributions(x: DataFrame) -> DataFrame:
-    return x.filter(~F.col("probe")).select(F.col("id").alias("ev"), F.explode(_edges()).alias("e")).select("e.*", "ev")
+    """One row per exchange and edge: src, dst, type, state, ev."""
+    return x.filter(~F.col("probe")).select(F.col("id").alias("ev"), F.explode(F.array_distinct(_edges())).alias("e")).select("e.*", "ev")
 
 
 def nodes_from(contributions: DataFrame) -> DataFrame:
-    """Nodes from their contributions: fields of the first request, sets and counts over all."""
+    """Nodes from their contributions: fields of the first request, sets and counts over all; ``once`` marks one row for each ev."""
     rank = F.when(F.lower("samesite") == "strict", 2).when(F.lower("samesite") == "lax", 1).otherwise(0)
     first = F.min_by(F.struct("type", "layer", "label", "host", "path", "method", "location"), F.struct(F.coalesce("main", F.lit(True)).cast("int") * -1, "ev", "pos"))
     return (
         contributions.groupBy("id")
         .agg(
-            first.alias("first"), F.min("ev").alias("first_ev"), F.count_distinct("ev").alias("n_evidence"),
+            first.alias("first"), F.min("ev").alias("first_ev"), F.count_if("once").alias("n_evidence"),
             F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_set("status")).alias("statuses"), F.array_sort(F.collect_set("cred")).alias("credentials"),
             F.count_if("main").alias("requests"), F.coalesce(F.sum("anonymous"), F.lit(0)).alias("anonymous_requests"),
             F.array_sort(F.collect_set(F.when(F.col("role").isNotNull() & F.col("status").isNotNull(), F.struct("role", "status")))).alias("status_by_role"),
@@ -144,7 +153,8 @@ def nodes_from(contributions: DataFrame) -> DataFrame:
 
 
 def edges_from(contributions: DataFrame) -> DataFrame:
-    return contributions.groupBy("src", "dst", "type").agg(F.min_by("state", "ev").alias("state"), F.min("ev").alias("first_ev"), F.count_distinct("ev").alias("n_evidence"))
+    """Edges from contributions of which each edge has one for an ev."""
+    return contributions.groupBy("src", "dst", "type").agg(F.min_by("state", "ev").alias("state"), F.min("ev").alias("first_ev"), F.count(F.lit(1)).alias("n_evidence"))
 
 
 def secrets(exchanges: DataFrame) -> DataFrame:

@@ -67,25 +67,46 @@ def form_references(html: Column) -> Column:
     return F.transform(attrs, lambda a: _ref(F.when(attr(a, "method") == "", "GET").otherwise(attr(a, "method")), attr(a, "action"), "form"))
 
 
-def normalised(df: DataFrame, refs: str = "ref") -> DataFrame:
-    """Rows with ``refs`` (struct method, raw, kind) as method, ref_host, ref_path, kind; what is no path is left out.
+def normal_references(refs: Column) -> Column:
+    """Distinct (method, host, path, kind) of an array of references (method, raw, kind); what is no path is left out.
 
     A slash at the end is where code adds a value.  A path that begins with a value and names no API says nothing.
     """
-    raw = F.regexp_replace(F.trim(F.col(f"{refs}.raw")), r"^\{param\}", "")
-    raw = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw)
-    absolute = raw.rlike(r"(?i)^https?://")
-    host = F.when(absolute, F.nullif(F.lower(F.regexp_extract(raw, r"(?i)^https?://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")))
-    path = F.regexp_replace(F.when(absolute, F.regexp_replace(raw, r"(?i)^https?://[^/?#]*", "")).otherwise(raw), r"[?#][\s\S]*$", "")
-    path = F.when(absolute & (path == ""), "/").otherwise(path)
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.concat(path, F.lit("{param}"))).otherwise(path)
-    rows = df.withColumn("__host", host).withColumn("__path", path).filter(F.col("__path").startswith("/") & ~F.col("__path").contains("//") & (F.length("__path") <= 200))
-    rows = rows.withColumn("__path", template_path(F.col("__path")))
-    api = F.col("__path").rlike(API_HINT)
-    keep = ~((F.col("__path") == "/") & F.col("__host").isNull()) & ~(F.col("__host").isNull() & F.col("__path").startswith("{param}")) & ~(F.col("__host").isNull() & F.col("__path").startswith("/{param}") & ~api)
-    keep = keep & ((F.col(f"{refs}.kind") != "string") | (api & ~F.col("__path").rlike(FILES)))
+
+    def bare(r: Column) -> Column:
+        raw = F.regexp_replace(F.trim(r["raw"]), r"^\{param\}", "")
+        return F.struct(r["method"].alias("method"), r["kind"].alias("kind"), F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw).alias("raw"))
+
+    def split(r: Column) -> Column:
+        raw = r["raw"]
+        absolute = raw.rlike(r"(?i)^https?://")
+        host = F.when(absolute, F.nullif(F.lower(F.regexp_extract(raw, r"(?i)^https?://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")))
+        path = F.regexp_replace(F.when(absolute, F.regexp_replace(raw, r"(?i)^https?://[^/?#]*", "")).otherwise(raw), r"[?#][\s\S]*$", "")
+        return F.struct(r["method"].alias("method"), host.alias("host"), F.when(absolute & (path == ""), "/").otherwise(path).alias("path"), r["kind"].alias("kind"))
+
+    def whole(r: Column) -> Column:
+        path = F.when((F.length(r["path"]) > 1) & r["path"].endswith("/"), F.concat(r["path"], F.lit("{param}"))).otherwise(r["path"])
+        return F.struct(r["method"].alias("method"), r["host"].alias("host"), path.alias("path"), r["kind"].alias("kind"))
+
+    def templated(r: Column) -> Column:
+        return F.struct(r["method"].alias("method"), r["host"].alias("host"), template_path(r["path"]).alias("path"), r["kind"].alias("kind"))
+
+    def kept(r: Column) -> Column:
+        path, own = r["path"], r["host"].isNull()
+        api = path.rlike(API_HINT)
+        keep = ~((path == "/") & own) & ~(own & path.startswith("{param}")) & ~(own & path.startswith("/{param}") & ~api)
+        return keep & ((r["kind"] != "string") | (api & ~path.rlike(FILES)))
+
+    found = F.transform(F.transform(F.transform(refs, bare), split), whole)
+    paths = F.filter(found, lambda r: r["path"].startswith("/") & ~r["path"].contains("//") & (F.length(r["path"]) <= 200))
+    return F.array_distinct(F.filter(F.transform(paths, templated), kept))
+
+
+def normalised(df: DataFrame, refs: str = "ref") -> DataFrame:
+    """Rows with ``refs`` (struct method, raw, kind) as method, ref_host, ref_path, kind."""
     others = [c for c in df.columns if c != refs]
-    return rows.filter(keep).select(*others, F.col(f"{refs}.method").alias("method"), F.col("__host").alias("ref_host"), F.col("__path").alias("ref_path"), F.col(f"{refs}.kind").alias("kind")).distinct()
+    rows = df.select(*others, F.explode(normal_references(F.array(F.col(refs)))).alias("r"))
+    return rows.select(*others, "r.method", F.col("r.host").alias("ref_host"), F.col("r.path").alias("ref_path"), "r.kind").distinct()
 
 
 def script_references(df: DataFrame, id_col: str, body_col: str) -> DataFrame:

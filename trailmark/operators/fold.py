@@ -16,8 +16,6 @@ from trailmark.tables import settle
 
 STEM, SHAPE, SHARE, STEM_LENGTH = 8, 12, 0.8, 6
 FILE = r"\.[A-Za-z0-9]{1,6}$"
-#: Deepest segment that is looked at.
-DEPTH = 12
 
 
 def _fold_level(paths: DataFrame, d: int) -> DataFrame:
@@ -36,7 +34,7 @@ def _fold_level(paths: DataFrame, d: int) -> DataFrame:
     to = marked.filter("by_stem").select("host", "prefix", "seg", F.concat("stem", F.lit("{slug}")).alias("to")).unionByName(shaped)
     keyed = paths.withColumn("prefix", F.slice("segs", 1, d) if d else F.array().cast("array<string>")).withColumn("seg", F.when(F.size("segs") > d, F.col("segs")[d]))
     joined = keyed.join(to, ["host", "prefix", "seg"], "left")
-    segs = F.when(F.col("to").isNotNull(), F.concat(F.col("prefix"), F.array("to"), F.slice("segs", d + 2, DEPTH * 100))).otherwise(F.col("segs"))
+    segs = F.when(F.col("to").isNotNull(), F.concat(F.col("prefix"), F.array("to"), F.slice("segs", F.lit(d + 2), F.size("segs")))).otherwise(F.col("segs"))
     return joined.select("host", "base", segs.alias("segs"))
 
 
@@ -47,10 +45,12 @@ def folded_paths(exchanges: DataFrame, depth: int | None = None) -> DataFrame:
     rows = exchanges.filter((F.col("method") != "OPTIONS") & ~is_probe(F.col("method"), F.col("path")) & ~last.rlike(FILE))
     paths = rows.select("host", base.alias("base")).distinct().withColumn("segs", F.array_remove(F.split("base", "/"), ""))
     if depth is None:
-        depth = min(DEPTH, paths.agg(F.max(F.size("segs"))).first()[0] or 0)
+        depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0
     paths = before = settle(paths, "paths")
     for d in range(depth):
-        paths = settle(_fold_level(paths, d), "paths")
+        level = paths.filter(F.size("segs") > d).select("host", F.slice("segs", 1, d).alias("prefix") if d else F.array().cast("array<string>").alias("prefix"), F.col("segs")[d].alias("seg"))
+        if not level.distinct().groupBy("host", "prefix").count().filter(F.col("count") >= min(STEM, SHAPE)).isEmpty():
+            paths = settle(_fold_level(paths, d), "paths")
     changed = paths.join(before.withColumnRenamed("segs", "old"), ["host", "base"]).filter(F.col("segs") != F.col("old"))
     slash = F.when(F.col("base").endswith("/") & (F.length("base") > 1), "/").otherwise("")
     return changed.select("host", "base", F.concat(F.lit("/"), F.concat_ws("/", "segs"), slash).alias("folded"))

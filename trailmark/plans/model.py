@@ -66,9 +66,12 @@ def build(exchanges: DataFrame, name: str = "app", scope: list[str] | None = Non
     worker_nodes = workers.select(F.col("dst").alias("id"), F.lit("script").alias("type"), F.lit(3).alias("layer"), F.element_at(F.split("dst", "/"), -1).alias("label"), "ev")
     worker_edges = workers.select("src", "dst", F.lit("SPAWNS").alias("type"), F.lit("INFERRED").alias("state"), "ev")
     live = contributed.join(nodes.select("id"), "id", "left_semi")
-    everything = live.unionByName(named.unionByName(worker_nodes, allowMissingColumns=True).withColumn("pos", F.lit(9_999)).withColumn("main", F.lit(False)), allowMissingColumns=True)
+    extra = settle(named.unionByName(worker_nodes, allowMissingColumns=True), "extra")
+    marks = extra.select("id", "ev").distinct().join(live.select("id", "ev"), ["id", "ev"], "left_anti").withColumn("once", F.lit(True))
+    extra = extra.withColumn("pos", F.lit(9_999)).unionByName(marks.withColumn("pos", F.lit(10_000)), allowMissingColumns=True)
+    everything = live.unionByName(extra.withColumn("main", F.lit(False)), allowMissingColumns=True)
     live_edges = linked.join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").select("src", "dst", "type", "state", "ev")
-    all_edges = live_edges.unionByName(r.referer_edges(x, nodes, scope)).unionByName(ref_edges).unionByName(worker_edges)
+    all_edges = live_edges.unionByName(r.referer_edges(x, nodes, scope)).unionByName(ref_edges.distinct()).unionByName(worker_edges.distinct())
     all_edges, everything = settle(all_edges, "edges"), settle(everything, "nodes")
     edges = settle(c.edges_from(all_edges), "edges")
     nodes = settle(r.reconcile(c.nodes_from(everything), edges), "nodes")

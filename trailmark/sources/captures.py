@@ -13,6 +13,7 @@ from trailmark.functions import classify, http, redact
 from trailmark.functions.template import query_pairs, route_template, template_path
 from trailmark.operators import extract, stack
 from trailmark.schema import EXCHANGE, conform
+from trailmark.tables import settle
 
 ITEM = "url string, host string, port int, method string, scheme string, path string, mime string, status int, request binary, response binary, truncated boolean, source string, item bigint"
 HOST, METHOD = r"^[a-z0-9.\-:\[\]]{1,255}$", r"^[A-Z]{1,20}$"
@@ -137,18 +138,35 @@ def exchanges(items: DataFrame, role: str | None = None, key: bytes = b"") -> Da
         redact.mask_values(F.col(line)).alias("line"), redact.mask_headers(F.col(hs)).alias("headers"), redact.mask_named(F.substring(F.col(text), 1, PANE)).alias("body"), ((F.length(text) > PANE) | F.col("truncated")).alias("truncated")
     )
     out = rows.select(
-        F.row_number().over(Window.orderBy("source", "item")).cast("long").alias("id"), "source", "item", F.lit(role).cast("string").alias("role"), "method", "scheme", "host", "port",
+        F.monotonically_increasing_id().alias("uid"), "source", "item", F.lit(role).cast("string").alias("role"), "method", "scheme", "host", "port",
         redact.mask_values(F.concat(template_path(F.col("path")), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.concat_ws("&", F.transform(redact.mask_params(query), lambda p: F.concat_ws("=", p["name"], p["value"]))))).otherwise(""))).alias("path"),
         template.alias("path_template"), "status", "mime", F.array_distinct(F.transform(query, lambda p: p["name"])).alias("query_params"),
         F.array_distinct(F.transform(http.body_params(F.col("req_text"), sent_type), lambda p: p["name"])).alias("body_params"), ref_host.alias("referer_host"), ref_path.alias("referer_path"),
         http.set_cookies(F.col("sh")).alias("set_cookies"), http.credentials(F.col("rh"), query).alias("credentials"),
         F.transform(F.filter("sh", lambda h: F.lower(h["name"]).isin("server", "x-powered-by")), lambda h: F.struct(F.lower(h["name"]).alias("header"), h["value"].alias("value"))).alias("tech"),
-        F.coalesce(refs, F.array()).alias("raw_refs"), stack.detected(F.col("sh"), F.transform(http.set_cookies(F.col("sh")), lambda c: c["name"]), F.when(markup, F.col("resp_text")), F.col("path")).alias("stack"),
+        extract.normal_references(F.coalesce(refs, F.array())).alias("js_refs"), stack.detected(F.col("sh"), F.transform(http.set_cookies(F.col("sh")), lambda c: c["name"]), F.when(markup, F.col("resp_text")), F.col("path")).alias("stack"),
         (F.length("resp_text") > extract.MOST).alias("scan_truncated"), http.graphql_operations(template, F.col("req_text")).alias("gql_ops"), ((F.col("method") == "OPTIONS") & http.header(F.col("rh"), "access-control-request-method").isNotNull()).alias("preflight"),
         F.transform(hidden, lambda v: redact.fingerprint(v["value"], key, v["kind"])).alias("secrets"), pane("req_line", "rh", "req_text").alias("req"), pane("resp_line", "sh", "resp_text").alias("resp"),
     )
-    found = extract.normalised(out.select("id", F.explode("raw_refs").alias("ref"))).groupBy("id").agg(F.collect_set(F.struct("method", F.col("ref_host").alias("host"), F.col("ref_path").alias("path"), "kind")).alias("js_refs"))
-    return conform(out.drop("raw_refs").join(found, "id", "left").withColumn("js_refs", F.coalesce("js_refs", F.array().cast(EXCHANGE["js_refs"].dataType))))
+    # Decoded and masked once; the ids are worked out on a narrow table and meet the rows in one join.
+    out = settle(out, "masked")
+    return conform(out.join(numbered(out.select("uid", "source", "item"), ["source", "item"]), "uid").drop("uid"))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(uid, id) of rows (uid, columns of ``order``): ids from 1 in that order, numbered in many tasks.
+
+    Rows are dealt out by ranges and numbered within each; what comes before a range is the sum of the counts of those
+    before it, a number for each partition.
+    """
+    dealt = settle(rows.repartitionByRange(*order, "uid").withColumn("part", F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for r in dealt.groupBy("part").count().orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["count"]
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order, "uid"))
+    base = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part int, before long"))
+    return dealt.withColumn("own", own).join(base, "part").select("uid", (F.col("before") + F.col("own")).alias("id"))
 
 
 READERS = {"xml": proxy_xml, "csv": logger_csv, "har": har}
@@ -166,8 +184,9 @@ def read(spark: SparkSession, path: str, role: str | None = None, key: bytes = b
 
 def saved(spark: SparkSession, path: str) -> DataFrame:
     """Masked exchanges saved as JSON lines (one file or folder per role), numbered anew over all files."""
-    rows = spark.read.schema(EXCHANGE).json(path)
-    return rows.withColumn("id", F.row_number().over(Window.orderBy("role", "source", "item", "id")).cast("long"))
+    rows = settle(spark.read.schema(EXCHANGE).json(path).withColumn("uid", F.monotonically_increasing_id()), "saved")
+    ids = numbered(rows.select("uid", "role", "source", "item", F.col("id").alias("old")), ["role", "source", "item", "old"])
+    return conform(rows.drop("id").join(ids, "uid").drop("uid"))
 
 
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:

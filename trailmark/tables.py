@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where the session names none, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only in local mode, where the machine is the cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
