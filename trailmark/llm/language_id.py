@@ -163,7 +163,7 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int =
 def sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(batch.schema.get_field_index("lang"))
-        found = [np.minimum(grams(x.as_py().encode("utf-8", "replace")), 65535).astype("<u2").tobytes() for x in batch.column(batch.schema.get_field_index("text"))]
+        found = [features(grams(x.as_py().encode("utf-8", "replace"))).astype("<f2").tobytes() for x in batch.column(batch.schema.get_field_index("text"))]
         yield pa.RecordBatch.from_arrays([langs, pa.array(found, pa.binary())], ["lang", "grams"])
 
 
@@ -172,7 +172,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     seen: dict[str, list[np.ndarray]] = {}
     for r in sample(df, id_col, text_col, lang_col, most).mapInArrow(sample_grams, "lang string, grams binary").toLocalIterator():
         if len(own := seen.setdefault(r["lang"], [])) < most:
-            own.append(features(np.frombuffer(bytes(r["grams"]), "<u2")).astype(np.float16))
+            own.append(np.frombuffer(bytes(r["grams"]), "<f2"))
     # One share for all, as hashes are chosen with room for chance.
     limit = share_of(most, len(seen))
     langs = sorted(seen)
