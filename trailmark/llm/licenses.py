@@ -166,6 +166,7 @@ def train(paragraphs: list[bytes], seed: int = 11, steps: int = 400, sparse: flo
         w -= rate * (x[:cut].T @ slope)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse, 0)
         b -= rate * slope.sum(0)
+    b[-1] = max(b[-1], b[:-1].max() + 1)  # without evidence: unknown
     z = x[cut:] @ w + b
     def loss(heat: float) -> float:
         s = z / heat
@@ -173,7 +174,6 @@ def train(paragraphs: list[bytes], seed: int = 11, steps: int = 400, sparse: flo
         return float(-(s[np.arange(len(s)), y[cut:]] - np.log(np.exp(s).sum(1))).mean())
 
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss) if len(z) else 1.0
-    b[-1] = max(b[-1], b[:-1].max() + 1)  # without evidence: unknown
     used = {g: i for g, i in index.items() if np.abs(w[i]).sum() > 0}
     common = {g: int(n) for g, n in zip(sorted(wanted), x[y == len(families) - 1].sum(0), strict=True)}
     cues = frozenset(min(g.split(b" "), key=lambda a: (common.get(a, 0), -len(a), a)) for g in used)
@@ -265,7 +265,7 @@ def examples(df: DataFrame, id_col: str, text_col: str, most: int = NEGATIVES) -
         return []
     share = min(1.0, most / n)
     rows = df.filter((F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(share * 1_000_003) + 1) & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
-    lines = rows.limit(most).select(F.explode(F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 20)).alias("x"))
+    lines = rows.limit(most).select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("x"))
     return [r["x"].encode() for r in lines.toLocalIterator()]
 
 
