@@ -147,6 +147,37 @@ def test_language_model_is_normalised():
     assert table[3, 4] > table[2, 4]
 
 
+def test_vectors_of_words_maximise_their_objective():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    q, b, unigram = r.normal(0, 0.5, (20, 4)), r.normal(-3, 0.5, 20), np.full(20, 1 / 20)
+    counts, start = r.poisson(2, (6, 20)).astype(float), r.normal(0, 0.3, (6, 4))
+    counts[5] = 0
+    got = lm.own_vectors(counts, start, q, b, unigram, steps=20)
+
+    def objective(at, i):
+        margin = q @ at + b - np.log(lm.NOISE * unigram)
+        return -(counts[i] * np.log1p(np.exp(-margin)) + counts[i].sum() * lm.NOISE * unigram * np.log1p(np.exp(margin))).sum() - ((at - start[i]) ** 2).sum() / 2
+
+    for i in range(6):
+        assert all(objective(got[i], i) >= objective(got[i] + d, i) for d in r.normal(0, 0.05, (50, 4)))
+    assert np.allclose(got[5], start[5])
+
+
+def test_language_model_learns_what_follows_rare_words(spark):
+    """Words far beyond the frequent ones that tell the next word: held-out texts score above the base and above classes alone."""
+    chain = [f"w{i}x" for i in range(1500)]
+    tell = {w: random.Random(w).choice(["alpha", "beta", "gamma", "delta"]) for w in chain}
+    text = lambda i: " ".join(x for w in random.Random(i).choices(chain, k=150) for x in (w, tell[w]))
+    got = lm.score(spark.createDataFrame([(i, text(i)) for i in range(150)], "doc_id long, text string")).filter("held_out").collect()
+    n = sum(r["n_tokens"] for r in got)
+    assert n and sum(r["score"] for r in got) / n > sum(r["base_score"] for r in got) / n + 0.3
+    # A word drawn from 1500 costs log10(1500), so the words that it tells must cost less than one of four does.
+    told = (sum(r["score"] for r in got) + len(got) * 150 * math.log10(1500)) / (len(got) * 150)
+    assert told > math.log10(1 / 4)
+
+
 def test_language_identification(spark, empty):
     kinds = {"en": "the of and thing edly tion", "fr": "éaux le une oiment què ç", "de": "schung der ß ücht pf ei"}
     data = [(i, " ".join(random.Random(i).choice(kinds[k].split()) for _ in range(25)), k) for i in range(150) for k in [list(kinds)[i % 3]]]

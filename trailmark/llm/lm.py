@@ -1,13 +1,18 @@
 """Log-bilinear language model, trained by noise-contrastive estimation, and scores of whole texts.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end.  The model predicts the class of a token from
-the class of the token before it.  The ``FREQUENT`` most frequent words are a class each, the end is one (and is the
-context of the first word), and the other words share ``ENDINGS`` classes by their last two bytes, within which a word
-has its smoothed share of the class.  Training sees every training text through the counts of class pairs, a table of
-bounded size; noise-contrastive estimation runs on it in numpy, with the expectation over the noise taken exactly.  One
-batched matrix product then gives the normalised log-probability of every class after every class.
-
-Three passes over the texts: count words, count class pairs, score.  Counts of the most frequent words (at most
+the token before it.  The ``FREQUENT`` most frequent words are a class each, the end is one (and is the context of the
+first word), and the other words share ``ENDINGS`` classes by their last two bytes, within which a word has its smoothed
+share of the class.  As a context, every head word met ``OWN_CONTEXT`` times or more has a vector of its own, and only
+rarer words use that of their class.
+
+Training sees every training text.  Counts of class pairs, a table of bounded size, give the vectors of the classes.
+Counts of (word, class after it), a table that grows with vocabulary and corpus and is grouped by word in a shuffle, give
+each word its vector: the same noise-contrastive objective with the predicted side held fixed, drawn to the vector of the
+word's class, many words at a time.  Estimation runs in numpy, with the expectation over the noise taken exactly, and
+matrix products normalise over all classes.
+
+Three passes over the texts: count words, count pairs, score.  Counts and vectors of the most frequent words (at most
 ``HEAD``) go to the tasks as a broadcast; the counts of all other words meet the documents' rare words in a shuffled
 join, so nothing that grows with the vocabulary is sent to one place.
 
@@ -34,8 +39,14 @@ ENDINGS = 128
 CLASSES = 1 + FREQUENT + ENDINGS
 #: Most words whose counts are sent to every task.
 HEAD = 200_000
-#: Distinct words that a task holds before it hands its counts on.
+#: Training tokens from which on a head word has a vector of its own as a context.
+OWN_CONTEXT = 8
+#: Numbers in a vector, and noise tokens for one that was seen.
+WIDE = 24
+NOISE = 10
+#: Distinct words, or pairs, that a task holds before it hands its counts on.
 HELD_WORDS = 200_000
+HELD_PAIRS = 2_000_000
 END = b""
 
 
@@ -85,27 +96,68 @@ class _Classes(dict):
         return k
 
 
-def count_pairs(frequent):
-    """frequent: broadcast list of the words with classes 1, 2, ..."""
+def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
+
+
+def count_pairs(head):
+    """head: broadcast of (head words, the class of each, the context of each); counts of pairs of classes, and of words with
+    a context of their own and the class after them.  A pair is context * CLASSES + class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _Classes({w: i + 1 for i, w in enumerate(frequent.value)})
+        words_, classes, contexts = head.value
+        places = {w: i for i, w in enumerate(words_)}
+        get, rare = places.get, len(words_)
+        endings = _Classes()
         total = np.zeros(CLASSES * CLASSES, np.int64)
         held: list[np.ndarray] = []
-        size = 0
+        own: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        size = kept = 0
+
+        def batch_of(pairs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["pair", "n"])
+
+        def fold() -> None:
+            nonlocal size, kept
+            pairs = np.concatenate(held)
+            total[:] += np.bincount(pairs[:, 1], minlength=len(total))
+            mine = pairs[pairs[:, 0] >= CLASSES * CLASSES, 0]
+            if len(mine):
+                found, n = np.unique(mine, return_counts=True)
+                own.append(found)
+                times.append(n)
+                kept += len(found)
+            held.clear()
+            size = 0
+
         for batch in batches:
             for text in _texts(batch):
-                ids = np.array([0, *map(classes.__getitem__, words(text)), 0], np.int64)
-                held.append(ids[:-1] * CLASSES + ids[1:])
-                size += len(ids)
+                tokens = words(text)
+                at = np.array([get(w, rare) for w in tokens], np.int64)
+                kinds, before = np.zeros(len(at) + 2, np.int64), np.zeros(len(at) + 1, np.int64)
+                kinds[1:-1], before[1:] = classes[at], contexts[at]
+                lost = np.flatnonzero(at == rare)
+                if len(lost):
+                    kinds[lost + 1] = before[lost + 1] = [endings[tokens[i]] for i in lost]
+                held.append(np.stack([before * CLASSES + kinds[1:], kinds[:-1] * CLASSES + kinds[1:]], 1))
+                size += len(before)
                 if size > 1_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
+                    fold()
+                if kept > HELD_PAIRS:
+                    pairs, n = _summed(own, times)
+                    own, times, kept = [pairs], [n], len(pairs)
+                    if kept > HELD_PAIRS // 2:
+                        yield from batch_of(pairs, n)
+                        own, times, kept = [], [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+            fold()
+        if own:
+            yield from batch_of(*_summed(own, times))
         at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["pair", "n"])
+        yield from batch_of(at, total[at])
 
     return run
 
@@ -122,14 +174,14 @@ def count_endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(v[at])], ["class", "n", "v"])
 
 
-def train(pairs: np.ndarray, width: int = 24, noise: int = 10, steps: int = 150, rate: float = 0.05, seed: int = 7) -> np.ndarray:
-    """Normalised log10 P(class | class before), from the counts of pairs.
+def learn(pairs: np.ndarray, width: int = WIDE, noise: int = NOISE, steps: int = 150, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of classes as contexts, vectors of predicted classes and their biases, from the counts of pairs.
 
     The score of a pair is (r[before] C) . q[after] + b[after]; noise words come from the smoothed unigram distribution.
     """
     rng = np.random.default_rng(seed)
     k = len(pairs)
-    unigram = (pairs.sum(0) + 1.0) / (pairs.sum() + k)
+    unigram = smoothed(pairs)
     before = pairs.sum(1)
     total = max(1.0, float(before.sum()))
     expected = np.log(noise * unigram)[None, :]
@@ -150,16 +202,77 @@ def train(pairs: np.ndarray, width: int = 24, noise: int = 10, steps: int = 150,
             var[i] = 0.99 * var[i] + 0.01 * g * g
             params[i] = params[i] + rate * (1 - step / (steps + 1)) * (mean[i] / (1 - 0.9**step)) / (np.sqrt(var[i] / (1 - 0.99**step)) + 1e-3)
     r, c, q, b = params
-    s = (r @ c) @ q.T + b
+    return r @ c, q, b
+
+
+def smoothed(pairs: np.ndarray) -> np.ndarray:
+    """Shares of the predicted classes."""
+    return (pairs.sum(0) + 1.0) / (pairs.sum() + len(pairs))
+
+
+def normalised(contexts: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 P(class | context) for each context, by one matrix product."""
+    s = contexts @ q.T + b
     s -= s.max(1, keepdims=True)
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
 
 
+def train(pairs: np.ndarray, **settings) -> np.ndarray:
+    """Normalised log10 P(class | class before), from the counts of pairs."""
+    return normalised(*learn(pairs, **settings))
+
+
+def own_vectors(counts: np.ndarray, start: np.ndarray, q: np.ndarray, b: np.ndarray, unigram: np.ndarray, noise: int = NOISE, pull: float = 1.0, steps: int = 6) -> np.ndarray:
+    """Vectors of words as contexts, from the counts of the classes after them; ``start``: the vectors of their classes.
+
+    Newton steps on the noise-contrastive objective of each word less ``pull`` / 2 times the squared distance from the
+    start, which is concave, so the result does not depend on the batch.
+    """
+    width = q.shape[1]
+    squares = (q[:, :, None] * q[:, None, :]).reshape(len(q), width * width)
+    expected = b - np.log(noise * unigram)
+    drawn = counts.sum(1, keepdims=True) * noise * unigram
+    at = start.copy()
+    for _ in range(steps):
+        sure = 1 / (1 + np.exp(-np.clip(at @ q.T + expected, -30, 30)))
+        slope = (counts * (1 - sure) - drawn * sure) @ q - pull * (at - start)
+        bend = (((counts + drawn) * sure * (1 - sure)) @ squares).reshape(-1, width, width) + pull * np.eye(width)
+        move = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        far = np.sqrt((move * move).sum(1, keepdims=True))
+        at += move * np.minimum(1, 4 / np.maximum(far, 1e-12))
+    return at
+
+
+def fit_contexts(model):
+    """model: broadcast of (vectors and classes of the contexts, predicted vectors, biases, shares of classes).
+
+    From (context, classes after it, their counts): the context, its vector, and the log10 of the sum that normalises it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, classes, q, b, unigram = model.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                ids = batch.column(0).to_numpy()
+                after, n = batch.column(1), batch.column(2)
+                row = np.repeat(np.arange(len(ids)), np.diff(after.offsets.to_numpy()))
+                counts = np.zeros((len(ids), CLASSES))
+                counts[row, after.flatten().to_numpy()] = n.flatten().to_numpy()
+                found = own_vectors(counts, starts[classes[ids - CLASSES]], q, b, unigram).astype(np.float32)
+                s = found @ q.T + b
+                top = s.max(1, keepdims=True)
+                room = (top[:, 0] + np.log(np.exp(s - top).sum(1))) / np.log(10)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in found], pa.binary()), pa.array(room)], ["context", "vector", "room"])
+
+    return run
+
+
 def score_texts(model):
-    """model: broadcast of (head words, their classes, log10(c + 1), log10 share in the class, pair table, room of each class, count of the end)."""
+    """model: broadcast of (head words, their classes, log10(c + 1), log10 share in the class, pair table, room of each class, count of the end,
+    contexts of the head words, vectors of the contexts that are not classes with what normalises them, predicted vectors and biases)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, classes, base, share, table, room, ends = model.value
+        head, classes, base, share, table, room, ends, contexts, vectors, sums, q, bias = model.value
         index = {w: i for i, w in enumerate(head)}
         get, rare = index.get, len(head)
         flat = table.ravel()
@@ -168,18 +281,23 @@ def score_texts(model):
             for text in _texts(batch):
                 tokens = words(text)
                 at = np.array([get(w, rare) for w in tokens], np.int64)
-                kinds = np.zeros(len(at) + 2, np.int64)
+                kinds, before = np.zeros(len(at) + 2, np.int64), np.zeros(len(at) + 1, np.int64)
                 known = at < rare
-                kinds[1:-1] = classes[at]
+                kinds[1:-1], before[1:] = classes[at], contexts[at]
                 lost = np.flatnonzero(~known)
                 tail = Counter(tokens[i] for i in lost)
                 b = float(base[at].sum() + np.log10(ends + 1))
                 s = float(share[at].sum())
                 if len(lost):
                     own = [ending_class(tokens[i]) for i in lost]
-                    kinds[lost + 1] = own
+                    kinds[lost + 1] = before[lost + 1] = own
                     s -= float(room[own].sum())
-                s += float(flat[kinds[:-1] * CLASSES + kinds[1:]].sum())
+                after, mine = kinds[1:], before >= CLASSES
+                s += float(flat[before[~mine] * CLASSES + after[~mine]].sum())
+                w, k = before[mine] - CLASSES, after[mine]
+                for i in range(0, len(w), 100_000):
+                    w_, k_ = w[i : i + 100_000], k[i : i + 100_000]
+                    s += float(((np.einsum("ij,ij->i", vectors[w_], q[k_]) + bias[k_]) / np.log(10) - sums[w_]).sum(dtype=np.float64))
                 out.append((len(at) + 1, int(known.sum()) + (ends > 0), b, s, list(tail), list(tail.values())))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
@@ -216,25 +334,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     floor = head_floor(counts, head)
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= floor).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     frequent = [w for w, _ in top if w != END][:FREQUENT]
+    listed = set(frequent) | {END}
+    of = {w: i + 1 for i, w in enumerate(frequent)} | {END: 0}
+    classes = np.array([of.get(w, -1) if w in listed else ending_class(w) for w, _ in top] + [0], np.int64)
+    contexts = np.array([k if w in listed or n_ < OWN_CONTEXT else CLASSES + i for i, ((w, n_), k) in enumerate(zip(top, classes))] + [0], np.int64)
+    found = training.mapInArrow(count_pairs(sc.broadcast(([w for w, _ in top], classes, contexts))), "pair long, n long")
+    found = scratch.save(found.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     pairs = np.zeros(CLASSES * CLASSES)
-    found = training.mapInArrow(count_pairs(sc.broadcast(frequent)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for r in found.toLocalIterator():  # at most CLASSES ** 2 rows
+    for r in found.filter(F.col("pair") < CLASSES * CLASSES).toLocalIterator():  # at most CLASSES ** 2 rows
         pairs[r["pair"]] = r["n"]
-    table = train(pairs.reshape(CLASSES, CLASSES)).astype(np.float32)
-    listed = set(frequent) | {END}
+    pairs = pairs.reshape(CLASSES, CLASSES)
+    starts, q, bias = learn(pairs)
+    table = normalised(starts, q, bias).astype(np.float32)
+    after = F.collect_list(F.struct((F.col("pair") % CLASSES).alias("k"), "n"))  # at most CLASSES of them
+    own = found.filter(F.col("pair") >= CLASSES * CLASSES).groupBy(F.floor(F.col("pair") / CLASSES).alias("context")).agg(after.alias("after"))
+    own = own.select("context", F.col("after.k").alias("k"), F.col("after.n").alias("n"))
+    vectors, sums = np.zeros((len(top), WIDE), np.float32), np.zeros(len(top), np.float32)
+    for r in own.mapInArrow(fit_contexts(sc.broadcast((starts, classes, q, bias, smoothed(pairs)))), "context long, vector binary, room double").toLocalIterator():  # at most ``head`` rows
+        vectors[r["context"] - CLASSES], sums[r["context"] - CLASSES] = np.frombuffer(r["vector"], np.float32), r["room"]
     inside, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     frequent_rows = spark.createDataFrame([(w,) for w in listed], "word binary")
     tails = counts.join(F.broadcast(frequent_rows), "word", "left_anti").mapInArrow(count_endings, "class long, n long, v long")
     for r in tails.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         inside[r["class"]], kinds[r["class"]] = r["n"], r["v"]
     room = np.log10(inside + kinds + 1)
-    of = {w: i + 1 for i, w in enumerate(frequent)} | {END: 0}
-    classes = np.array([of.get(w, -1) if w in listed else ending_class(w) for w, _ in top] + [0], np.int64)
     logs = np.array([np.log10(k + 1) for _, k in top] + [0.0])
     share = np.array([0.0 if w in listed else np.log10(k + 1) - room[ending_class(w)] for w, k in top] + [0.0])
     # The end is in no document's tail, so its count goes along whether it is among the head words or not.
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = sc.broadcast(([w for w, _ in top], classes, logs, share, table, room, int(ends)))
+    model = sc.broadcast(([w for w, _ in top], classes, logs, share, table, room, int(ends), contexts, vectors, sums, q.astype(np.float32), bias.astype(np.float32)))
     # Row ids are fixed by writing them: what follows reads the table.
     first = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text")
     schema = f"rid long, id {dict(rows.dtypes)['id']}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<long>"
