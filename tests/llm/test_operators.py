@@ -232,6 +232,56 @@ def test_mixing_meets_margins(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [mixing.MOST_CELLS, 0])
+def test_mixing_against_plain_raking(spark, monkeypatch, most):
+    """More than 256 sources, a hot one, nulls, texts without words and repeated rows; by arrays and by tables."""
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    r = random.Random(5)
+    data = [(i, " ".join(["w"] * r.randrange(0, 90)) if i % 50 else None, r.choice(["en", "en", "fr", None]), "hot" if i % 3 == 0 else None if i % 31 == 0 else f"s{i % 290}") for i in range(900)]
+    data += data[:5]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()
+    kind = lambda t: "notes" if len(t or "") < 600 else "article"
+    cells = Counter()
+    for i, t, lang, source in data:
+        cells[source, lang, kind(t)] += len((t or "").split())
+    cells = {k: n for k, n in cells.items() if n}
+    assert len({k[0] for k in cells}) > 256
+    total = sum(cells.values())
+    goals = []
+    for a, power in enumerate((0.5, 0.7, 0.85)):
+        by = Counter()
+        for k, n in cells.items():
+            by[k[a]] += n
+        goals.append({v: n**power / sum(m**power for m in by.values()) for v, n in by.items()})
+    w = {k: n / total for k, n in cells.items()}
+    for _ in range(60):
+        for a, goal in enumerate(goals):
+            by = Counter()
+            for k, x in w.items():
+                by[k[a]] += x
+            w = {k: x * goal[k[a]] / by[k[a]] for k, x in w.items()}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(n, mid * w[k]) for k, n in cells.items()) < 0.7 * total else (low, mid)
+    assert len(got) == len(data)
+    want = {i: (len((t or "").split()), cells.get((source, lang, kind(t)), 0), w.get((source, lang, kind(t)), 0.0)) for i, t, lang, source in data}
+    for x in got:
+        n, size, weight = want[x["row"]["doc_id"]]
+        assert x["n_tokens"] == n and x["cell"] == (x["row"]["source"], x["row"]["lang"], kind(x["row"]["text"]))
+        assert x["weight"] == pytest.approx(weight, rel=1e-5, abs=1e-12) and x["probability"] == pytest.approx(min(1, high * weight / size) if size else 0, rel=1e-5, abs=1e-9)
+    draws = {}
+    assert all(draws.setdefault(x["row"]["doc_id"], x["drawn"]) == x["drawn"] for x in got)
+
+
+def test_mixing_to_given_targets(docs):
+    got = mixing.mix(docs, {"source": {"src0": 0.5, "src1": 0.2, None: 0.3}}, budget=0.2).collect()
+    share = Counter()
+    for x in {(x["cell"], x["weight"]) for x in got}:
+        share[x[0]["source"]] += x[1]
+    assert share == {"src0": pytest.approx(0.5, abs=1e-6), "src1": pytest.approx(0.2, abs=1e-6), None: pytest.approx(0.3, abs=1e-6)}
+
+
 def test_license_notices(spark, rows, empty):
     notices = [(1, "Some words.\nReleased under the MIT License.\nmore", "mit"), (2, "Licensed under the Apache License, Version 2.0.", "apache-2.0"), (3, "This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), (4, "Licensed under CC BY-NC 4.0.", "cc-by-nc")]
     data = [(i, t) for i, t, _ in notices] + [(100 + k, r[1]) for k, r in enumerate(rows)] + [(500, "She studied at MIT and then moved."), (501, prose(90, 3) + " released under the MIT License. " + prose(40, 4))]

@@ -42,7 +42,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
-    return mixed.select("row.doc_id", "row.source", "row.lang", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "drawn")
+    return mixed.select("row.doc_id", "row.source", "row.lang", "cell.topic", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "drawn")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
