@@ -96,29 +96,53 @@ def banded(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np
     return np.concatenate(keys), np.concatenate(of)
 
 
-def paragraphs(text: bytes | None, table: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the places where the lines with words end."""
-    parts = [x for line in (text or b"").split(b"\n") if (x := line.lower().split())]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return table.array([w for x in parts for w in x]), np.cumsum([len(x) for x in parts])
-
-
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """Ends of the pieces."""
-    n = len(hashes)
-    if n < 3:
-        return np.array([n]) if n else np.zeros(0, np.int64)
-    h = mixed(windows(hashes, 3) ^ np.uint64(0x9E3779B97F4A7C15))
-    around = np.pad(h, REACH, constant_values=np.uint64(2**64 - 1))
-    near = np.lib.stride_tricks.sliding_window_view(around, REACH)
-    at = np.flatnonzero((h < near[: len(h)].min(1)) & (h <= near[REACH + 1 : REACH + 1 + len(h)].min(1)))
-    ends = np.union1d(at[at > 0], [n])
+def paragraphs(texts: list[bytes | None], table: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of several texts, one after another, and the numbers of words of each line that has some and of each text."""
+    parts = [[x for line in (text or b"").lower().split(b"\n") if (x := line.split())] for text in texts]
+    words = [w for lines in parts for x in lines for w in x]
+    return table.array(words), np.array([len(x) for lines in parts for x in lines], np.int64), np.array([sum(map(len, lines)) for lines in parts], np.int64)
+
+
+def cuts(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Ends of the pieces; ``docs``: the number of words of each of the texts that follow one another."""
+    n, worded = len(hashes), docs[docs > 0]
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.cumsum(worded)
+    text = np.repeat(np.arange(len(worded)), worded)
+    at = np.flatnonzero(np.arange(n) + 3 <= last[text])  # windows within one text
+    h = mixed(windows(hashes, 3)[at] ^ np.uint64(0x9E3779B97F4A7C15)) if len(at) else np.zeros(0, np.uint64)
+    # Between texts there is room for REACH places that are never the smallest.
+    place = at + REACH * (text[at] + 1)
+    around = np.full(n + REACH * (len(worded) + 1), 2**64 - 1, np.uint64)
+    around[place] = h
+    before, after = around[place - 1], around[place + 1]
+    for j in range(2, REACH + 1):
+        before, after = np.minimum(before, around[place - j]), np.minimum(after, around[place + j])
+    chosen = at[(h < before) & (h <= after)]
+    ends = np.union1d(chosen[chosen > (last - worded)[text[chosen]]], last)
     begin = np.r_[0, ends[:-1]]
     long = np.flatnonzero(ends - begin > LONGEST)
     return np.union1d(ends, np.concatenate([np.arange(begin[k] + LONGEST, ends[k], LONGEST) for k in long])) if len(long) else ends
 
 
+def portions(batch: pa.RecordBatch, most: int = 1_000_000, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts, the third column, have about ``most`` bytes, or of one text."""
+    sizes = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(2)], np.int64)
+    begin, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (total + size > most or i - begin >= rows):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_binary()).to_pylist()
+
+
 ROW = "key long, c long, id {}, t int, start int, size int"
 
 
@@ -127,33 +151,35 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once for the copies of a line that a task has met lately."""
     table, met = WordHashes(), set()
     for whole in batches:
-        for i in range(0, whole.num_rows, 500):
-            batch = whole.slice(i, 500)
-            rows: list[np.ndarray] = []
-            for k, x in enumerate(batch.column(2).cast(pa.large_binary())):
-                hashes, lines = paragraphs(x.as_py(), table)
-                if not len(hashes):
-                    continue
-                begin = np.r_[0, lines[:-1]]
-                sizes, classes = lines - begin, _content(hashes, begin, lines - begin)
-                ends = cuts(hashes)
-                from_ = np.r_[0, ends[:-1]]
-                own = _content(hashes, from_, ends - from_)
-                extra = ~np.isin(own, classes)
-                starts, lengths, all_ = np.r_[begin, from_[extra]], np.r_[sizes, (ends - from_)[extra]], np.r_[classes, own[extra]]
-                unit = lengths >= LEAST_UNIT
-                rows.append(np.stack([as_long(all_[unit]), as_long(all_[unit]), np.full(unit.sum(), k), starts[unit], lengths[unit]]))
-                fresh = np.array([c not in met for c in as_long(classes).tolist()])
-                if fresh.any() and len(hashes) >= WIDTH:
-                    met.update(as_long(classes[fresh]).tolist())
-                    keys, key_c = banded(windows(hashes, WIDTH), begin[fresh], sizes[fresh], classes[fresh])
-                    rows.append(np.stack([as_long(keys), as_long(key_c), np.full(len(keys), k), np.full(len(keys), -1), np.zeros(len(keys), np.int64)]))
-                if len(met) > HELD:
-                    met.clear()
-            if rows:
-                key, c, at, start, size = np.concatenate(rows, 1)
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "c", "id", "t", "start", "size"])
+        for batch in portions(whole):
+            hashes, sizes, docs = paragraphs(_bytes(batch.column(2)), table)
+            if not len(hashes):
+                continue
+            text, first = np.repeat(np.arange(len(docs)), docs), np.cumsum(docs) - docs
+            begin = np.cumsum(sizes) - sizes
+            classes = _content(hashes, begin, sizes)
+            ends = cuts(hashes, docs)
+            from_ = np.r_[0, ends[:-1]]
+            line = np.searchsorted(begin, from_, "right") - 1
+            extra = (begin[line] != from_) | (sizes[line] != ends - from_)
+            own = _content(hashes, from_, ends - from_)
+            starts, lengths, all_ = np.r_[begin, from_[extra]], np.r_[sizes, (ends - from_)[extra]], np.r_[classes, own[extra]]
+            unit = lengths >= LEAST_UNIT
+            starts, lengths, all_ = starts[unit], lengths[unit], as_long(all_[unit])
+            rows = [np.stack([all_, all_, text[starts], starts - first[text[starts]], lengths])]
+            distinct, at = np.unique(as_long(classes), return_index=True)
+            fresh = np.sort(at[[c not in met for c in distinct.tolist()]])
+            met.update(distinct.tolist())
+            if len(fresh) and len(hashes) >= WIDTH:
+                keys, key_c = banded(windows(hashes, WIDTH), begin[fresh], sizes[fresh], classes[fresh])
+                of = dict(zip(as_long(classes[fresh]).tolist(), text[begin[fresh]].tolist(), strict=True))
+                source = np.array([of[c] for c in as_long(key_c).tolist()], np.int64)
+                rows.append(np.stack([as_long(keys), as_long(key_c), source, np.full(len(keys), -1), np.zeros(len(keys), np.int64)]))
+            if len(met) > HELD:
+                met.clear()
+            key, c, at, start, size = np.concatenate(rows, 1)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "c", "id", "t", "start", "size"])
 
 
 LINES = "c long, id {}, t int, start int, size int, n long, bits binary, e binary"
@@ -164,15 +190,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = WordHashes()
     for batch in batches:
         at, found = [], []
-        for k, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
-            hashes, lines = paragraphs(x.as_py(), table)
-            begin = np.r_[0, lines[:-1]].astype(np.int64)
+        for k, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), _bytes(batch.column(2)), strict=True)):
+            hashes, sizes, _ = paragraphs([x], table)
+            begin = np.cumsum(sizes) - sizes
             wanted = set(wanted)
-            for c, start, end in zip(as_long(_content(hashes, begin, lines - begin)).tolist(), begin.tolist(), lines.tolist(), strict=True):
+            for c, start, size in zip(as_long(_content(hashes, begin, sizes)).tolist(), begin.tolist(), sizes.tolist(), strict=True):
                 if c in wanted:
-                    e = np.unique(windows(hashes[start:end], WIDTH))
+                    e = np.unique(windows(hashes[start : start + size], WIDTH))
                     at.append(k)
-                    found.append((c, start, end - start, len(e), bitmap(e).tobytes(), e.tobytes()))
+                    found.append((c, start, size, len(e), bitmap(e).tobytes(), e.tobytes()))
         c, start, size, n, bits, e = zip(*found, strict=True) if found else [()] * 6
         at = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -184,47 +210,50 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ENDS = "id {}, t int, side int, start int, end int, c long, keys array<long>"
 
 
-def _room(places: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _room(places: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Words by which a unit may be extended: if more of them are shared, the whole piece beside it is.
 
-    ``places``: the cuts.  A cut that a text chooses depends on ``REACH + 3`` words beside it.  Beside a unit that ends
-    within a piece it is the piece after that one.
+    ``places``: the cuts, with both ends of every text; ``first``, ``last``: the ends of each unit's own text.  A cut that a
+    text chooses depends on ``REACH + 3`` words beside it.  Beside a unit that ends within a piece it is the piece after that one.
     """
     right = np.searchsorted(places, end, "right")
-    right = np.minimum(right + (places[np.maximum(right - 1, 0)] != end), len(places) - 1)
-    left = np.searchsorted(places, start, "left") - 1
-    left = np.maximum(left - (places[np.minimum(left + 1, len(places) - 1)] != start), 0)
+    right = np.minimum(right + (places[right - 1] != end), np.searchsorted(places, last))
+    left = np.searchsorted(places, start, "left")
+    left = np.maximum(left - 1 - (places[left] != start), np.searchsorted(places, first))
     return np.where(side < 0, start - places[left], places[right] - end) + REACH + 3
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, t, text, wanted units with a side): the hash of each unit with 1, 2, ... more words of that side (-1 before, 1 after)."""
     table = WordHashes()
-    for batch in batches:
-        rows: list[int] = []
-        found: list[tuple] = []
-        keys: list[list[int]] = []
-        for i, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True)):
-            hashes = table.array((x.as_py() or b"").lower().split())
-            units_ = [(u["side"], u["start"], u["end"], u["c"]) for u in wanted if u["end"] <= len(hashes)]
-            if not units_:
+    for whole in batches:
+        for batch in portions(whole):
+            hashes, _, docs = paragraphs(_bytes(batch.column(2)), table)
+            asked = batch.column(3)
+            row = np.repeat(np.arange(len(docs)), np.diff(asked.offsets.to_numpy()))
+            side, start, end, c = (asked.flatten().field(f).to_numpy().astype(np.int64) for f in ("side", "start", "end", "c"))
+            inside = end <= docs[row]  # another text with the same id and hash
+            row, side, start, end, c = row[inside], side[inside], start[inside], end[inside], c[inside]
+            if not len(row):
                 continue
-            side, start, end, c = (np.array(v, np.int64) for v in zip(*units_, strict=True))
-            have = np.minimum(np.where(side < 0, start, len(hashes) - end), _room(np.r_[0, cuts(hashes)], side, start, end))
-            h, out = c.view(np.uint64) ^ (side + 1).astype(np.uint64), []
+            first = (np.cumsum(docs) - docs)[row]
+            last, begin, stop = first + docs[row], first + start, first + end
+            have = np.minimum(np.where(side < 0, start, docs[row] - end), _room(np.r_[0, cuts(hashes, docs)], side, begin, stop, first, last))
+            h, unit = c.view(np.uint64) ^ (side + 1).astype(np.uint64), np.arange(len(row))
+            of, keys = [unit[:0]], [h[:0]]
             for j in range(int(have.max())):
-                at = np.clip(np.where(side < 0, start - 1 - j, end + j), 0, len(hashes) - 1)
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[at])
-                out.append(as_long(h))
-            found += units_
-            keys += [k[:n] for k, n in zip(np.stack(out, 1).tolist() if out else [[]] * len(have), have.tolist(), strict=True)]
-            rows += [i] * len(units_)
-        side, start, end, c = zip(*found, strict=True) if found else ((), (), (), ())
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(side, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["id", "t", "side", "start", "end", "c", "keys"],
-        )
+                more = have[unit] > j
+                unit, h = unit[more], h[more]
+                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + hashes[np.where(side[unit] < 0, begin[unit] - 1 - j, stop[unit] + j)])
+                of.append(unit)
+                keys.append(h)
+            order = np.argsort(np.concatenate(of), kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(have)].astype(np.int32)), pa.array(as_long(np.concatenate(keys)[order])))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(side.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(c), lists],
+                ["id", "t", "side", "start", "end", "c", "keys"],
+            )
 
 
 SPAN = ["id", "t", "removed", "island"]
