@@ -11,6 +11,7 @@ from trailmark.functions import domains, redact, template
 from trailmark.functions.text import entropy, nocase
 from trailmark.operators import drift, extract, fold, rank, stack, traverse
 from trailmark.operators.filters import FilterError, compiled, read_only_sql, run_filter, target, term, text
+from trailmark.operators.roles import merged
 from trailmark.schema import conform
 from trailmark.sinks import graph as sink
 from trailmark.sources import captures, osint
@@ -199,3 +200,15 @@ def test_exports(spark, tmp_path):
     sink.write_build({"nodes": nodes}, f"{tmp_path}/b", 1)
     sink.write_build({"nodes": nodes.limit(1)}, f"{tmp_path}/b", 2)
     assert sink.builds(spark, f"{tmp_path}/b") == [1, 2] and sink.read_build(spark, f"{tmp_path}/b", 2, "nodes").count() == 1
+
+
+def test_inputs_of_roles(spark):
+    saved = spark.createDataFrame([(1, "user"), (2, "admin"), (3, None), (3, None)], "id long, role string")
+    new = spark.createDataFrame([(9, "other"), (10, None)], "id long, role string")
+    rows = lambda *a, **k: sorted((r["id"], r["role"]) for r in merged(*a, **k).collect())
+    assert rows(saved, new, "admin") == [(1, "user"), (9, "admin"), (10, "admin")]
+    assert rows(saved, new, "guest") == [(1, "user"), (2, "admin"), (9, "guest"), (10, "guest")]
+    assert rows(saved, new, "admin", fresh=True) == [(9, "admin"), (10, "admin")]
+    assert rows(saved, new, None) == [(9, None), (10, None)]
+    assert rows(saved, new.limit(0), "user") == [(2, "admin")]
+    assert rows(saved.limit(0), new, "user") == [(9, "user"), (10, "user")]

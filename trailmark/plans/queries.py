@@ -11,7 +11,7 @@ from trailmark.functions import redact
 from trailmark.functions.domains import in_scope, registrable_domain
 from trailmark.functions.template import match_key, route_template
 from trailmark.functions.text import entropy
-from trailmark.operators import contributions, drift, extract, fold, rank, reason, references, stack, traverse, views
+from trailmark.operators import contributions, drift, extract, fold, rank, reason, references, roles, stack, traverse, views
 from trailmark.operators.filters import run_filter, term, text, with_ends
 from trailmark.plans import model
 from trailmark.schema import conform
@@ -497,6 +497,38 @@ def live_admission(spark, sf):
     return live.admitted(_requests(spark, sf), ["h1.shop.test"]).select("id")
 
 
+# ---- inputs of several roles
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests before and from the middle of the month on."""
+    rows = t.event_exchanges(spark, sf_dir)
+    return conform(rows.filter("build = 1")), conform(rows.filter("build = 2"))
+
+
+NEW = "old AS (SELECT id, role FROM ex WHERE build = 1), new AS (SELECT id FROM ex WHERE build = 2)"
+
+
+@query(f"WITH {EX}, {NEW} SELECT id, role FROM old WHERE role = 'user' UNION ALL SELECT id, 'admin' FROM new")
+def role_replaced(spark, sf):
+    return roles.merged(*_inputs(spark, sf), "admin").select("id", "role")
+
+
+@query(f"WITH {EX}, {NEW} SELECT id, role FROM old WHERE role IS NOT NULL UNION ALL SELECT id, 'guest' FROM new")
+def role_added(spark, sf):
+    return roles.merged(*_inputs(spark, sf), "guest").select("id", "role")
+
+
+@query(f"WITH {EX}, {NEW} SELECT id, CAST(NULL AS VARCHAR) AS role FROM new")
+def roleless_input(spark, sf):
+    return roles.merged(*_inputs(spark, sf), None).select("id", "role")
+
+
+@query(f"WITH {EX}, {NEW} SELECT id, 'admin' AS role FROM new")
+def role_fresh(spark, sf):
+    return roles.merged(*_inputs(spark, sf), "admin", fresh=True).select("id", "role")
+
+
 # ---- exports
 
 
@@ -516,3 +548,23 @@ def cypher_export(spark, sf):
 def graphml_export(spark, sf):
     nodes, edges = t.trade_graph(spark, sf)
     return sink.graphml_lines(nodes.filter("type = 'route'"), edges.limit(0)).filter("part = 1").select("line")
+
+
+TRADE = """nd AS (
+  SELECT 'r' || r_regionkey AS id, 'host' AS type, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'route', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'script', c_name FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'third_party', s_name FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'endpoint', CAST(o_orderkey AS VARCHAR) FROM orders),
+ed AS (
+  SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'SERVES' AS type FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'INCLUDES' FROM customer
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'LOADS' FROM supplier UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'CALLS' FROM orders)"""
+
+
+@query(f"""WITH {TRADE} SELECT CAST(1 AS INTEGER) AS part, 'MERGE (n:' || upper(type[1]) || type[2:] || ' {{id: ''' || id || '''}}) SET n.label = ''' || label || ''';' AS line FROM nd
+  UNION ALL SELECT 2, 'MATCH (a {{id: ''' || src || '''}}), (b {{id: ''' || dst || '''}}) MERGE (a)-[:' || type || ' {{state: ''OBSERVED''}}]->(b);' FROM ed""")
+def cypher_whole_export(spark, sf):
+    return sink.cypher_lines(*t.trade_graph(spark, sf))
+
+
+@query(f"""WITH {TRADE} SELECT CAST(1 AS INTEGER) AS part, '<node id="' || id || '"><data key="label">' || label || '</data><data key="type">' || type || '</data></node>' AS line FROM nd
+  UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="type">' || type || '</data></edge>' FROM ed""")
+def graphml_whole_export(spark, sf):
+    return sink.graphml_lines(*t.trade_graph(spark, sf)).filter("part in (1, 2)")
