@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, language_id, licenses, links, lm, mixing, ngram_join, passages, quality, sets
-from trailmark.llm.shingles import WordHashes, windows
+from trailmark.llm import exact_dedup, language_id, licenses, links, lm, mixing, ngram_join, passages, quality, sets, shingles
+from trailmark.llm.shingles import windows, word_hashes
 from trailmark.llm.store import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -490,6 +491,19 @@ def test_components_of_long_paths(spark):
 
 
 def test_windows_tell_order_and_length():
-    h = WordHashes()
-    one = lambda s: set(windows(h.array(s.encode().split()), 3).tolist())
+    one = lambda s: set(windows(word_hashes(s.encode())[1], 3).tolist())
     assert one("a b c") != one("c b a") and one("a b") != one("b a") and len(one("a b c a b c")) == 3 and one("a b") & one("a b c") == set()
+
+
+def test_word_hashes_of_any_block(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choices("ab\u00e9", k=r.choice([1, 2, 3, 9, 63, 64, 65, 200]))) for _ in range(3000)]
+    raw = b"\t ".join(w.encode() for w in ["", *words, ""])
+    starts, hashes = shingles.word_hashes(raw)
+    assert [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] == starts.tolist()
+    assert len(dict(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    assert all(h == g for w, h in zip(words, hashes.tolist()) for g in shingles.word_hashes(w.encode())[1].tolist())
+    monkeypatch.setattr(shingles, "BLOCK", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(shingles.word_hashes(raw), (starts, hashes)))
+    assert [len(x) for x in shingles.word_hashes(b"")] == [len(x) for x in shingles.word_hashes(b" \n ")] == [0, 0]
+    assert [x.tolist() for x in passages.paragraphs([None, b"a b\n\n c", b"", b"d\n"])[1:]] == [[2, 1, 1], [0, 3, 0, 1]]

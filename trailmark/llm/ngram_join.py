@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import links
 from trailmark.llm.sets import bitmap, differing
-from trailmark.llm.shingles import HELD, WordHashes, as_long, mixed, windows
+from trailmark.llm.shingles import HELD, as_long, mixed, windows, word_hashes
 from trailmark.llm.store import Scratch
 
 FIRST, STEP = 10, 1.5
@@ -47,9 +47,8 @@ def bands(most: int) -> list[int]:
     return starts
 
 
-def element_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.unique(windows(hashes.array(words), n))
+def element_set(text: bytes | None, n: int) -> np.ndarray:
+    return np.unique(windows(word_hashes((text or b"").lower())[1], n))
 
 
 def class_of(elements: np.ndarray) -> int:
@@ -83,17 +82,16 @@ def tile_keys(elements: np.ndarray, threshold: Fraction, starts: list[int]) -> n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sets(column: pa.Array, n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
-    return (element_set(x.as_py(), n, hashes) for x in column.cast(pa.large_binary()))
+def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    return (element_set(x.as_py(), n) for x in column.cast(pa.large_binary()))
 
 
 def sets(n: int):
     """From (id, fp, text): id, fp, n (the size of the set) and c (its class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [(len(e), class_of(e) if len(e) else None) for e in _sets(batch.column(2), n, hashes)]
+            found = [(len(e), class_of(e) if len(e) else None) for e in _sets(batch.column(2), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["id", "fp", "n", "c"])
 
     return run
@@ -103,7 +101,7 @@ def keys(n: int, threshold: Fraction):
     """From (text): (key, c) of every set, once for the copies that a task has met lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, starts, met = WordHashes(), bands(1000), set()
+        starts, met = bands(1000), set()
         for batch in batches:
             held: list[np.ndarray] = []
             classes: list[int] = []
@@ -113,7 +111,7 @@ def keys(n: int, threshold: Fraction):
                 of = np.repeat(np.array(classes, np.int64), [len(k) for k in held])
                 return pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(held))), pa.array(of)], ["key", "c"])
 
-            for e in _sets(batch.column(0), n, hashes):
+            for e in _sets(batch.column(0), n):
                 if not len(e) or (c := class_of(e)) in met:
                     continue
                 if len(met) >= HELD:
@@ -135,12 +133,12 @@ def arrays(n: int):
     """From (c, text) the rows whose text is of class c, once for each: c, n, bits, e (the sorted elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met = WordHashes(), set()
+        met: set[int] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 found = []
-                for c, e in zip(batch.column(0).to_pylist(), _sets(batch.column(1), n, hashes), strict=True):
+                for c, e in zip(batch.column(0).to_pylist(), _sets(batch.column(1), n), strict=True):
                     if c not in met and len(e) and class_of(e) == c:
                         met.add(c)
                         found.append((c, len(e), bitmap(e).tobytes(), e.tobytes()))

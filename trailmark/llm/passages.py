@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from trailmark.llm import links
 from trailmark.llm.ngram_join import ITEM
 from trailmark.llm.sets import bitmap
-from trailmark.llm.shingles import HELD, WordHashes, as_long, mixed, windows
+from trailmark.llm.shingles import HELD, as_long, mixed, windows, word_hashes
 from trailmark.llm.store import Scratch
 
 WIDTH = 5
@@ -96,11 +96,14 @@ def banded(every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np
     return np.concatenate(keys), np.concatenate(of)
 
 
-def paragraphs(texts: list[bytes | None], table: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of several texts, one after another, and the numbers of words of each line that has some and of each text."""
-    parts = [[x for line in (text or b"").lower().split(b"\n") if (x := line.split())] for text in texts]
-    words = [w for lines in parts for x in lines for w in x]
-    return table.array(words), np.array([len(x) for lines in parts for x in lines], np.int64), np.array([sum(map(len, lines)) for lines in parts], np.int64)
+    raw = b"\n".join(x or b"" for x in texts).lower()
+    at, hashes = word_hashes(raw)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
+    ends = np.cumsum([len(x or b"") + 1 for x in texts])
+    lines, docs = (np.diff(np.r_[0, np.searchsorted(at, places), *rest]) for places, rest in ((breaks, [len(at)]), (ends, [])))
+    return hashes, lines[lines > 0], docs.astype(np.int64)
 
 
 def cuts(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -149,10 +152,10 @@ ROW = "key long, c long, id {}, t int, start int, size int"
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, t, text): a row for each unit, whose key is its class, and one for each band key of a line, with start -1,
     once for the copies of a line that a task has met lately."""
-    table, met = WordHashes(), set()
+    met: set[int] = set()
     for whole in batches:
         for batch in portions(whole):
-            hashes, sizes, docs = paragraphs(_bytes(batch.column(2)), table)
+            hashes, sizes, docs = paragraphs(_bytes(batch.column(2)))
             if not len(hashes):
                 continue
             text, first = np.repeat(np.arange(len(docs)), docs), np.cumsum(docs) - docs
@@ -187,11 +190,10 @@ LINES = "c long, id {}, t int, start int, size int, n long, bits binary, e binar
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, t, text, wanted classes): c, id, t, start, size of those lines, and of each the size, bitmap and sorted distinct shingles."""
-    table = WordHashes()
     for batch in batches:
         at, found = [], []
         for k, (wanted, x) in enumerate(zip(batch.column(3).to_pylist(), _bytes(batch.column(2)), strict=True)):
-            hashes, sizes, _ = paragraphs([x], table)
+            hashes, sizes, _ = paragraphs([x])
             begin = np.cumsum(sizes) - sizes
             wanted = set(wanted)
             for c, start, size in zip(as_long(_content(hashes, begin, sizes)).tolist(), begin.tolist(), sizes.tolist(), strict=True):
@@ -225,10 +227,9 @@ def _room(places: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.ndarr
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, t, text, wanted units with a side): the hash of each unit with 1, 2, ... more words of that side (-1 before, 1 after)."""
-    table = WordHashes()
     for whole in batches:
         for batch in portions(whole):
-            hashes, _, docs = paragraphs(_bytes(batch.column(2)), table)
+            hashes, _, docs = paragraphs(_bytes(batch.column(2)))
             asked = batch.column(3)
             row = np.repeat(np.arange(len(docs)), np.diff(asked.offsets.to_numpy()))
             side, start, end, c = (asked.flatten().field(f).to_numpy().astype(np.int64) for f in ("side", "start", "end", "c"))
