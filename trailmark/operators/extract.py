@@ -5,6 +5,8 @@ Each kind of reference is one pattern whose matches come out as rows; no text le
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,15 +137,22 @@ def links(html: Column) -> Column:
     return F.filter(found, lambda u: (u != "") & ~u.rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.\-]*:"))
 
 
-def admitted(links_: DataFrame, scope_host: str, per_template: int = 25, per_path: int = 15) -> DataFrame:
+def disallowed(robots: Column) -> Column:
+    """array<string>: the path prefixes that a robots.txt closes, to whichever agent."""
+    return F.filter(_all(robots, r"(?im)^disallow:\s*(\S*)", 1), lambda p: p != "")
+
+
+def admitted(links_: DataFrame, scope_host: str, per_template: int = 25, per_path: int = 15, closed: Sequence[str] = ()) -> DataFrame:
     """(seq, host, path, query, reason) for candidate links in order of ``seq``: what a crawl would take, and why not.
 
-    Columns in: seq, host, path, query.  Reasons: out_of_scope, unsafe, duplicate, template_cap, variant_cap, ok.
+    Columns in: seq, host, path, query.  ``closed``: prefixes of ``disallowed``, those of one host.  Reasons: out_of_scope,
+    unsafe, robots, duplicate, template_cap, variant_cap, ok.
     """
     template = template_path(F.col("path"))
     unsafe = F.col("path").rlike(r"(?i)(logout|signout|sign-out|delete|remove|destroy)")
+    closed_path = F.exists(F.array(*map(F.lit, closed)).cast("array<string>"), lambda p: F.startswith("path", p))
     first = Window.partitionBy("host", "path", "query").orderBy("seq")
-    rows = links_.withColumn("template", template).withColumn("reason", F.when(~F.col("host").eqNullSafe(F.lit(scope_host)), "out_of_scope").when(unsafe, "unsafe"))
+    rows = links_.withColumn("template", template).withColumn("reason", F.when(~F.col("host").eqNullSafe(F.lit(scope_host)), "out_of_scope").when(unsafe, "unsafe").when(closed_path, "robots"))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(first) > 1), "duplicate").otherwise(F.col("reason")))
     open_ = F.col("reason").isNull().cast("int")
     by_path = Window.partitionBy("host", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

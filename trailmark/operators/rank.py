@@ -103,6 +103,18 @@ def priority(nodes: DataFrame) -> DataFrame:
     return nodes.filter("type = 'endpoint'").withColumn("rank", rank)
 
 
+def lens(nodes: DataFrame, name: str = "attention") -> DataFrame:
+    """Endpoints with rank and ``place``, what sorts them: "attention" by rank, "auth" too, but only those with roles or
+    credentials, "all" in order of their first request."""
+    if name not in ("attention", "auth", "all"):
+        raise ValueError(f"no lens {name!r}; there are attention, auth and all")
+    rows = priority(nodes)
+    if name == "auth":
+        rows = rows.filter((F.coalesce(F.size("roles"), F.lit(0)) > 0) | (F.coalesce(F.size("credentials"), F.lit(0)) > 0))
+    place = F.struct(F.col("first_ev").cast("long").alias("by"), F.lit("").alias("label"), "id") if name == "all" else F.struct(F.col("rank").cast("long").alias("by"), "label", "id")
+    return rows.withColumn("place", place)
+
+
 def leads(nodes: DataFrame, most_static: int = 12) -> DataFrame:
     """(id, label, severity, n_signals, called): endpoints with signals, telemetry left out.
 

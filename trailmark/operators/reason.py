@@ -50,8 +50,8 @@ def wide(nodes: DataFrame) -> DataFrame:
     return segs.groupBy(_clean(F.col("s")[0]).alias("first")).agg(F.count_distinct(_clean(F.col("s")[1])).alias("n")).filter(F.col("n") >= WIDE).select("first")
 
 
-def with_area(nodes: DataFrame) -> DataFrame:
-    """nodes with ``area``: `/api/Users/{id}` and `/rest/users` -> `user`, a page chosen by a parameter -> its name."""
+def with_area(nodes: DataFrame, singular: bool = True) -> DataFrame:
+    """nodes with ``area``: `/api/Users/{id}` and `/rest/users` -> `user` (`users` if not ``singular``), a page chosen by a parameter -> its name."""
     last = F.lower(F.element_at(F.split(F.regexp_replace(F.substring_index("path", "?", 1), "/+$", ""), "/"), -1))
     query = F.when(F.col("path").contains("?"), F.regexp_replace("path", r"^[^?]*\?", ""))
     chosen = F.filter(F.split(query, "&"), lambda kv: F.substring_index(kv, "=", 1).isin(ROUTE_PARAMS) & (F.regexp_replace(kv, "^[^=]*=?", "") != ""))
@@ -60,7 +60,7 @@ def with_area(nodes: DataFrame) -> DataFrame:
     first = F.when(F.size(s) > 0, _clean(s[0]))
     second = F.when(F.size(s) > 1, _clean(F.get(s, F.lit(1))))
     rows = nodes.withColumn("__first", first).join(wide(nodes).withColumnRenamed("first", "__wide"), F.col("__first") == F.col("__wide"), "left")
-    single = F.when(F.regexp_replace("__first", "s+$", "") == "", F.col("__first")).otherwise(F.regexp_replace("__first", "s+$", ""))
+    single = F.col("__first") if not singular else F.when(F.regexp_replace("__first", "s+$", "") == "", F.col("__first")).otherwise(F.regexp_replace("__first", "s+$", ""))
     area = F.when(query.isNotNull() & last.isin(FRONT) & (F.size(chosen) > 0), page).when(F.col("__wide").isNotNull() & second.isNotNull(), F.concat("__first", F.lit("/"), second)).otherwise(F.coalesce(single, F.lit("")))
     return rows.withColumn("area", area).drop("__first", "__wide")
 
@@ -117,6 +117,36 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Dat
     return labels.unionByName(late)
 
 
+def named_communities(nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(community, name, n_nodes) of ``groups`` (id, community).
+
+    The name is the segment that most paths of the community's endpoints and pages have; areas count in place of segments
+    where a page is chosen by a parameter or a first segment is a wide one.  Without any, it is the most frequent type of
+    its nodes, leaves and connectors left out, else the type of the node with the most neighbours.  Ties go to the
+    shorter, then the smaller segment, the larger type and the smallest id.
+    """
+    rows = nodes.select("id", "type", "path").join(groups.select("id", "community"), "id")
+    pathed = rows.filter(F.col("type").isin("endpoint", "route")).withColumn("path", F.coalesce("path", F.lit("")))
+    segs = F.transform(F.split(F.regexp_replace("path", "^/+|/+$", ""), "/"), F.lower)
+    spread = wide(nodes).withColumnRenamed("first", "__first")
+    marked = pathed.withColumn("__head", segs[0]).join(spread, F.col("__head") == F.col("__first"), "left")
+    by_area = marked.filter(F.contains("path", F.lit("?")) | F.col("__first").isNotNull()).select("community").distinct()
+
+    def most(words: DataFrame, name: str) -> DataFrame:
+        counted = words.groupBy("community", "word").agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("community").agg(F.min_by("word", F.struct(-F.col("n"), F.length("word"), "word")).alias(name))
+
+    named = F.filter(segs, lambda s: (F.length(s) > 1) & ~s.startswith("{") & ~s.isin(STOP))
+    areas = most(with_area(pathed.join(by_area, "community", "left_semi"), singular=False).filter("area <> ''").select("community", F.col("area").alias("word")), "by_area")
+    words = most(pathed.select("community", F.explode(named).alias("word")), "by_word")
+    kinds = rows.filter(~F.col("type").isin(LEAVES + CONNECTORS)).groupBy("community", "type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("community").agg(F.max_by("type", F.struct("n", "type")).alias("by_type"))
+    near = rows.join(degrees(nodes, edges), "id", "left").groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"), F.min_by("type", F.struct(-F.coalesce("degree", F.lit(0)), "id")).alias("by_hub"))
+    for t in (areas, words, kinds):
+        near = near.join(t, "community", "left")
+    return near.select("community", F.coalesce("by_area", "by_word", "by_type", "by_hub").alias("name"), "n_nodes")
+
+
 def coupling(nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(kind, src_label, dst_label, type, state): edges between communities, and edges to third parties once per pair of labels."""
     ends = edges.join(nodes.select(F.col("id").alias("src"), F.col("type").alias("st"), F.col("label").alias("src_label")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("dt"), F.col("label").alias("dst_label")), "dst")

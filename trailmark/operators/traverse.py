@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,15 +47,15 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame
     return walk(edges, starts, "out", depth).withColumn("direction", F.lit("out")).unionByName(walk(edges, starts, "in", depth).withColumn("direction", F.lit("in")))
 
 
-def paths(edges: DataFrame, start: DataFrame, goal: DataFrame, direction: str = "out", hops: int = HOPS, most: int = 1) -> DataFrame:
+def paths(edges: DataFrame, start: DataFrame, goal: DataFrame, direction: str = "out", hops: int | None = HOPS, most: int = 1) -> DataFrame:
     """(start, goal, hops, trail) of up to ``most`` shortest paths for each start: trails are arrays of nodes, ties go to the smallest trail.
 
-    Of the trails that reach one node in one step, the ``most`` smallest go on.
+    Of the trails that reach one node in one step, the ``most`` smallest go on.  Without ``hops`` walks end where nothing is new.
     """
     step = _ends(edges, direction).distinct()
     front = start.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("trail"))
     found, done = None, None
-    for d in range(1, hops + 1):
+    for d in count(1) if hops is None else range(1, hops + 1):
         grown = front.join(step, "at").filter(~F.array_contains("trail", F.col("to"))).select("start", F.col("to").alias("at"), F.concat("trail", F.array("to")).alias("trail"))
         if done is not None:
             grown = grown.join(done, ["start", "at"], "left_anti")
@@ -74,6 +76,12 @@ def paths(edges: DataFrame, start: DataFrame, goal: DataFrame, direction: str =
     return ranked.select("start", F.col("at").alias("goal"), "hops", "trail")
 
 
+def map_paths(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
+    """(start, goal, hops, trail) of a shortest path along edges in either direction, however long."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return paths(both, start, goal, hops=None)
+
+
 def path_steps(found: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (start, goal, hop, src, dst, type, state) of paths along out-edges; of parallel edges the first by type."""
     hop = found.select("start", "goal", F.posexplode(F.arrays_zip(F.slice("trail", 1, 1000).alias("a"), F.slice("trail", 2, 1000).alias("b"))).alias("hop", "s"))

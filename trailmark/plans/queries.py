@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trailmark.functions import redact
 from trailmark.functions.domains import in_scope, registrable_domain
@@ -568,3 +569,84 @@ def cypher_whole_export(spark, sf):
   UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="type">' || type || '</data></edge>' FROM ed""")
 def graphml_whole_export(spark, sf):
     return sink.graphml_lines(*t.trade_graph(spark, sf)).filter("part in (1, 2)")
+
+
+# ---- names, lenses, edges of a drift, paths of the map
+
+
+@query(f"""WITH {EX}, g AS (SELECT host, unnest(list_filter(string_split(template, '/'), lambda x: length(x) > 1 AND NOT starts_with(x, '{{') AND x <> 'api')) AS seg FROM (SELECT DISTINCT host, nid, template FROM ep)),
+  r AS (SELECT host, seg, row_number() OVER (PARTITION BY host ORDER BY count(*) DESC, length(seg), seg) AS k FROM g GROUP BY host, seg)
+  SELECT host AS community, seg AS name, (SELECT count(DISTINCT nid) FROM ep WHERE ep.host = r.host) AS n_nodes FROM r WHERE k = 1""")
+def community_names(spark, sf):
+    nodes = _endpoints(spark, sf)
+    edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return reason.named_communities(nodes, edges, nodes.select("id", F.col("host").alias("community")))
+
+
+LENS = "n AS (SELECT nid AS id, any_value(label) AS label, any_value(template) AS template, count(role) AS r, max(n_creds) AS c, min(id) AS first FROM ep GROUP BY nid), k AS (SELECT *, CASE WHEN template LIKE '/admin/%' THEN 1 WHEN r > 0 THEN 2 ELSE 5 END AS rank FROM n)"
+
+
+@query(f"WITH {EX}, {LENS} SELECT id, row_number() OVER (ORDER BY rank, label, id) AS place FROM k WHERE r > 0 OR c > 0 ORDER BY rank, label, id LIMIT 40")
+def lens_auth(spark, sf):
+    return _placed(rank.lens(_endpoints(spark, sf), "auth"))
+
+
+@query(f"WITH {EX}, {LENS} SELECT id, row_number() OVER (ORDER BY first, id) AS place FROM k ORDER BY first, id LIMIT 40")
+def lens_all(spark, sf):
+    return _placed(rank.lens(_endpoints(spark, sf), "all"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The first rows of a lens, numbered."""
+    top = rows.orderBy("place").limit(views.CAP).select("id", "place")
+    return top.select("id", F.row_number().over(Window.orderBy("place")).cast("long").alias("place"))
+
+
+BUILDS = """r AS (SELECT * FROM ep WHERE build = 2 OR NOT (coalesce(role, '') = 'admin' AND event_type = 'view')),
+  e AS (SELECT build, 'EXPOSES' AS type, 'h:' || host AS src, nid AS dst FROM r UNION SELECT build, 'REACHED', 'r:' || role, nid FROM r WHERE role IS NOT NULL UNION SELECT build, 'SENT_CREDENTIAL', nid, 'c:sid' FROM r WHERE n_creds >= 1
+    UNION SELECT build, 'SENT_CREDENTIAL', nid, 'c:bearer' FROM r WHERE n_creds = 2 UNION SELECT build, 'USES_PARAMETER', nid, 'p:' || nid || ':' || k FROM r WHERE k IS NOT NULL),
+  x AS (SELECT type, src, dst, min(build) AS build FROM e GROUP BY ALL HAVING count(DISTINCT build) = 1),
+  m AS (SELECT id, min(build) AS build FROM (SELECT build, src AS id FROM e UNION SELECT build, dst FROM e) GROUP BY id HAVING count(DISTINCT build) = 1)"""
+
+
+def _two_builds(spark, sf):
+    """Nodes and edges of two builds; in the first, no administrator looked at anything."""
+    rows = t.event_exchanges(spark, sf)
+    both = []
+    for part in ("build = 1 and not (role <=> 'admin' and path like '/api/view/%')", "build = 2"):
+        x = contributions.classified(conform(rows.filter(part)), t.SCOPE, t.PRIMARY)
+        both.append((contributions.nodes_from(contributions.node_contributions(x)), contributions.edges_from(contributions.edge_contributions(x))))
+    return both
+
+
+@query(f"WITH {EX}, {BUILDS} SELECT type, CASE build WHEN 1 THEN 'GONE' ELSE 'NEW' END AS change, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.build = x.build AND m.id = x.src) AND NOT EXISTS (SELECT 1 FROM m WHERE m.build = x.build AND m.id = x.dst) GROUP BY ALL")
+def drift_loose_edges(spark, sf):
+    (old, old_edges), (new, new_edges) = _two_builds(spark, sf)
+    return drift.loose_edges(old, new, old_edges, new_edges).groupBy("type", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EX}, {BUILDS}, j AS (SELECT unnest([x.src, x.dst]) AS id FROM x JOIN m a ON a.id = x.src AND a.build = 2 JOIN m b ON b.id = x.dst AND b.build = 2 WHERE x.build = 2)
+  SELECT CASE substr(id, 1, 2) WHEN 'p:' THEN 'parameter' WHEN 'h:' THEN 'host' WHEN 'r:' THEN 'role' WHEN 'c:' THEN 'auth' ELSE 'endpoint' END AS type, CAST(2 AS INTEGER) AS first_build, count(*) AS n FROM m WHERE build = 2 AND id NOT IN (SELECT id FROM j) GROUP BY ALL""")
+def drift_singles(spark, sf):
+    (old, old_edges), (new, new_edges) = _two_builds(spark, sf)
+    first = drift.entities(old, old_edges, 1).select("kind", "key", F.col("build").alias("first_build"), F.col("build").alias("last_build"))
+    came = drift.node_changes(old, new).filter("change = 'NEW'")
+    found = drift.singles(came, new, drift.edge_changes(old_edges, new_edges).filter("change = 'NEW'"), drift.history(first, drift.entities(new, new_edges, 2)))
+    return found.groupBy("type", "first_build").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'n' || a.n_nationkey AS start, min('n' || b.n_nationkey) AS goal, CAST(2 AS INTEGER) AS hops, 'n' || a.n_nationkey || '>r' || a.n_regionkey || '>' || min('n' || b.n_nationkey) AS trail FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_nationkey, a.n_regionkey")
+def map_paths(spark, sf):
+    nodes, edges = t.trade_graph(spark, sf)
+    nations = nodes.filter("type = 'route'").select("id")
+    return traverse.map_paths(edges, nations, nations).select("start", "goal", "hops", F.concat_ws(">", "trail").alias("trail"))
+
+
+@query(f"""WITH {EX} SELECT 'node' AS kind, type, count(*) AS n FROM (SELECT 'host' AS type, host AS k FROM ex UNION SELECT 'endpoint', nid FROM ep UNION SELECT 'role', role FROM ex WHERE role IS NOT NULL UNION SELECT 'auth', 'cookie:sid' FROM ex WHERE n_creds >= 1
+    UNION SELECT 'auth', 'bearer' FROM ex WHERE n_creds = 2 UNION SELECT 'parameter', nid || ':' || k FROM ep WHERE k IS NOT NULL) GROUP BY type
+  UNION ALL SELECT 'edge', type, count(*) FROM (SELECT 'EXPOSES' AS type, host AS a, nid AS b FROM ep UNION SELECT 'REACHED', role, nid FROM ep WHERE role IS NOT NULL UNION SELECT 'SENT_CREDENTIAL', nid, 'cookie:sid' FROM ep WHERE n_creds >= 1
+    UNION SELECT 'SENT_CREDENTIAL', nid, 'bearer' FROM ep WHERE n_creds = 2 UNION SELECT 'USES_PARAMETER', nid, k FROM ep WHERE k IS NOT NULL) GROUP BY type""")
+def whole_build(spark, sf):
+    built = model.build(t.event_exchanges(spark, sf), "events", t.SCOPE, t.PRIMARY)
+    sides = [df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n") for kind, df in (("node", built.nodes), ("edge", built.edges))]
+    return sides[0].unionByName(sides[1])
