@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import domains, redact, template
 from trailmark.functions.text import entropy, nocase
-from trailmark.operators import drift, extract, fold, rank, stack, traverse
+from trailmark.operators import drift, extract, fold, rank, reason, stack, traverse
 from trailmark.operators.filters import FilterError, compiled, read_only_sql, run_filter, target, term, text
 from trailmark.operators.roles import merged
 from trailmark.schema import conform
@@ -212,3 +212,48 @@ def test_inputs_of_roles(spark):
     assert rows(saved, new, None) == [(9, None), (10, None)]
     assert rows(saved, new.limit(0), "user") == [(2, "admin")]
     assert rows(saved.limit(0), new, "user") == [(9, "user"), (10, "user")]
+
+
+def test_names_of_communities(spark):
+    rows = [
+        ("a1", "endpoint", "/api/orders/{id}", 1), ("a2", "endpoint", "/orders/new", 1), ("a3", "route", "/cart", 1), ("a4", "parameter", None, 1),
+        ("b1", "route", "/index.php?page=users", 2), ("b2", "route", "/index.php?page=users&x=1", 2), ("b3", "endpoint", "/long/long/long", 2),
+        ("c1", "endpoint", "/big/one", 3), ("c2", "endpoint", "/big/two", 3), ("c3", "endpoint", "/big/two/x", 3), ("c4", "endpoint", "/big/three", 3), ("c5", "endpoint", "/big/four", 3),
+        ("d1", "script", None, 4), ("d2", "third_party", None, 4), ("d3", "script", None, 4), ("e1", "cookie", None, 5), ("e2", "role", None, 5), ("f1", "endpoint", "/", 6), ("f2", "route", None, 6),
+    ]
+    nodes = spark.createDataFrame([r[:3] for r in rows], "id string, type string, path string")
+    groups = spark.createDataFrame([(r[0], r[3]) for r in rows] + [("gone", 7)], "id string, community int")
+    edges = spark.createDataFrame([("e2", "a1"), ("e2", "a2"), ("e1", "a1")], "src string, dst string")
+    got = {r["community"]: (r["name"], r["n_nodes"]) for r in reason.named_communities(nodes, edges, groups).collect()}
+    assert got == {1: ("orders", 4), 2: ("users", 3), 3: ("big/two", 5), 4: ("script", 3), 5: ("role", 2), 6: ("route", 2)}
+    assert reason.named_communities(nodes.limit(0), edges, groups).count() == 0
+
+
+def test_robots_close_prefixes(spark):
+    text = "User-agent: *\nDisallow: /private\r\ndisallow:   /tmp/x # not this\nAllow: /private/ok\nDisallow:"
+    assert column(spark, [text, "", None], extract.disallowed) == [["/private", "/tmp/x"], [], None]
+    links = spark.createDataFrame([(1, "a.test", "/private/ok", ""), (2, "a.test", "/tmp/y", ""), (3, "a.test", "/tmp/x", ""), (4, "b.test", "/private", ""), (5, "a.test", "/private/delete", ""), (6, "a.test", "/tmp/y", "")], "seq int, host string, path string, query string")
+    got = {r["seq"]: r["reason"] for r in extract.admitted(links, "a.test", closed=["/private", "/tmp/x"]).collect()}
+    assert got == {1: "robots", 2: "ok", 3: "robots", 4: "out_of_scope", 5: "unsafe", 6: "duplicate"}
+
+
+def test_changes_that_belong_to_no_workflow(spark):
+    node = lambda *ids: spark.createDataFrame([(i, "tech" if i == "t" else "route", i.upper()) for i in ids], "id string, type string, label string")
+    edge = lambda *pairs: spark.createDataFrame([(p[0], "CALLS", p[1]) for p in pairs], "src string, type string, dst string")
+    old, new = node("a", "b", "z", "t"), node("a", "b", "c", "d", "e", "t")
+    old_edges, new_edges = edge("ba", "az"), edge("ab", "at", "cd", "ae", "ee")
+    assert {tuple(r) for r in drift.loose_edges(old, new, old_edges, new_edges).collect()} == {("a", "CALLS", "b", "NEW"), ("b", "CALLS", "a", "GONE")}
+    seen = drift.history(drift.entities(old, old_edges, 1).select("kind", "key", F.col("build").alias("first_build"), F.col("build").alias("last_build")), drift.entities(new, new_edges, 2))
+    came, gone = (drift.node_changes(old, new).filter(F.col("change") == c) for c in ("NEW", "GONE"))
+    assert [tuple(r) for r in drift.singles(came, new, new_edges, seen).collect()] == [("e", "route", "E", 2, 2)]
+    assert [tuple(r) for r in drift.singles(gone, old, old_edges, seen).collect()] == [("z", "route", "Z", 1, 1)]
+
+
+def test_paths_of_the_map_go_either_way(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") if i % 2 else (f"n{i + 1:02d}", f"n{i:02d}") for i in range(10)] + [("x", "y")], "src string, dst string")
+    one = lambda i: spark.createDataFrame([(i,)], "id string")
+    [r] = traverse.map_paths(chain, one("n00"), one("n10")).collect()
+    assert r["hops"] == 10 and r["trail"] == [f"n{i:02d}" for i in range(11)]
+    assert traverse.map_paths(chain, one("n00"), one("x")).count() == 0
+    with pytest.raises(ValueError):
+        rank.lens(chain, "none")

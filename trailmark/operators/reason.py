@@ -47,7 +47,7 @@ def segments(path: Column) -> Column:
 def wide(nodes: DataFrame) -> DataFrame:
     """(first): first segments with four or more different second ones; their areas are one level deeper."""
     segs = nodes.filter(F.col("type").isin("endpoint", "route")).select(segments(F.col("path")).alias("s")).filter("size(s) > 1")
-    return segs.groupBy(_clean(F.col("s")[0]).alias("first")).agg(F.count_distinct(_clean(F.col("s")[1])).alias("n")).filter(F.col("n") >= WIDE).select("first")
+    return segs.groupBy(_clean(F.get("s", F.lit(0))).alias("first")).agg(F.count_distinct(_clean(F.get("s", F.lit(1)))).alias("n")).filter(F.col("n") >= WIDE).select("first")
 
 
 def with_area(nodes: DataFrame, singular: bool = True) -> DataFrame:
@@ -57,7 +57,7 @@ def with_area(nodes: DataFrame, singular: bool = True) -> DataFrame:
     chosen = F.filter(F.split(query, "&"), lambda kv: F.substring_index(kv, "=", 1).isin(ROUTE_PARAMS) & (F.regexp_replace(kv, "^[^=]*=?", "") != ""))
     page = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.get(chosen, F.lit(0)), "^[^=]*=", "")), r"\.[^.]*$", ""), "[^a-z0-9_-]", "")
     s = segments(F.col("path"))
-    first = F.when(F.size(s) > 0, _clean(s[0]))
+    first = F.when(F.size(s) > 0, _clean(F.get(s, F.lit(0))))
     second = F.when(F.size(s) > 1, _clean(F.get(s, F.lit(1))))
     rows = nodes.withColumn("__first", first).join(wide(nodes).withColumnRenamed("first", "__wide"), F.col("__first") == F.col("__wide"), "left")
     single = F.col("__first") if not singular else F.when(F.regexp_replace("__first", "s+$", "") == "", F.col("__first")).otherwise(F.regexp_replace("__first", "s+$", ""))
@@ -129,7 +129,7 @@ def named_communities(nodes: DataFrame, edges: DataFrame, groups: DataFrame) ->
     pathed = rows.filter(F.col("type").isin("endpoint", "route")).withColumn("path", F.coalesce("path", F.lit("")))
     segs = F.transform(F.split(F.regexp_replace("path", "^/+|/+$", ""), "/"), F.lower)
     spread = wide(nodes).withColumnRenamed("first", "__first")
-    marked = pathed.withColumn("__head", segs[0]).join(spread, F.col("__head") == F.col("__first"), "left")
+    marked = pathed.withColumn("__head", F.get(segs, F.lit(0))).join(spread, F.col("__head") == F.col("__first"), "left")
     by_area = marked.filter(F.contains("path", F.lit("?")) | F.col("__first").isNotNull()).select("community").distinct()
 
     def most(words: DataFrame, name: str) -> DataFrame:
