@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, language_id, licenses, lm, mixing, ngram_join, passages, quality, sentencepiece_scan, token_counts
+from trailmark.llm import exact_dedup, filter_audit, language_id, licenses, lm, mixing, ngram_join, passages, quality, sentencepiece_scan, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op8_license_scan, op9_substring_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op8_license_scan, op9_substring_dedup, op10_ngram_jaccard_join, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,4 +73,34 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)
         """,
+        "op12_filter_audit": r"""
+            WITH d AS (
+                SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+            ), l AS (
+                SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+            ), f AS (
+                SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                     regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+                FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+            ), m AS (
+                SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+            ), i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i), o AS (
+                SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+                WHERE b.i <> a.i AND c.i NOT IN (a.i, b.i) AND d.i NOT IN (a.i, b.i, c.i) AND e.i NOT IN (a.i, b.i, c.i, d.i)
+            ), s AS (
+                SELECT part, o, i.i AS step, n, good, toxic, fails[o[i.i]] AS failed, len(list_filter(fails, lambda x: x)) AS failures,
+                    coalesce(list_position(list_transform(o, lambda x: fails[x]), true), 6) AS first
+                FROM m, o, i
+            ), r AS (
+                SELECT part, o, step, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+                    sum(CASE WHEN failed AND first < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed AND failures = 1 THEN n ELSE 0 END) AS unique_fails,
+                    sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost
+                FROM s GROUP BY part, o, step
+            )
+            SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+                redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+                (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+            FROM r
+        """,
     }
