@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact_dedup, filter_audit, language_id, licenses, lm, mixing, ngram_join, passages, quality, sentencepiece_scan, token_counts, token_files
+from trailmark.llm import alignment, exact_dedup, filter_audit, language_id, licenses, lm, mixing, ngram_join, passages, quality, sentencepiece_scan, token_counts, token_files
 from trailmark.llm.store import Scratch
 
 
@@ -59,6 +59,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summary(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -70,7 +74,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op8_license_scan, op9_substring_dedup, op10_ngram_jaccard_join, op12_filter_audit, op13_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_exact_dedup, op4_quality_rules, op5_language_id, op6_sentencepiece, op7_mixing, op8_license_scan, op9_substring_dedup, op10_ngram_jaccard_join, op11_alignment, op12_filter_audit, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
