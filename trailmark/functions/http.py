@@ -10,9 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.functions.template import query_pairs, route_template, template_path
+from trailmark.functions.template import query_pairs, route_template, segment_kind, template_path
+from trailmark.functions.text import let
 
 INFLATED = 50 * 1024 * 1024
+# How far a JSON body is looked into for parameters.
+DEEPEST, LISTED, LONGEST_KEY = 12, 5, 200
 # Header and cookie names that carry credentials.
 CREDENTIAL_HEADERS = ["x-api-key", "x-auth-token", "x-csrf-token", "x-xsrf-token", "api-key"]
 SESSION_COOKIE = r"(?i)(sess|sid|auth|token|jwt|csrf|remember)"
@@ -42,22 +45,35 @@ def _dechunked(body: bytes) -> bytes:
 
 
 def _inflated(body: bytes, coding: str) -> bytes | None:
+    """The first ``INFLATED`` bytes of what a coding packed, in all its members; None if it is not known or damaged."""
     try:
         if coding in ("gzip", "x-gzip", "deflate"):
             for bits in (47, -15):
                 try:
-                    return zlib.decompressobj(bits).decompress(body, INFLATED)
+                    return _members(body, bits)
                 except zlib.error:
                     continue
         if coding == "zstd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(body)[:INFLATED]
+            with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as stream:
+                return stream.read(INFLATED)
     except Exception:
         return None
     return None
 
 
+def _members(body: bytes, bits: int) -> bytes:
+    out, size = [], 0
+    while True:
+        member = zlib.decompressobj(bits)
+        out.append(member.decompress(body, INFLATED - size))
+        size += len(out[-1])
+        body = member.unused_data
+        if not member.eof or bits < 0 or size >= INFLATED or not body.startswith(b"\x1f\x8b"):
+            return b"".join(out)
+
+
 @F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("handled", T.BooleanType())]))
 def decoded_body(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """(body, transfer-encoding, content-encoding) -> the plain body, and whether its coding is known; at most 50 MB."""
@@ -104,14 +120,43 @@ def header(hs: Column, name: str) -> Column:
     return F.get(F.filter(hs, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
+def json_leaves(body: Column) -> Column:
+    """array<struct<name, value>> of the values in a JSON text that are no objects or lists, by their paths from ``$``.
+
+    Values lie at most ``DEEPEST`` steps down; of a list the first ``LISTED`` items count.  A key that is itself a value (an
+    address, a token) becomes its placeholder, so none stands in a name.  Null for what is no JSON, and for an object
+    with the same key twice.
+    """
+    node = "array<struct<name: string, value: variant, leaf: boolean>>"
+
+    def entry(name: Column, value: Column) -> Column:
+        nested = F.expr("null").cast("boolean")  # decided when its turn comes
+        return F.struct(name.alias("name"), value.alias("value"), nested.alias("leaf"))
+
+    def key(k: Column) -> Column:
+        short = F.substring(k, 1, LONGEST_KEY)
+        return F.coalesce(segment_kind(short), short)
+
+    def opened(x: Column) -> Column:
+        fields, items = F.try_variant_get(x["value"], "$", "map<string, variant>"), F.try_variant_get(x["value"], "$", "array<variant>")
+        under = F.transform(F.map_entries(fields), lambda e: entry(F.concat(x["name"], F.lit("."), key(e["key"])), e["value"]))
+        listed = F.transform(F.slice(items, 1, LISTED), lambda v, i: entry(F.concat(x["name"], F.lit("["), i.cast("string"), F.lit("]")), v))
+        itself = F.array(F.struct(x["name"].alias("name"), x["value"].alias("value"), F.lit(True).alias("leaf")))
+        return F.when(x["leaf"] | (fields.isNull() & items.isNull()), itself).otherwise(F.coalesce(under, listed))
+
+    parsed = F.try_parse_json(body)
+    root = F.array(entry(F.lit("$"), parsed)).cast(node)
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), root, lambda found, _: F.flatten(F.transform(found, opened)).cast(node))
+    leaves = F.transform(F.filter(walked, lambda x: F.coalesce(x["leaf"], F.lit(False))), lambda x: F.struct(x["name"].alias("name"), x["value"].cast("string").alias("value")))
+    return F.when(parsed.isNotNull(), leaves)
+
+
 def body_params(body: Column, content_type: Column) -> Column:
-    """array<struct<name, value>> of a form, or the top-level and second-level paths of a JSON object."""
+    """array<struct<name, value>> of a form, or of the values in a JSON text (``json_leaves``)."""
     form = query_pairs(F.concat(F.lit("?"), body))
-    keys = F.json_object_keys(body)
-    flat = F.transform(keys, lambda k: F.struct(F.concat(F.lit("$."), k).alias("name"), F.get(F.map_values(F.from_json(body, "map<string, string>")), F.array_position(keys, k).cast("int") - 1).alias("value")))
     none = F.array().cast("array<struct<name: string, value: string>>")
     low = F.coalesce(F.lower(content_type), F.lit(""))
-    return F.coalesce(F.when(low.contains("x-www-form-urlencoded"), form).when(low.contains("json") & keys.isNotNull(), flat), none)
+    return F.coalesce(F.when(low.contains("x-www-form-urlencoded"), form).when(low.contains("json"), json_leaves(body)), none)
 
 
 def graphql_operations(template: Column, body: Column) -> Column:
@@ -154,4 +199,4 @@ def referer(hs: Column) -> tuple[Column, Column]:
     host = F.nullif(F.lower(F.regexp_extract(value, r"(?i)^https?://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     path = F.regexp_replace(value, r"(?i)^https?://[^/?#]*", "")
     path = F.when(path == "", "/").otherwise(path)
-    return host, F.when(host.isNotNull(), route_template(path, template_path(path)))
+    return host, F.when(host.isNotNull(), let(path, lambda p: let(template_path(p), lambda t: route_template(p, t))))

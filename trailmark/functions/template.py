@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailmark.functions import redact
-from trailmark.functions.text import digits, entropy
+from trailmark.functions.text import digits, entropy, let
 
 # Parameters by which a front controller chooses the page.
 ROUTE_PARAMS = ["page", "action", "view", "module", "route", "section", "tab", "controller", "do", "cmd", "mode", "screen", "op", "task", "act", "content", "p"]
@@ -18,7 +18,10 @@ def segment_kind(seg: Column) -> Column:
 
     The first rule that fits decides: ids first, then shapes of secrets, then codes and random-looking tokens.
     """
-    s = F.coalesce(F.try_url_decode(seg), seg)
+    return let(F.struct(seg.alias("seg"), F.coalesce(F.try_url_decode(seg), seg).alias("s")), lambda x: _kind(x["seg"], x["s"]))
+
+
+def _kind(seg: Column, s: Column) -> Column:
     kind = (
         F.when(seg.isNull() | (seg == "") | (seg.startswith("{") & seg.endswith("}")), None)
         .when(s.rlike(r"^\d+$"), "{id}")
@@ -42,13 +45,14 @@ def segment_kind(seg: Column) -> Column:
 
 def _matrix(seg: Column) -> Column:
     """``name;k=v`` with sensitive or value-like v as ``{value}``."""
-    parts = F.split(seg, ";")
-
     def one(p: Column) -> Column:
         k, v = F.substring_index(p, "=", 1), F.regexp_replace(p, "^[^=]*=?", "")
         return F.when((v != "") & (redact.sensitive_param(k) | segment_kind(v).isNotNull()), F.concat(k, F.lit("={value}"))).otherwise(p)
 
-    return F.concat_ws(";", F.concat(F.array(F.coalesce(segment_kind(parts[0]), parts[0])), F.transform(F.slice(parts, 2, 10_000), one)))
+    def whole(parts: Column) -> Column:
+        return F.concat_ws(";", F.concat(F.array(F.coalesce(segment_kind(parts[0]), parts[0])), F.transform(F.slice(parts, 2, 10_000), one)))
+
+    return let(F.split(seg, ";"), whole)
 
 
 def _asset(seg: Column) -> Column:
@@ -61,8 +65,8 @@ def _asset(seg: Column) -> Column:
 def template_path(path: Column) -> Column:
     """The path without query and fragment, its values as placeholders; ``/`` if nothing is left."""
     segs = F.split(F.regexp_replace(path, r"[?#][\s\S]*$", ""), "/")
-    out = F.concat_ws("/", F.transform(segs, lambda s: F.when(s.contains(";"), _matrix(s)).otherwise(F.coalesce(segment_kind(s), _asset(s), s))))
-    return F.when(path.isNull(), None).when(out == "", "/").otherwise(out)
+    out = F.transform(segs, lambda s: F.when(s.contains(";"), _matrix(s)).otherwise(F.coalesce(segment_kind(s), _asset(s), s)))
+    return let(F.when(path.isNotNull(), F.concat_ws("/", out)), lambda o: F.when(o == "", "/").otherwise(o))
 
 
 def query_pairs(path: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from trailmark.functions.classify import API_HINT
 from trailmark.functions.template import template_path
+from trailmark.functions.text import let
 
 #: Characters of a body that are scanned; longer ones are flagged.
 MOST = 10 * 1024 * 1024
@@ -121,14 +122,63 @@ def page_references(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return normalised(df.select(F.col(id_col), F.explode(F.concat(form_references(F.col(html_col)), raw_references(inline))).alias("ref")))
 
 
-def script_assets(body: Column) -> Column:
-    """array<struct<kind, raw>>: source maps, workers, service workers and imported scripts that a script names."""
-    rules = [("sourcemap", r"//[#@]\s*sourceMappingURL=(\S+)"), ("worker", r"new\s+(?:Shared)?Worker\(\s*[\"'`]([^\"'`]+)"), ("serviceworker", r"serviceWorker\s*\.\s*register\(\s*[\"'`]([^\"'`]+)"), ("import", r"importScripts\(\s*[\"'`]([^\"'`]+)")]
+def script_assets(body: Column, source_map: Column | None = None) -> Column:
+    """array<struct<kind, raw>>: source maps, workers, service workers and imported scripts that a script names.
 
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(_all(body, pattern, 1), lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("raw")))
+    ``source_map``: the value of the response's header that names one.
+    """
+    named_once = [("worker", r"new\s+(?:Shared)?Worker"), ("service_worker", r"serviceWorker\s*\.\s*register"), ("import_scripts", "importScripts")]
+    quoted = r"\s*\(\s*([\"'`])([^\"'`\s]{1,200})\1"
+
+    def named(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("raw")))
+
+    b = F.substring(F.coalesce(body, F.lit("")), 1, MOST)
+    maps = F.concat(_all(b, r"//[#@]\s*sourceMappingURL=([^\s'\"]+)", 1), F.array_compact(F.array(source_map if source_map is not None else F.lit(None).cast("string"))))
+    return F.concat(named("sourcemap", maps), *[named(kind, _all(b, pattern + quoted, 2)) for kind, pattern in named_once])
 
-    return F.concat(*[named(k, p) for k, p in rules])
+
+def resolved(raw: Column, host: Column, path: Column) -> Column:
+    """struct<host, path> of a file that a script at ``host`` and ``path`` names: templated, without ``.`` and ``..``.
+
+    Null for data, blobs, what code puts together at run time, and what is no path of a file.
+    """
+    u = F.trim(raw)
+    authority = r"^(?:[^/?#]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)"
+    named = F.struct(u.alias("u"), (u.contains("://") | u.startswith("//")).alias("absolute"), F.regexp_extract(u, authority, 1).alias("at"), F.regexp_replace(path, r"[?#][\s\S]*$", "").alias("base"))
+
+    def own(x: Column) -> Column:
+        """The path that is named, by itself."""
+        told = F.when(x["absolute"], F.regexp_replace(x["u"], r"^(?:[^/?#]*:)?//[^/?#]*", "")).otherwise(x["u"])
+        return F.struct(x["u"].alias("u"), x["absolute"].alias("absolute"), F.when(x["absolute"] & (x["at"] != ""), F.lower(x["at"])).otherwise(host).alias("at"), x["base"].alias("base"), F.regexp_replace(told, r"[?#][\s\S]*$", "").alias("own"))
+
+    def whole(x: Column) -> Column:
+        """The path from the root on, in segments; dot segments are still in it."""
+        beside = F.regexp_replace(F.concat(F.regexp_replace(x["base"], r"[^/]*$", ""), x["own"]), "/{2,}", "/")
+        target = F.when(x["own"] == "", x["base"]).when(x["own"].startswith("/"), x["own"]).otherwise(beside)
+        return F.struct(x["u"].alias("u"), x["absolute"].alias("absolute"), x["at"].alias("at"), x["own"].alias("own"), F.split(target, "/").alias("parts"))
+
+    def step(done: Column, s: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(s == ".", done).when(s == "..", up).otherwise(F.concat(done, F.array(s)))
+
+    def plain(x: Column) -> Column:
+        rest = F.slice(x["parts"], 2, F.greatest(F.size(x["parts"]) - 1, F.lit(0)))
+        walked = F.concat_ws("/", F.aggregate(rest, F.array(F.lit("")).cast("array<string>"), step))
+        walked = F.concat(walked, F.when(F.element_at(x["parts"], -1).isin(".", ".."), "/").otherwise(""))
+        return F.struct(x["u"].alias("u"), x["at"].alias("at"), F.when(x["absolute"], x["own"]).when(walked == "", "/").otherwise(walked).alias("to"))
+
+    def known(x: Column) -> Column:
+        good = (x["u"] != "") & ~x["u"].rlike(r"^(?:data:|blob:)") & ~x["u"].contains("{param}") & x["to"].startswith("/") & ~x["to"].contains("//") & (F.length(x["to"]) <= 200)
+        return F.when(good, F.struct(x["at"].alias("host"), template_path(x["to"]).alias("path")))
+
+    return let(let(let(let(named, own), whole), plain), known)
+
+
+def resolved_assets(assets: Column, host: Column, path: Column) -> Column:
+    """Distinct array<struct<kind, host, path>> of ``script_assets`` of the script at ``host`` and ``path``, in order."""
+    found = F.transform(assets, lambda a: F.struct(a["kind"].alias("kind"), resolved(a["raw"], host, path).alias("at")))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda a: a["at"].isNotNull()), lambda a: F.struct(a["kind"].alias("kind"), a["at"]["host"].alias("host"), a["at"]["path"].alias("path")))))
 
 
 def links(html: Column) -> Column:

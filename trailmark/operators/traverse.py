@@ -12,8 +12,6 @@ from trailmark.functions.text import nocase
 from trailmark.tables import settle
 
 DEPTH, DEEPEST, HOPS = 3, 8, 8
-# Edges along which requests and code flow.
-FLOW = ["LOADS", "SERVES", "EXPOSES", "CALLS", "INCLUDES", "NAVIGATES_TO", "REFERENCES", "SENT_CREDENTIAL", "USES_OPERATION", "SETS_COOKIE", "SPAWNS"]
 
 
 def _ends(edges: DataFrame, direction: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +13,12 @@ from trailmark.functions.text import entropy
 from trailmark.operators import contributions, drift, extract, fold, rank, reason, references, roles, stack, traverse, views
 from trailmark.operators.filters import run_filter, term, text, with_ends
 from trailmark.plans import model
+from trailmark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from trailmark.schema import conform
 from trailmark.sinks import graph as sink
 from trailmark.sources import tables as t
 from trailmark.streaming import live
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 EX = """ex AS (
   SELECT event_id AS id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method, 'h' || (user_id % 2) || '.shop.test' AS host,
     CASE WHEN event_type = 'purchase' THEN '/admin/' ELSE '/api/' END || event_type || '/' || (event_id % 7) AS path, CASE WHEN event_type = 'purchase' THEN '/admin/' ELSE '/api/' END || event_type || '/{id}' AS template,
@@ -35,16 +30,6 @@ PG = r"""pg AS (
 pt AS (SELECT *, CASE WHEN regexp_replace(path, '\?.*$', '') = '' THEN '/' ELSE array_to_string(list_transform(string_split(regexp_replace(path, '\?.*$', ''), '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{id}' ELSE s END), '/') END AS template FROM pg)"""
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(t.event_exchanges(spark, sf_dir))
 

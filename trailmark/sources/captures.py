@@ -127,26 +127,34 @@ def exchanges(items: DataFrame, role: str | None = None, key: bytes = b"") -> Da
     rows = rows.withColumn("path", F.coalesce("path", F.nullif(F.regexp_extract("req_line", r"^\S+\s+(\S+)", 1), F.lit("")), F.lit("/")))
     rows = rows.withColumn("mime", F.lower(F.coalesce(F.substring_index(http.header(F.col("sh"), "content-type"), ";", 1), F.col("mime"), F.lit(""))))
     rows = rows.withColumn("status", F.coalesce("status", F.expr("try_cast(regexp_extract(resp_line, '^HTTP/[0-9.]+ ([0-9]{3})', 1) as int)")))
-    query, sent_type = query_pairs(F.col("path")), http.header(F.col("rh"), "content-type")
-    template = route_template(F.col("path"), template_path(F.col("path")))
+    # Named columns, not expressions: what several columns below need is planned and worked out once.
+    rows = rows.withColumns({"query": query_pairs(F.col("path")), "templated": template_path(F.col("path")), "sent_type": http.header(F.col("rh"), "content-type"), "cookies_set": http.set_cookies(F.col("sh"))})
+    rows = rows.withColumn("template", route_template(F.col("path"), F.col("templated")))
+    rows = rows.withColumns({"markup": classify.is_html(F.col("mime")), "script": classify.is_script(F.col("mime"), F.col("template")), "raw_path": F.substring_index("path", "?", 1)})
+    inline = F.concat_ws("\n", F.regexp_extract_all("resp_text", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), 1))
+    rows = rows.withColumn("code", F.when(F.col("script"), F.col("resp_text")).when(F.col("markup"), inline))
+    forms = F.when(F.col("markup"), extract.form_references(F.col("resp_text")))
+    header_map = F.coalesce(http.header(F.col("sh"), "sourcemap"), http.header(F.col("sh"), "x-sourcemap"))
+    none = F.array().cast("array<struct<method: string, raw: string, kind: string>>")
+    rows = rows.withColumns({"refs": F.concat(F.coalesce(forms, none), F.coalesce(extract.raw_references(F.col("code")), none)), "assets": F.when(F.col("script"), extract.script_assets(F.col("resp_text"), header_map))})
     ref_host, ref_path = http.referer(F.col("rh"))
-    markup = classify.is_html(F.col("mime"))
-    refs = F.when(classify.is_script(F.col("mime"), template), extract.raw_references(F.col("resp_text"))).when(markup, F.concat(extract.form_references(F.col("resp_text")), extract.raw_references(F.concat_ws("\n", F.regexp_extract_all("resp_text", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), 1)))))
-    raw_path = F.substring_index("path", "?", 1)
-    hidden = F.concat(redact.found_values(F.coalesce("req_text", F.lit(""))), redact.found_values(F.coalesce("resp_text", F.lit(""))), redact.found_values(raw_path))
+    hidden = F.concat(redact.found_values(F.coalesce("req_text", F.lit(""))), redact.found_values(F.coalesce("resp_text", F.lit(""))), redact.found_values(F.col("raw_path")))
+    rows = rows.withColumns({"hidden": hidden, "asked": F.transform(redact.mask_params(F.col("query")), lambda p: F.concat_ws("=", p["name"], p["value"])), "referer_host": ref_host, "referer_path": ref_path})
     pane = lambda line, hs, text: F.struct(
         redact.mask_values(F.col(line)).alias("line"), redact.mask_headers(F.col(hs)).alias("headers"), redact.mask_named(F.substring(F.col(text), 1, PANE)).alias("body"), ((F.length(text) > PANE) | F.col("truncated")).alias("truncated")
     )
+    cookie_names = F.concat(F.transform("cookies_set", lambda c: c["name"]), http.cookie_names(F.col("rh")))
     out = rows.select(
         F.monotonically_increasing_id().alias("uid"), "source", "item", F.lit(role).cast("string").alias("role"), "method", "scheme", "host", "port",
-        redact.mask_values(F.concat(template_path(F.col("path")), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.concat_ws("&", F.transform(redact.mask_params(query), lambda p: F.concat_ws("=", p["name"], p["value"]))))).otherwise(""))).alias("path"),
-        template.alias("path_template"), "status", "mime", F.array_distinct(F.transform(query, lambda p: p["name"])).alias("query_params"),
-        F.array_distinct(F.transform(http.body_params(F.col("req_text"), sent_type), lambda p: p["name"])).alias("body_params"), ref_host.alias("referer_host"), ref_path.alias("referer_path"),
-        http.set_cookies(F.col("sh")).alias("set_cookies"), http.credentials(F.col("rh"), query).alias("credentials"),
+        redact.mask_values(F.concat("templated", F.when(F.size("query") > 0, F.concat(F.lit("?"), F.concat_ws("&", "asked"))).otherwise(""))).alias("path"),
+        F.col("template").alias("path_template"), "status", "mime", F.array_distinct(F.transform("query", lambda p: p["name"])).alias("query_params"),
+        F.array_distinct(F.transform(http.body_params(F.col("req_text"), F.col("sent_type")), lambda p: p["name"])).alias("body_params"), "referer_host", "referer_path",
+        F.col("cookies_set").alias("set_cookies"), http.credentials(F.col("rh"), F.col("query")).alias("credentials"),
         F.transform(F.filter("sh", lambda h: F.lower(h["name"]).isin("server", "x-powered-by")), lambda h: F.struct(F.lower(h["name"]).alias("header"), h["value"].alias("value"))).alias("tech"),
-        extract.normal_references(F.coalesce(refs, F.array())).alias("js_refs"), stack.detected(F.col("sh"), F.transform(http.set_cookies(F.col("sh")), lambda c: c["name"]), F.when(markup, F.col("resp_text")), F.col("path")).alias("stack"),
-        (F.length("resp_text") > extract.MOST).alias("scan_truncated"), http.graphql_operations(template, F.col("req_text")).alias("gql_ops"), ((F.col("method") == "OPTIONS") & http.header(F.col("rh"), "access-control-request-method").isNotNull()).alias("preflight"),
-        F.transform(hidden, lambda v: redact.fingerprint(v["value"], key, v["kind"])).alias("secrets"), pane("req_line", "rh", "req_text").alias("req"), pane("resp_line", "sh", "resp_text").alias("resp"),
+        extract.normal_references(F.col("refs")).alias("js_refs"), extract.resolved_assets(F.col("assets"), F.col("host"), F.col("template")).alias("js_assets"),
+        stack.detected(F.col("sh"), cookie_names, F.when(F.col("markup") | F.col("script"), F.col("resp_text")), F.col("path")).alias("stack"),
+        (F.length("resp_text") > extract.MOST).alias("scan_truncated"), http.graphql_operations(F.col("template"), F.col("req_text")).alias("gql_ops"), ((F.col("method") == "OPTIONS") & http.header(F.col("rh"), "access-control-request-method").isNotNull()).alias("preflight"),
+        F.transform("hidden", lambda v: redact.fingerprint(v["value"], key, v["kind"])).alias("secrets"), pane("req_line", "rh", "req_text").alias("req"), pane("resp_line", "sh", "resp_text").alias("resp"),
     )
     # Decoded and masked once; the ids are worked out on a narrow table and meet the rows in one join.
     out = settle(out, "masked")
