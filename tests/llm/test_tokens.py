@@ -49,7 +49,7 @@ def test_words_give_the_ids_of_whole_texts(tokenizers, kind, monkeypatch):
     # A piece tokenizer takes the letter that it writes for a space for one; such texts are not spelled by their ids.
     some = [t for t in texts() if t and not (kind == "pieces" and "▁" in t)]
     ids = segments.Ragged(tokenizer.kind)
-    words = segments.Words(lambda ws, first: ids.add((tokenizer.bare if first else tokenizer.spaced)(ws)), ids.keep, bare=bare)
+    words = segments.Words(lambda ws, first: ids.extend(*(tokenizer.bare if first else tokenizer.spaced)(ws)), ids.keep, bare=bare)
     whole = tokenizer.whole([f" {t}" if kind == "bytes" else t for t in some])
     for at, group in segments.groups(pa.array(some)):
         for i, text in enumerate(group) if len(group) > 1 else []:

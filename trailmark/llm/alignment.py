@@ -103,12 +103,11 @@ class Aligner:
         self.transducer = Transducer(a.bytes, b.bytes)
         self.links, self.figures = segments.Ragged(np.int64), segments.Ragged(np.int64)
         self.groups: list[bytes | None] = []
-        self.words = segments.Words(lambda words, bare: self.learn(words, self.a.spaced(words), self.b.spaced(words)), self.keep, bare=False)
+        self.words = segments.Words(lambda words, bare: self.learn(words, _each(self.a.spaced(words)), _each(self.b.spaced(words))), self.keep, bare=False)
 
-    def learn(self, words: list[str], a: list[bytes], b: list[bytes]) -> None:
+    def learn(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
         links, figures = [], []
         for word, x, y in zip(words, a, b, strict=True):
-            x, y = np.frombuffer(x, self.a.kind).tolist(), np.frombuffer(y, self.b.kind).tolist()
             found = self.transducer.align(x, y) if b"".join(map(self.a.bytes.__getitem__, x)) == b" " + word.encode() else None
             self.groups.append(None if found is None else b";".join([(",".join(map(str, p)) + "|" + ",".join(map(str, q))).encode() for p, q in found[0]]))
             links.append(np.array(found[1] if found else [], np.int64).tobytes())
@@ -132,7 +131,7 @@ class Aligner:
             rows, sizes = self.words.of(texts)
         else:
             rows, sizes = np.arange(len(self.groups), len(self.groups) + len(texts)), np.ones(len(texts), np.int64)
-            self.learn(texts, [x.tobytes() for x in self.a.whole([f" {t}" for t in texts])], [x.tobytes() for x in self.b.whole(texts)])
+            self.learn(texts, [x.tolist() for x in self.a.whole([f" {t}" for t in texts])], [x.tolist() for x in self.b.whole(texts)])
         figures, links = self.figures.take(rows)[0].reshape(-1, 3), self.links.take(rows)
         ends, link_ends = sizes.cumsum(), links[1].cumsum()
         for text, begin, end in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
@@ -162,6 +161,11 @@ class Aligner:
 _NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _each(found: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
+    ids, ends = found[0].tolist(), found[1].cumsum().tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sum of ``n`` for each."""
     if not len(keys):

@@ -23,14 +23,15 @@ import pyarrow.compute as pc
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters that are cut into words at once.
-BLOCK = 2_000_000
+BLOCK = 6_000_000
 #: Size of what a task keeps of the words it has met (characters, each word counting for ``WORD`` more); longer words are not kept.
-ROOM = 64_000_000
+ROOM = 180_000_000
 WORD = 100
 LONG = 200
 #: Words that are encoded in one call.
 CALL = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_EDGE = re.compile(r"  |[^\S ] | [^\S ]|\s$")
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -68,13 +69,16 @@ class Ragged:
         self.at, self.sizes, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
 
     def add(self, rows: list[bytes]) -> None:
-        new, sizes = np.frombuffer(b"".join(rows), self.flat.dtype), np.array([len(x) for x in rows], np.int64) // self.flat.itemsize
+        self.extend(np.frombuffer(b"".join(rows), self.flat.dtype), np.array([len(x) for x in rows], np.int64) // self.flat.itemsize)
+
+    def extend(self, new: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of these sizes, their values one after another."""
         self.flat = _room(self.flat, self.used + len(new))
-        self.at, self.sizes = _room(self.at, self.n + len(rows)), _room(self.sizes, self.n + len(rows))
+        self.at, self.sizes = _room(self.at, self.n + len(sizes)), _room(self.sizes, self.n + len(sizes))
         self.flat[self.used : self.used + len(new)] = new
-        self.at[self.n : self.n + len(rows)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n : self.n + len(rows)] = sizes
-        self.used, self.n = self.used + len(new), self.n + len(rows)
+        self.at[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(new), self.n + len(sizes)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of ``rows`` one after another, and how many each has."""
@@ -137,7 +141,7 @@ class Words:
         self._fit()
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         words = pc.dictionary_encode(lists.flatten())
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         rows = self._meet(distinct, self.row, False)[words.indices.to_numpy()]
         at = lists.offsets.to_numpy()
         firsts: list[str] = []
@@ -187,12 +191,13 @@ class Bytes:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def bare(self, words: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self.whole(words)]
+    def bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        return _flat(self.whole(words), self.kind)
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it."""
-        return _in_calls(words, lambda joined: self.whole([joined])[0], lambda ws: self.whole([f" {w}" for w in ws]), self.sizes, " ")
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with a space before each word."""
+        return _in_calls(words, lambda text: self.whole([text])[0], lambda ws: self.whole([f" {w}" for w in ws]), self.sizes, self.kind)
 
 
 class Pieces:
@@ -218,33 +223,39 @@ class Pieces:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, self.kind) for x in self.library.encode(texts, num_threads=1)]
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; the library puts the space before it."""
-        return _in_calls(words, lambda joined: self.whole([joined])[0], self.whole, self.sizes, "")
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has; the library puts the space before each."""
+        return _in_calls(words, lambda text: self.whole([text[1:]])[0], self.whole, self.sizes, self.kind)
+
+
+def _flat(ids: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, kind), *ids]), np.array([len(x) for x in ids], np.int64)
 
 
-def _in_calls(words: list[str], joined, each, sizes: np.ndarray, lead: str) -> list[bytes]:
+def _in_calls(words: list[str], joined, each, sizes: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words that are encoded as one text where its bytes tell which ids belong to which word, else one by one."""
-    out: list = [None] * len(words)
-    # Joined, white space at a word's edge would meet the next word's space.
-    plain = [i for i, w in enumerate(words) if w and w == w.strip()]
-    for begin in range(0, len(plain), CALL):
-        part = plain[begin : begin + CALL]
-        text = lead + " ".join([words[i] for i in part])
-        ids = joined(text)
-        ends = sizes[ids].cumsum()
-        want = np.cumsum([len(words[i]) + 1 for i in part] if text.isascii() else [len(words[i].encode()) + 1 for i in part])
-        at = ends.searchsorted(want)
-        if not len(ids) or ends[-1] != want[-1] or not np.array_equal(ends[np.minimum(at, len(ends) - 1)], want):
-            continue
-        raw, here = ids.tobytes(), 0
-        for i, end in zip(part, ((at + 1) * ids.itemsize).tolist(), strict=True):
-            out[i] = raw[here:end]
-            here = end
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, x in zip(rest, each([words[i] for i in rest]) if rest else [], strict=True):
-        out[i] = x.tobytes()
-    return out
+    flat, numbers = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for begin in range(0, len(words), CALL):
+        part = words[begin : begin + CALL]
+        text = " " + " ".join(part)
+        # White space at a word's edge would meet the space beside it.
+        found = None if _EDGE.search(text) else _parted(text, part, joined(text), sizes)
+        ids, n = _flat(each(part), kind) if found is None else found
+        flat.append(ids)
+        numbers.append(n)
+    return np.concatenate(flat), np.concatenate(numbers)
+
+
+def _parted(text: str, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    ends = sizes[ids].cumsum()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    want = np.r_[np.flatnonzero(raw == 0x20)[1:], len(raw)]
+    if len(want) != len(words):  # spaces inside words
+        want = np.cumsum([len(w.encode()) + 1 for w in words])
+    at = ends.searchsorted(want)
+    if not len(ids) or ends[-1] != want[-1] or not np.array_equal(ends[np.minimum(at, len(ends) - 1)], want):
+        return None
+    return ids, np.diff(at, prepend=-1)
 
 
 def id_type(n: int) -> np.dtype:

@@ -44,7 +44,7 @@ class Encoder:
     def __init__(self, tokenizer: segments.Bytes, end: int | None):
         self.tokenizer, self.ids = tokenizer, segments.Ragged(tokenizer.kind)
         self.end = b"" if end is None else np.array([end], tokenizer.kind).tobytes()
-        self.words = segments.Words(lambda words, bare: self.ids.add((tokenizer.bare if bare else tokenizer.spaced)(words)), self.ids.keep, bare=True)
+        self.words = segments.Words(lambda words, bare: self.ids.extend(*(tokenizer.bare if bare else tokenizer.spaced)(words)), self.ids.keep, bare=True)
 
     def of(self, texts: list[str]) -> list[bytes]:
         """``texts``: a group of :func:`segments.groups`."""
@@ -67,26 +67,35 @@ class Encoder:
         return out
 
 
-def _encode(model, end: int | None):
+def _encode(model, end: int | None, n: int):
+    """Documents with their ids, and after a task's documents a row with the counts of all their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(segments.byte_tokenizer(model.value, True), end)
+        encoder, counts = Encoder(segments.byte_tokenizer(model.value, True), end), np.zeros(n, np.int64)
+        names, kind = ["id", "crc", "ids", "counts"], None
         for batch in batches:
+            kind = batch.column(0).type
             for at, texts in segments.groups(batch.column(1)):
                 ids = encoder.of(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "crc", "ids"])
+                counts += np.bincount(np.frombuffer(b"".join(ids), encoder.tokenizer.kind), minlength=n)
+                rows = [batch.column(0).slice(at, len(ids)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
     return run
 
 
-def _count(kind: str, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n, np.int64)
-        for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=n)
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
-
-    return run
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ids over the rows of a task."""
+    total = None
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            counts = np.frombuffer(raw, np.int64)
+            total = counts if total is None else total + counts
+    if total is not None:
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
 
 def _blocks(lengths, kind: str):
@@ -139,13 +148,13 @@ def write(df: DataFrame, path: str, tokenizer: str = segments.BYTE_MODEL, end: i
     kind, n = known.kind.str, max(len(known.bytes), (end or 0) + 1)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("crc", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("crc", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     encoded = f"{scratch.path}/ids"
-    rows.mapInArrow(_encode(model, end), schema).write.option("compression", "zstd").parquet(encoded)
+    rows.mapInArrow(_encode(model, end, n), schema).write.option("compression", "zstd").parquet(encoded)
     encoded = spark.read.schema(schema).parquet(encoded)
 
     counts = np.zeros(n, np.int64)
-    for r in encoded.select("ids").mapInArrow(_count(kind, n), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.select("counts").filter("counts IS NOT NULL").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
@@ -158,7 +167,7 @@ def write(df: DataFrame, path: str, tokenizer: str = segments.BYTE_MODEL, end: i
     ])
     # Rows without id, or of one id, are dealt by what they hold.
     order = ["id", "crc", F.length("ids")]
-    dealt = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
+    dealt = encoded.filter("counts IS NULL").drop("counts").repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
     lengths = spark.sparkContext.broadcast(lengths)
     dealt.mapInArrow(_blocks(lengths, kind), block).write.option("compression", "zstd").parquet(f"{path}/blocks")
     scratch.clear()
