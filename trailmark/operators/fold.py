@@ -59,9 +59,12 @@ def folded_paths(exchanges: DataFrame, depth: int | None = None) -> DataFrame:
 def fold_siblings(exchanges: DataFrame) -> DataFrame:
     """``exchanges`` with path_template and referer_path folded alike."""
     to = settle(folded_paths(exchanges), "folds")
+    return exchanges if to.isEmpty() else apply_folds(exchanges, to)
+
+
+def apply_folds(exchanges: DataFrame, to: DataFrame) -> DataFrame:
+    """``exchanges`` with the paths of ``to`` (host, base, folded) replaced."""
     names = exchanges.columns
-    if to.isEmpty():
-        return exchanges
 
     def apply(df: DataFrame, host: str, path: str) -> DataFrame:
         m = to.select(F.col("host").alias("__host"), F.col("base").alias("__base"), "folded")

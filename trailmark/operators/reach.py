@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailmark.operators import rank, traverse
 from trailmark.tables import settle
 
 # Edges along which a request flows, and types of nodes at which a walk into the application begins.
@@ -139,3 +140,13 @@ def blast(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str
     if found is None:
         found = grow(front).withColumn("hops", F.lit(0)).limit(0)
     return found.join(nodes.select(F.col("id").alias("at"), "type", "label"), "at").select("start", "type", F.col("hops").alias("hop"), "via", F.col("at").alias("id"), "label")
+
+
+def privileged_paths(nodes: DataFrame, edges: DataFrame, role: str) -> DataFrame:
+    """(id, label, statuses, trail): privileged endpoints and pages that a role reached, with the statuses it got and a shortest path from a host.
+
+    The path, of nodes from the host on, takes edges of all types; it is null where there is none.
+    """
+    found = settle(rank.reaches_privileged(nodes, role), "privileged")
+    up = traverse.paths(edges, found.select("id"), nodes.filter("type = 'host'").select("id"), "in")
+    return found.join(up.select(F.col("start").alias("id"), F.reverse("trail").alias("trail")), "id", "left")

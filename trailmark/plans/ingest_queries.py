@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import http
-from trailmark.operators import stack
+from trailmark.operators import content, stack
 from trailmark.plans import model
 from trailmark.plans.registry import query
-from trailmark.sources import captures
+from trailmark.sources import captures, osint
 from trailmark.sources import tables as t
 
 IT = """it AS (
@@ -98,3 +98,33 @@ def open_technologies(spark, sf):
     html = F.concat("html", F.when(F.col("page_id") % 5 == 0, '<META name="generator" content="Hugo 0.1">').otherwise(""))
     found = p.select(F.explode(stack.open_technologies(headers, html)).alias("t")).select("t.*")
     return found.groupBy("name", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {IT} SELECT id AS event_id, CASE traffic WHEN 'script' THEN 'GET /api/list,PUT /api/v1/' || kind || '/{{param}}' WHEN 'page' THEN ' /api/inline' ELSE '' END AS refs, CASE WHEN traffic = 'script' THEN CAST(4 AS INTEGER) ELSE CAST(0 AS INTEGER) END AS n_assets FROM it""".replace("{{", "{").replace("}}", "}"))
+def scanned_once(spark, sf):
+    """References of all response bodies, from one scan of each distinct body."""
+    items = t.event_items(spark, sf)
+    rows = items.select(F.col("item").alias("event_id"), F.decode(http.body_bytes(F.col("response")), "UTF-8").alias("body"))
+    found = content.scanned_once(rows, "body", content.script_scan)
+    refs = F.concat_ws(",", F.array_sort(F.transform("refs", lambda r: F.concat_ws(" ", F.coalesce(r["method"], F.lit("")), r["path"]))))
+    return found.select("event_id", refs.alias("refs"), F.size("assets").alias("n_assets"))
+
+
+@query("""SELECT 'run' || c_custkey AS run, c_name AS host, 'n' || c_nationkey AS ns, CASE WHEN c_acctbal > 0 THEN c_acctbal::INT::VARCHAR END AS days, least(25, c_custkey % 30)::INT AS sampled, CASE WHEN c_custkey % 30 <> 0 THEN (c_custkey % 30)::VARCHAR END AS counted,
+    c_mktsegment AS registrar, CASE WHEN c_custkey % 2 = 0 THEN '443,80' ELSE '' END AS ports, CASE WHEN c_custkey % 3 = 0 THEN 'nginx' ELSE '' END AS technology, c_custkey % 3 = 0 AS has_technology FROM customer""")
+def open_source_summaries(spark, sf):
+    """Saved results about hosts, trimmed for a package and read back."""
+    cust = t.table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    names = F.transform(F.slice(F.sequence(F.lit(1), F.lit(30)), 1, (key % 30).cast("int")), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    report = F.struct(
+        F.col("c_name").alias("host"), F.struct(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("NS"), F.array().cast("array<string>").alias("MX")).alias("dns"),
+        F.struct(F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("int")).alias("days_until_expiry")).alias("tls"), F.struct(F.when(key % 30 != 0, (key % 30).cast("int")).alias("count"), names.alias("names")).alias("subdomains"),
+        F.struct(F.col("c_mktsegment").alias("registrar")).alias("registration"), F.struct(F.when(key % 2 == 0, F.array(F.struct(F.lit(443).alias("port")), F.struct(F.lit(80).alias("port")))).alias("open")).alias("ports"),
+        F.when(key % 3 == 0, F.array(F.struct(F.lit("nginx").alias("name"), F.lit("header:server").alias("evidence")))).alias("technology"),
+    )
+    raw = cust.select(F.concat(F.lit("run"), key.cast("string")).alias("run"), F.to_json(report).alias("value"))
+    view = "host string, dns struct<NS: array<string>, MX: array<string>>, tls struct<days_until_expiry: string>, subdomains_count int, subdomains_sample array<string>, registrar string, open_ports array<int>, technology array<string>"
+    s = osint.summary(raw).select("run", F.from_json("summary", view).alias("s")).select("run", "s.*")
+    joined = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
+    return s.select("run", "host", F.col("dns.NS")[0].alias("ns"), F.col("tls.days_until_expiry").alias("days"), F.coalesce(F.size("subdomains_sample"), F.lit(0)).alias("sampled"), F.col("subdomains_count").cast("string").alias("counted"), "registrar", joined("open_ports").alias("ports"), joined("technology").alias("technology"), F.col("technology").isNotNull().alias("has_technology"))

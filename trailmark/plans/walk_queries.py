@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import package, reach
+from trailmark.operators import contributions, drift, package, reach, reason, traverse
 from trailmark.plans import model
 from trailmark.plans.queries import EX
 from trailmark.plans.registry import query
+from trailmark.schema import conform
 from trailmark.sources import tables as t
 
 #: Parts as endpoints that suppliers name: half of the suppliers were seen calling, the others only name them in code.
@@ -113,3 +114,32 @@ def package_coverage(spark, sf):
     row = _package(spark, sf)
     told = row.select(F.explode(F.from_json("document", "coverage map<string, string>")["coverage"]).alias("section", "told"))
     return told.filter(F.col("section").isin("endpoints", "unknowns", "auth", "routes", "graph.entry_points", "graph.trust_zones"))
+
+
+@query(f"""WITH {EX}, lately AS (SELECT DISTINCT host, label, event_type FROM ep), shown AS (
+    SELECT 'appeared' AS change, label, CASE event_type WHEN 'purchase' THEN 'a new privileged-looking endpoint — confirm who may reach it' END AS why, 'admin' AS area FROM lately WHERE event_type = 'purchase'
+    UNION ALL SELECT 'gone', label, 'an endpoint no longer seen — retired, renamed, or just not walked this time', 'endpoint' FROM lately WHERE event_type = 'view')
+  SELECT area, change, 'endpoint' AS kind, label, why FROM shown""")
+def drift_by_area(spark, sf):
+    """Two builds: purchases appear in the second, views are no longer seen."""
+    rows = conform(t.event_exchanges(spark, sf))
+    builds = [contributions.nodes_from(contributions.node_contributions(contributions.classified(rows.filter(f"path NOT LIKE '{gone}'"), t.SCOPE, t.PRIMARY))) for gone in ("/admin/%", "/api/view/%")]
+    areas = reason.with_area(builds[1]).filter("type IN ('endpoint', 'route') AND area <> ''").select("label", "area")
+    return drift.by_area(*builds, areas)
+
+
+@query(f"""WITH {EX} SELECT nid AS id, any_value(label) AS label, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses, 'host:' || any_value(host) || '>' || nid AS trail FROM ep WHERE event_type = 'purchase' AND role = 'admin' GROUP BY nid""")
+def privileged_paths(spark, sf):
+    """Privileged endpoints that administrators reached, and how from a host."""
+    _, nodes, edges = t.event_graph(spark, sf)
+    found = reach.privileged_paths(nodes, edges, "admin")
+    return found.select("id", "label", F.concat_ws(",", F.col("statuses").cast("array<string>")).alias("statuses"), F.concat_ws(">", "trail").alias("trail"))
+
+
+@query("""WITH hop AS (SELECT 'o' || o_orderkey AS start, 'r' || n_regionkey AS region, 'n' || n_nationkey AS nation, 'c' || c_custkey AS customer FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+  SELECT start, region AS goal, CAST(3 AS INTEGER) AS hops, start || '>' || customer || '>' || nation || '>' || region AS trail FROM hop""")
+def paths_to_hosts(spark, sf):
+    """Up to three shortest paths of each order backwards to a region, which is a host."""
+    nodes, edges = t.trade_graph(spark, sf)
+    found = traverse.paths(edges, nodes.filter("type = 'endpoint'").select("id"), nodes.filter("type = 'host'").select("id"), "in", most=3)
+    return found.select("start", "goal", "hops", F.concat_ws(">", "trail").alias("trail"))

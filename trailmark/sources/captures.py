@@ -43,8 +43,8 @@ def proxy_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def logger_csv(spark: SparkSession, path: str, skip_tools: list[str] | None = None, only_tools: list[str] | None = None) -> DataFrame:
-    """Items of a logger's CSV export.
+def logger_csv(spark: SparkSession, path: str, skip_tools: list[str] | None = None, only_tools: list[str] | None = None, marked: bool = False) -> DataFrame:
+    """Items of a logger's CSV export; ``marked``: with the tool of each, and those of unwanted tools too, as ``filtered``.
 
     A row with only its first cell filled, and not by a number, goes on with the response of the row before it (the
     request, if that has none); rows of a file are put in order for that.  Cells of 32000 to 32767 characters are cut.
@@ -65,10 +65,12 @@ def logger_csv(spark: SparkSession, path: str, skip_tools: list[str] | None = No
     more = rows.filter("spill").groupBy("source", "start").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("item", F.col(f"`{first}`").alias("t")))), lambda x: x["t"])).alias("more"))
     full = rows.filter(~F.col("spill")).join(more, ["source", "start"], "left")
     cell = lambda c: F.col(c) if c in full.columns else F.lit(None).cast("string")
-    if "Tool" in full.columns:
-        tool = F.lower(F.coalesce("Tool", F.lit("")))
-        full = full.filter(tool.isin([t.lower() for t in only_tools])) if only_tools else full
-        full = full.filter(~tool.isin([t.lower() for t in skip_tools])) if skip_tools else full
+    tool = F.coalesce(F.nullif(F.trim(cell("Tool")), F.lit("")), F.lit("?"))
+    names = lambda tools: [t.strip().lower() for t in tools or [] if t.strip()]
+    unwanted = F.lower(tool).isin(names(skip_tools)) if names(skip_tools) else F.lit(False)
+    unwanted = unwanted | ~F.lower(tool).isin(names(only_tools)) if names(only_tools) else unwanted
+    full = full.withColumns({"tool": tool, "filtered": unwanted})
+    full = full if marked else full.filter(~F.col("filtered"))
     in_response = F.col("Response").isNotNull()
     request = F.when(in_response, F.col("Request")).otherwise(F.concat(F.coalesce("Request", F.lit("")), F.coalesce("more", F.lit(""))))
     response = F.when(in_response, F.concat(F.col("Response"), F.coalesce("more", F.lit(""))))
@@ -77,12 +79,12 @@ def logger_csv(spark: SparkSession, path: str, skip_tools: list[str] | None = No
     return full.select(
         cell("URL").alias("url"), F.col("Host").alias("host"), F.expr("try_cast(Port as int)" if "Port" in full.columns else "cast(null as int)").alias("port"), F.col("Method").alias("method"), cell("Protocol").alias("scheme"),
         F.concat(cell("Path"), query).alias("path"), cell("MIME type").alias("mime"), F.expr("try_cast(`Status code` as int)" if "Status code" in full.columns else "cast(null as int)").alias("status"),
-        http.base64_or_raw(request).alias("request"), http.base64_or_raw(response).alias("response"), F.coalesce(cut, F.lit(False)).alias("truncated"), "source", "item",
+        http.base64_or_raw(request).alias("request"), http.base64_or_raw(response).alias("response"), F.coalesce(cut, F.lit(False)).alias("truncated"), "source", "item", *(["tool", "filtered"] if marked else []),
     )
 
 
 def har(spark: SparkSession, path: str) -> DataFrame:
-    """Items of HAR files: entries with a response status, HTTP/2 pseudo headers dropped."""
+    """Items of HAR files, HTTP/2 pseudo headers dropped; an entry without a response status has no host, so it is no exchange."""
     pair = "array<struct<name: string, value: string>>"
     schema = (
         f"log struct<entries: array<struct<request: struct<method: string, url: string, httpVersion: string, headers: {pair}, postData: struct<text: string, params: {pair}>>, "
@@ -90,7 +92,8 @@ def har(spark: SparkSession, path: str) -> DataFrame:
     )
     raw = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).json(path).withColumn("source", F.input_file_name())
     rows = raw.select("source", "_corrupt", F.posexplode_outer("log.entries").alias("item", "e"))
-    rows = rows.filter(F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.concat(F.lit("no HAR: "), F.col("source"))).cast("boolean")).otherwise(F.col("e.response.status").isNotNull() & (F.col("e.response.status") > 0)))
+    rows = rows.filter(F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.concat(F.lit("no HAR: "), F.col("source"))).cast("boolean")).otherwise(F.col("e").isNotNull()))
+    answered = F.coalesce(F.col("e.response.status") > 0, F.lit(False))
     url = F.col("e.request.url")
     drop = ["content-encoding", "transfer-encoding", "content-length"]
 
@@ -106,7 +109,7 @@ def har(spark: SparkSession, path: str) -> DataFrame:
     scheme = F.lower(F.regexp_extract(url, r"(?i)^(https?)://", 1))
     port = F.regexp_extract(url, r"(?i)^https?://[^/?#]*:(\d+)", 1)
     return rows.select(
-        url.alias("url"), F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1)).alias("host"), F.coalesce(F.expr("null").cast("int"), F.when(port != "", port.cast("int")), F.when(scheme == "https", 443).otherwise(80)).alias("port"),
+        url.alias("url"), F.when(answered, F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1))).alias("host"), F.coalesce(F.expr("null").cast("int"), F.when(port != "", port.cast("int")), F.when(scheme == "https", 443).otherwise(80)).alias("port"),
         F.upper("e.request.method").alias("method"), scheme.alias("scheme"), target.alias("path"), F.col("e.response.content.mimeType").alias("mime"), F.col("e.response.status").alias("status"),
         F.encode(F.concat(head(F.concat_ws(" ", F.col("e.request.method"), target, F.lit("HTTP/1.1")), F.col("e.request.headers")), sent), "UTF-8").alias("request"),
         F.concat(F.encode(head(F.concat_ws(" ", F.lit("HTTP/1.1"), F.col("e.response.status").cast("string"), F.col("e.response.statusText")), F.col("e.response.headers")), "UTF-8"), got).alias("response"),
@@ -119,7 +122,7 @@ def exchanges(items: DataFrame, role: str | None = None, key: bytes = b"") -> Da
 
     Ids number the items from 1 in the order of source and item.
     """
-    ok = items.withColumn("host", F.lower(F.trim("host"))).withColumn("method", F.upper(F.trim("method"))).filter(F.col("host").rlike(HOST) & F.col("method").rlike(METHOD))
+    ok = items.filter(well_formed()).withColumns({"host": F.lower(F.trim("host")), "method": F.upper(F.trim("method"))})
     req_head, resp_head = http.head_text(F.col("request")), http.head_text(F.col("response"))
     rows = ok.select("*", http.headers(req_head).alias("rh"), http.headers(resp_head).alias("sh"), http.first_line(req_head).alias("req_line"), http.first_line(resp_head).alias("resp_line"))
     rows = rows.withColumn("req_text", F.decode(http.decoded_body(http.body_bytes(F.col("request")), http.header(F.col("rh"), "transfer-encoding"), http.header(F.col("rh"), "content-encoding"))["body"], "UTF-8"))
@@ -178,16 +181,57 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 READERS = {"xml": proxy_xml, "csv": logger_csv, "har": har}
+#: Bytes of a ``.json`` file that tell whether it is a HAR.
+SNIFFED = 4096
+
+
+def looks_like_har(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as a JSON object and soon names its log."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        head = bytes(stream.readNBytes(SNIFFED))
+    finally:
+        stream.close()
+    return head.removeprefix(b"\xef\xbb\xbf").lstrip().startswith(b"{") and b'"log"' in head
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """xml, csv, har or jsonl, by the extension of a capture's name; a ``.json`` must look like a HAR."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "json" and looks_like_har(spark, path):
+        return "har"
+    if kind not in READERS and kind != "jsonl":
+        raise ValueError(f"unknown capture: {path}")
+    return kind
 
 
 def read(spark: SparkSession, path: str, role: str | None = None, key: bytes = b"") -> DataFrame:
-    """Exchanges of a capture, by the extension of its name; ``.json`` is taken for a HAR."""
-    kind = path.rsplit(".", 1)[-1].lower().replace("json", "har")
-    if kind == "jsonl":
-        return saved(spark, path)
-    if kind not in READERS:
-        raise ValueError(f"unknown capture: {path}")
-    return exchanges(READERS[kind](spark, path), role, key)
+    """Exchanges of a capture, by the kind of the file."""
+    kind = kind_of(spark, path)
+    return saved(spark, path) if kind == "jsonl" else exchanges(READERS[kind](spark, path), role, key)
+
+
+def counted(spark: SparkSession, path: str, role: str | None = None, key: bytes = b"", skip_tools: list[str] | None = None, only_tools: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(exchanges, counts) of a capture; counts has tool, items, parsed, skipped and filtered, a row for each tool of a logger (else ``?``).
+
+    Items of unwanted tools are filtered and count as nothing else; the others are items, parsed or skipped.
+    """
+    kind = kind_of(spark, path)
+    if kind == "csv":
+        rows = logger_csv(spark, path, skip_tools, only_tools, marked=True)
+    else:
+        rows = READERS[kind](spark, path).withColumns({"tool": F.lit("?"), "filtered": F.lit(False)})
+    wanted = ~F.col("filtered")
+    good = F.coalesce(well_formed(), F.lit(False))
+    counts = rows.groupBy("tool").agg(
+        F.count_if(wanted).alias("items"), F.count_if(wanted & good).alias("parsed"), F.count_if(wanted & ~good).alias("skipped"), F.count_if("filtered").alias("filtered")
+    )
+    return exchanges(rows.filter(wanted).drop("tool", "filtered"), role, key), counts
+
+
+def well_formed() -> Column:
+    return F.lower(F.trim("host")).rlike(HOST) & F.upper(F.trim("method")).rlike(METHOD)
 
 
 def saved(spark: SparkSession, path: str) -> DataFrame:

@@ -62,3 +62,34 @@ def graph(facts_: DataFrame, nodes: DataFrame, host: str) -> tuple[DataFrame, Da
     found = found.join(known, "label", "left").withColumn("id", F.coalesce("known", F.concat(F.lit("ext:"), F.col("type"), F.lit(":"), F.col("label"))))
     new = found.filter("known is null").select("id", "type", F.lit(0).alias("layer"), "label")
     return new, found.select(F.lit(f"host:{host}").alias("src"), F.col("id").alias("dst"), F.col("edge").alias("type"), F.lit("EXTERNAL").alias("state"))
+
+
+_STRINGS = "array<string>"
+REPORT = (
+    f"host string, generated_at string, dns struct<A: {_STRINGS}, AAAA: {_STRINGS}, MX: {_STRINGS}, NS: {_STRINGS}, CNAME: {_STRINGS}>, tls struct<tls_version: string, issuer: string, not_after: string, days_until_expiry: int>, "
+    f"http struct<security_headers_missing: {_STRINGS}>, technology array<struct<name: string>>, email_security struct<spf_note: string, dmarc_policy: string, dmarc_note: string, dkim_selector_found: string>, "
+    f"subdomains struct<count: int, names: {_STRINGS}>, registration struct<registrar: string>, ip_geo struct<network: string, country: string>, files struct<robots: struct<disallow: {_STRINGS}>>, "
+    f"archive struct<last_snapshot: string>, ports struct<open: array<struct<port: int>>>, notes {_STRINGS}"
+)
+SAMPLE, ROBOTS = 25, 20
+PROVENANCE = "external recon, collected live against the target; not from the capture"
+
+
+def summary(raw: DataFrame) -> DataFrame:
+    """(run, summary): saved results (run, value) trimmed to what a reader of a package needs, as JSON; what is empty is left out."""
+    r = raw.select("run", F.from_json("value", REPORT).alias("r")).select("run", "r.*")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c) if isinstance(c, str) else c)
+
+    def told(c: str, fields: list[str], texts: bool = True) -> Column:
+        """A struct of the fields that say something; null if none does."""
+        values = [F.nullif(F.col(f"{c}.{f}").cast("string"), F.lit("")).alias(f) if texts else some(f"{c}.{f}").alias(f) for f in fields]
+        return F.when(F.coalesce(*[v.isNotNull().cast("int") * 0 + F.when(v.isNotNull(), 1) for v in values]).isNotNull(), F.struct(*values)).alias(c)
+
+    view = F.struct(
+        "host", F.col("generated_at").alias("collected_at"), told("dns", ["A", "AAAA", "MX", "NS", "CNAME"], texts=False), told("tls", ["tls_version", "issuer", "not_after", "days_until_expiry"]),
+        some("http.security_headers_missing").alias("security_headers_missing"), some(F.transform("technology", lambda t: t["name"])).alias("technology"),
+        told("email_security", ["spf_note", "dmarc_policy", "dmarc_note", "dkim_selector_found"]), F.col("subdomains.count").alias("subdomains_count"), some(F.slice("subdomains.names", 1, SAMPLE)).alias("subdomains_sample"),
+        F.nullif("registration.registrar", F.lit("")).alias("registrar"), told("ip_geo", ["network", "country"]).alias("hosting"), some(F.slice("files.robots.disallow", 1, ROBOTS)).alias("robots_disallow"),
+        F.nullif("archive.last_snapshot", F.lit("")).alias("wayback_last_snapshot"), some(F.transform("ports.open", lambda p: p["port"])).alias("open_ports"), some("notes").alias("notes"), F.lit(PROVENANCE).alias("provenance"),
+    )
+    return r.select("run", F.to_json(view).alias("summary"))

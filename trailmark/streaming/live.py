@@ -1,11 +1,12 @@
 """Live captures: admission, de-duplication, caps per shape, and incremental builds.
 
-The graph is one aggregation over contributions, so a micro-batch adds its contributions to a table and the graph is
-read from that table: nothing is built twice, and replaying a batch changes nothing.
+The graph is one aggregation over contributions, so a micro-batch adds its partial aggregates and the graph is merged from
+those of all batches; replaying a batch changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from trailmark.functions.classify import STATIC
+from trailmark.functions.classify import STATIC, is_probe
 from trailmark.functions.domains import in_scope
 from trailmark.operators import contributions as c
+from trailmark.operators.fold import apply_folds, folded_paths
+from trailmark.operators.partials import edge_partials, finished_nodes, merged_edges, merged_nodes, node_partials
+from trailmark.tables import Store
 
 PER_SHAPE = 10
 FILES_PER_TRIGGER = 500
@@ -73,23 +77,92 @@ def capped_stream(rows: DataFrame, key: Column, most: int = PER_SHAPE) -> DataFr
 class IncrementalGraph:
     """A graph that grows by micro-batches under one folder.
 
-    Batches write their contributions under their batch id; a batch that comes again replaces its own.  The scope is
-    fixed when the graph is made: another scope is another graph.
+    A batch's requests are reduced to partial nodes and edges, small and mergeable; ``FANIN`` neighbouring ranges of one size
+    are merged into one, so what a batch costs grows with the batch and the logarithm of their number, and a reader merges
+    a few tables.  Batches are numbered from 0; a batch that comes again replaces its own, unless it was merged already:
+    then it is in.
+
+    The partials hold for one scope, seed host and set of folded paths.  With ``fold``, the folds of all paths so far are
+    looked at after each batch; when they change, as when the graph is opened with another scope or seed host, partials
+    are built anew from the requests, which are kept.
     """
 
-    def __init__(self, path: str, scope: list[str], primary: str | None):
-        self.path, self.scope, self.primary = path, scope, primary
+    FANIN = 8
+
+    def __init__(self, path: str, scope: list[str], primary: str | None, fold: bool = False):
+        self.path, self.scope, self.primary, self.fold = path, scope, primary, fold
+        self.requests, self.paths = Store(f"{path}/requests"), Store(f"{path}/paths")
+        self.rebuilds = 0
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``."""
-        x = c.classified(batch, self.scope, self.primary)
-        for name, df in (("nodes", c.node_contributions(x)), ("edges", c.edge_contributions(x))):
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+        spark, own = batch.sparkSession, (batch_id, batch_id)
+        if any(a <= batch_id <= b and a < b for a, b in self._nodes(self._settings(spark)).ranges(spark)):
+            return
+        self.requests.write(batch, own)
+        batch = self.requests.read(spark, [own])
+        if self.fold:
+            plain = batch.filter((F.col("method") != "OPTIONS") & ~is_probe(F.col("method"), F.col("path"))).select("host", "path_template").distinct()
+            self.paths.write(plain, own)
+            self._merge(spark, self.paths, lambda df: df.distinct(), own)
+        settings = self._settings(spark)
+        states = self._nodes(settings), self._edges(settings)
+        missing = [r for r in self.requests.ranges(spark) if not any(a <= r[0] and r[1] <= b for a, b in states[1].ranges(spark))]
+        if len(missing) > 1:
+            self.rebuilds += 1
+            batch, own = self.requests.read(spark, missing), (missing[0][0], missing[-1][1])
+        x = c.classified(self._folded(spark, batch), self.scope, self.primary)
+        states[0].write(node_partials(c.node_contributions(x)), own)
+        states[1].write(edge_partials(c.edge_contributions(x)), own)
+        self._merge(spark, states[0], merged_nodes, own)
+        self._merge(spark, states[1], merged_edges, own)
+
+    def _merge(self, spark, store: Store, merged: Callable[[DataFrame], DataFrame], last: tuple[int, int]) -> None:
+        """Merge the ranges at the end that are of one size, as long as there are enough of them."""
+        while True:
+            ranges = store.ranges(spark)
+            size = ranges[-1][1] - ranges[-1][0] + 1
+            alike = [r for r in ranges if r[1] - r[0] + 1 == size][-self.FANIN :]
+            if len(alike) < self.FANIN or alike != ranges[-self.FANIN :]:
+                return
+            store.write(merged(store.read(spark, alike)), (alike[0][0], alike[-1][1]))
+            for r in alike:
+                store.drop(spark, r)
+
+    def _folds(self, spark) -> DataFrame | None:
+        ranges = self.paths.ranges(spark) if self.fold else []
+        if not ranges:
+            return None
+        known = self.paths.read(spark, ranges).distinct()
+        return folded_paths(known.select("host", "path_template", F.col("path_template").alias("path"), F.lit("GET").alias("method")))
+
+    def _settings(self, spark) -> str:
+        """A name for the scope, seed host and folds that partials hold for."""
+        folds = self._folds(spark)
+        mark = folds.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("host", "base", "folded").cast("decimal(38,0)")), F.lit(0))).first() if folds is not None else (0, 0)
+        return hashlib.sha256(repr((sorted(self.scope), self.primary, self.fold, int(mark[0]), int(mark[1]))).encode()).hexdigest()[:16]
+
+    def _folded(self, spark, rows: DataFrame) -> DataFrame:
+        folds = self._folds(spark)
+        return rows if folds is None else apply_folds(rows, folds)
+
+    def _nodes(self, settings: str) -> Store:
+        return Store(f"{self.path}/nodes-{settings}")
+
+    def _edges(self, settings: str) -> Store:
+        return Store(f"{self.path}/edges-{settings}")
 
     def graph(self, spark) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) over all batches so far."""
-        read = lambda name: spark.read.parquet(f"{self.path}/{name}").drop("batch")
-        return c.nodes_from(read("nodes")), c.edges_from(read("edges"))
+        settings = self._settings(spark)
+        nodes, edges = self._nodes(settings), self._edges(settings)
+        if not nodes.ranges(spark):  # opened with other settings than those that were added with
+            every = self.requests.ranges(spark)
+            x = c.classified(self._folded(spark, self.requests.read(spark, every)), self.scope, self.primary)
+            nodes.write(node_partials(c.node_contributions(x)), (every[0][0], every[-1][1]))
+            edges.write(edge_partials(c.edge_contributions(x)), (every[0][0], every[-1][1]))
+            self.rebuilds += 1
+        return finished_nodes(merged_nodes(nodes.read(spark, nodes.ranges(spark)))), merged_edges(edges.read(spark, edges.ranges(spark)))
 
 
 class SnapshotTimer:
