@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_captures import column
 from trailmark.functions import http
-from trailmark.operators import extract, package, reach, stack
+from trailmark.operators import extract, package, reach, reason, stack
 from trailmark.plans import model
 from trailmark.schema import conform
 
@@ -214,6 +214,18 @@ def test_package_scopes_and_budget(shop):
         package.document(shop, lens="nothing")
 
 
+def test_plans(shop):
+    areas = reason.with_area(shop.nodes).filter("type IN ('endpoint', 'route')").select("id", "area")
+    doc = parsed(package.document(shop, "falsify", budget=4000, areas=areas).first())
+    assert doc["instructions"] == package.INSTRUCTIONS["falsify"] and set(doc) >= {"plan", "graph", "endpoints", "unknowns", "evidence"}
+    assert doc["plan"]["recon"][0]["step"] == "confirm the map is complete" and doc["plan"]["posture"][0]["privileged"] > 0
+    lines = doc["plan"]["lines_of_inquiry"]
+    assert [x["leverage"] for x in lines] == sorted((x["leverage"] for x in lines), reverse=True) and lines[0]["leverage"] > 0
+    assert all(len(x["endpoints"]) <= 20 and len(x.get("open_questions", [])) <= 6 and x["reach"] == ["from shop.test (via traffic)"] for x in lines)
+    assert "contains privileged-looking endpoints" in " ".join(x["why_it_matters"] for x in lines)
+    assert cites({k: v for k, v in doc.items() if k != "evidence"}) == set(doc["evidence"])
+
+
 def test_package_of_nothing(spark):
     empty = model.build(conform(spark.createDataFrame([], "id long")), "none")
     doc = parsed(package.document(empty).first())

@@ -26,9 +26,30 @@ GRAPH_CAP, HUBS, COMMUNITIES, COUPLED, FLOWS, SECRETS = 60, 10, 15, 25, 25, 20
 SCOPES = {
     "endpoints": ["app", "scope", "endpoints"],
     "open": ["app", "unknowns", "endpoints"],
-    "methodology": ["app", "scope", "roles", "shape", "endpoints", "unknowns", "graph"],
+    "methodology": ["instructions", "app", "scope", "roles", "shape", "plan", "endpoints", "unknowns", "graph"],
+    "falsify": ["instructions", "app", "scope", "roles", "shape", "plan", "endpoints", "unknowns", "graph"],
+    "plan": ["app", "scope", "plan"],
     "graph": ["app", "scope", "shape", "graph"],
 }
+#: What a reader is asked to do with the packages that carry a plan.
+INSTRUCTIONS = {
+    "methodology": "Order the lines of inquiry below into a way to study this application. Reason from the model only, cite the requests (ev_N) behind each claim, and ask questions, never payloads.",
+    "falsify": "Try to rule out each line of inquiry below from the model alone. Say which evidence (ev_N) contradicts it, or which single observation would; rank what is left, and say what was ruled out and why.",
+}
+# Why an area matters, by the kinds of its signals; the first steps of recon, and what each is for.
+WHY = [
+    (["static_only"], "holds paths named in code but never walked"), (["privileged"], "contains privileged-looking endpoints"), (["role_divergence"], "roles diverge here"),
+    (["mixed_auth", "no_auth_state"], "the auth boundary is ambiguous"),
+]
+WHY_ELSE = "a mapped part of the surface to confirm"
+RECON = {
+    "login": ("get an authenticated capture", "no credentialed traffic was seen, so most of the application may be unmapped", "log in, and capture again with a role"),
+    "roles": ("capture each role separately", "comparing roles needs traffic that says who made it", "capture each account with its role"),
+    "static": ("walk the paths found only in code", "endpoint(s) are referenced in scripts but were never called", "request each in an authorised session and observe"),
+    "third": ("account for third-party code", "the application runs code that it does not control", "look at what each third party is sent"),
+    "else": ("confirm the map is complete", "the capture looks well covered; verify that no feature area is missing", "compare the endpoints with what the application's navigation shows"),
+}
+AREA_CAP, QUESTIONS, WATCHED, ROLES = 60, 6, 12, 20
 LENSES = {"attention": "endpoints by how much they ask for attention", "auth": "endpoints with roles or credentials", "all": "endpoints in order of their first request"}
 
 
@@ -131,6 +152,70 @@ def graph_parts(m, cap: int = GRAPH_CAP) -> list[Part]:
     ]
 
 
+def communities_as_areas(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, area): the names of the communities that nodes are in."""
+    groups = settle(reason.communities(nodes, edges), "groups")
+    return groups.join(reason.named_communities(nodes, edges, groups).select("community", "name"), "community").select("id", F.col("name").alias("area"))
+
+
+def lines_of_inquiry(m, areas: DataFrame) -> DataFrame:
+    """(area, leverage, why, endpoints, reached_by, reach, signals, open_questions): areas (id, area) with endpoints or pages that take input, by the weight of their signals."""
+    nodes, edges = m.nodes, m.edges
+    found = rank.signals(nodes).unionByName(rank.input_pages(nodes, edges))
+    members = nodes.filter("type = 'endpoint'").select("id", "label", "roles").unionByName(nodes.join(rank.input_pages(nodes, edges).select("id"), "id", "left_semi").select("id", "label", "roles")).join(areas, "id")
+    members = settle(members, "members")
+    told = rank.plan(found, areas).select("area", "score", "signals")
+    first = members.select("area", "label").distinct().withColumn("k", F.row_number().over(Window.partitionBy("area").orderBy("label"))).filter(F.col("k") <= rank.AREA_ENDPOINTS)
+    rows = first.groupBy("area").agg(F.array_sort(F.collect_list("label")).alias("endpoints"))
+    kinds = found.join(areas, "id").groupBy("area").agg(F.collect_set("kind").alias("kinds"))
+    reasons = F.array_compact(F.array(*[F.when(F.arrays_overlap("kinds", F.array(*map(F.lit, of))), text) for of, text in WHY]))
+    why = F.concat(F.when(F.size(reasons) > 0, F.concat_ws("; ", reasons)).otherwise(WHY_ELSE), F.lit("."))
+    by = members.select("area", F.explode("roles").alias("role")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("area").orderBy("role"))).filter(F.col("k") <= ROLES)
+    by = by.groupBy("area").agg(F.array_sort(F.collect_list("role")).alias("reached_by"))
+    notes = reach.area_reach(nodes, edges, areas).select("area", F.concat(F.lit("from "), "entry", F.lit(" (via "), "via", F.lit(")")).alias("note"))
+    notes = notes.groupBy("area").agg(F.array_sort(F.collect_list("note")).alias("reach"))
+    asked = m.unknowns.select(F.col("entity").alias("id"), F.col("type").alias("kind"), "we_dont_know", "next_step").join(nodes.select("id", "label"), "id").join(areas, "id")
+    asked = asked.groupBy("area", "kind", "label").agg(F.min(F.struct("we_dont_know", "next_step")).alias("q"))
+    asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("area").orderBy("kind", "label"))).filter(F.col("k") <= QUESTIONS)
+    question = F.struct(F.col("k"), F.col("kind").alias("type"), F.col("label").alias("entity"), F.col("q.we_dont_know").alias("unknown"), F.col("q.next_step").alias("to_find_out"))
+    asked = asked.groupBy("area").agg(F.transform(F.array_sort(F.collect_list(question)), lambda x: x.dropFields("k")).alias("open_questions"))
+    for t in (told, kinds, by, notes, asked):
+        rows = rows.join(t, "area", "left")
+    rows = rows.withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    return rows.select("area", F.coalesce("score", F.lit(0)).cast("long").alias("leverage"), why.alias("why"), "endpoints", "reached_by", "reach", "signals", "open_questions")
+
+
+def recon(m) -> DataFrame:
+    """(k, step, why, how): what to establish first, from what the capture does not show."""
+    kinds = {r["type"] for r in m.unknowns.select("type").distinct().collect()}
+    seen = m.nodes.agg(F.count_if((F.col("type") == "endpoint") & (F.col("api_state") == "STATIC_ONLY")).alias("static"), F.count_if(F.col("type") == "third_party").alias("third"), F.count_if(F.col("type") == "role").alias("roles")).first()
+    steps = [name for name, on in (("login", "AUTHENTICATED_STATE_NOT_OBSERVED" in kinds), ("roles", not seen["roles"] or "ROLE_NOT_TAGGED" in kinds), ("static", seen["static"]), ("third", seen["third"])) if on] or ["else"]
+    rows = [(k, RECON[s][0], f"{seen['static']} {RECON[s][1]}" if s == "static" else RECON[s][1], RECON[s][2]) for k, s in enumerate(steps)]
+    return m.nodes.sparkSession.createDataFrame(rows, "k int, step string, why string, how string")
+
+
+def posture(m) -> DataFrame:
+    """One row of counts: how large the application is, and how much of it is open."""
+    end = F.col("type") == "endpoint"
+    pages = rank.input_pages(m.nodes, m.edges).agg(F.count(F.lit(1)).alias("input_pages"))
+    counts = m.nodes.agg(
+        F.count_if(end).alias("endpoints"), F.count_if(end & (F.col("api_state") == "STATIC_ONLY")).alias("static_only"), F.count_if(end & rank.privileged(F.col("path"))).alias("privileged"),
+        F.count_if(end & (F.size("credentials") > 0)).alias("credentialed"), F.count_if(F.col("type") == "third_party").alias("third_parties"),
+    )
+    return counts.crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(m.unknowns.agg(F.count(F.lit(1)).alias("open_questions"))))
+
+
+def plan_parts(m, areas: DataFrame | None = None) -> list[Part]:
+    """An investigation's scaffold: posture, first steps, lines of inquiry by area, and what crosses areas or leaves the application."""
+    areas = settle(communities_as_areas(m.nodes, m.edges) if areas is None else areas, "areas")
+    lines, steps, counts = settle(lines_of_inquiry(m, areas), "lines"), recon(m), posture(m)
+    return [
+        _part("plan.posture", counts, ["endpoints"], [*counts.columns], cap=1),
+        _part("plan.recon", steps, ["k"], ["step", "why", "how"]),
+        _part("plan.lines_of_inquiry", lines, [-F.col("leverage"), "area"], ["area", "leverage", F.col("why").alias("why_it_matters"), *lines.columns[3:]], cap=AREA_CAP),
+    ]
+
+
 def cut(parts: list[Part], node_evidence: DataFrame) -> DataFrame:
     """(seq, section, k, item, cited): the first items of each section, with the ids of the requests that they cite."""
     rows = []
@@ -174,10 +259,11 @@ def evidence(kept: DataFrame, exchanges: DataFrame) -> DataFrame:
     return exchanges.join(ids, "id", "left_semi").select("id", view.alias("item"))
 
 
-def document(m, scope: str = "whole", lens: str = "attention", cap: int = CAP, budget: int | None = None, osint: DataFrame | None = None) -> DataFrame:
+def document(m, scope: str = "whole", lens: str = "attention", cap: int = CAP, budget: int | None = None, osint: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
     """One row (document, token_estimate, n_items, n_cited): the package of a model as JSON, for the whole or one of ``SCOPES``.
 
-    ``budget``: tokens that the items may have together; ``osint``: one row with the trimmed summary (``osint.summary``).
+    ``budget``: tokens that the items may have together; ``osint``: one row with the trimmed summary (``osint.summary``);
+    ``areas``: (id, area) for the plan, communities by default.
     """
     if scope != "whole" and scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}; there are whole, {', '.join(SCOPES)}")
@@ -185,7 +271,8 @@ def document(m, scope: str = "whole", lens: str = "attention", cap: int = CAP, b
         raise ValueError(f"no lens {lens!r}; there are {', '.join(LENSES)}")
     wanted = SCOPES.get(scope)
     listed = lambda name: wanted is None or name in wanted
-    parts = [p for p in context_parts(m, lens, cap) if listed(p.name)] + (graph_parts(m, max(cap, GRAPH_CAP)) if listed("graph") else [])
+    parts = plan_parts(m, areas) if wanted and "plan" in wanted else []
+    parts += [p for p in context_parts(m, lens, cap) if listed(p.name)] + (graph_parts(m, max(cap, GRAPH_CAP)) if listed("graph") else [])
     kept = settle(fitting(cut(parts, m.node_evidence), budget), "kept")
     spark, quoted = kept.sparkSession, lambda c: F.to_json(F.array(c))
 
@@ -201,15 +288,17 @@ def document(m, scope: str = "whole", lens: str = "attention", cap: int = CAP, b
         row = row.crossJoin(F.broadcast(one))
 
     def items(name: str) -> Column:
-        return F.concat(F.lit(f'"{name.removeprefix("graph.")}":['), F.coalesce(F.element_at("sections", F.lit(name)), F.lit("")), F.lit("]"))
+        return F.concat(F.lit(f'"{name.rpartition(".")[2]}":['), F.coalesce(F.element_at("sections", F.lit(name)), F.lit("")), F.lit("]"))
 
     plain = {
         "app": F.concat(F.lit('"app":'), F.expr("substring(j, 2, length(j) - 2)")), "lens": F.lit(f'"lens":"{lens}"'), "scope": F.concat(F.lit('"scope":'), F.to_json(F.array(*map(F.lit, m.scope)).cast("array<string>"))),
         "roles": F.concat(F.lit('"roles":'), F.to_json("roles")), "shape": F.concat(F.lit('"shape":'), F.to_json("shape")),
     }
-    pieces = [c for name, c in plain.items() if listed(name)] + [items(p.name) for p in parts if not p.name.startswith("graph.")]
-    if listed("graph"):
-        pieces.append(F.concat(F.lit('"graph":{'), F.concat_ws(",", *[items(p.name) for p in parts if p.name.startswith("graph.")]), F.lit("}")))
+    pieces = [F.lit(f'"instructions":"{INSTRUCTIONS[scope]}"')] if scope in INSTRUCTIONS else []
+    pieces += [c for name, c in plain.items() if listed(name)] + [items(p.name) for p in parts if "." not in p.name]
+    for group in ("plan", "graph"):
+        if within := [items(p.name) for p in parts if p.name.startswith(f"{group}.")]:
+            pieces.append(F.concat(F.lit(f'"{group}":{{'), F.concat_ws(",", *within), F.lit("}")))
     if osint is not None:
         row = row.crossJoin(F.broadcast(osint.select("summary").limit(1)))
         pieces.append(F.concat(F.lit('"osint":'), F.col("summary")))

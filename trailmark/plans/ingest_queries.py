@@ -110,7 +110,7 @@ def scanned_once(spark, sf):
     return found.select("event_id", refs.alias("refs"), F.size("assets").alias("n_assets"))
 
 
-@query("""SELECT 'run' || c_custkey AS run, c_name AS host, 'n' || c_nationkey AS ns, CASE WHEN c_acctbal > 0 THEN c_acctbal::INT::VARCHAR END AS days, least(25, c_custkey % 30)::INT AS sampled, CASE WHEN c_custkey % 30 <> 0 THEN (c_custkey % 30)::VARCHAR END AS counted,
+@query("""SELECT 'run' || c_custkey AS run, c_name AS host, 'n' || c_nationkey AS ns, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal)::INT::VARCHAR END AS days, least(25, c_custkey % 30)::INT AS sampled, CASE WHEN c_custkey % 30 <> 0 THEN (c_custkey % 30)::VARCHAR END AS counted,
     c_mktsegment AS registrar, CASE WHEN c_custkey % 2 = 0 THEN '443,80' ELSE '' END AS ports, CASE WHEN c_custkey % 3 = 0 THEN 'nginx' ELSE '' END AS technology, c_custkey % 3 = 0 AS has_technology FROM customer""")
 def open_source_summaries(spark, sf):
     """Saved results about hosts, trimmed for a package and read back."""
@@ -119,7 +119,7 @@ def open_source_summaries(spark, sf):
     names = F.transform(F.slice(F.sequence(F.lit(1), F.lit(30)), 1, (key % 30).cast("int")), lambda i: F.concat(F.lit("s"), i.cast("string")))
     report = F.struct(
         F.col("c_name").alias("host"), F.struct(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("NS"), F.array().cast("array<string>").alias("MX")).alias("dns"),
-        F.struct(F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("int")).alias("days_until_expiry")).alias("tls"), F.struct(F.when(key % 30 != 0, (key % 30).cast("int")).alias("count"), names.alias("names")).alias("subdomains"),
+        F.struct(F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("int")).alias("days_until_expiry")).alias("tls"), F.struct(F.when(key % 30 != 0, (key % 30).cast("int")).alias("count"), names.alias("names")).alias("subdomains"),
         F.struct(F.col("c_mktsegment").alias("registrar")).alias("registration"), F.struct(F.when(key % 2 == 0, F.array(F.struct(F.lit(443).alias("port")), F.struct(F.lit(80).alias("port")))).alias("open")).alias("ports"),
         F.when(key % 3 == 0, F.array(F.struct(F.lit("nginx").alias("name"), F.lit("header:server").alias("evidence")))).alias("technology"),
     )

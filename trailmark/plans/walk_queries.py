@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import contributions, drift, package, reach, reason, traverse
 from trailmark.plans import model
-from trailmark.plans.queries import EX
+from trailmark.plans.queries import EX, SIGNALS
 from trailmark.plans.registry import query
 from trailmark.schema import conform
 from trailmark.sources import tables as t
@@ -116,6 +116,25 @@ def package_coverage(spark, sf):
     return told.filter(F.col("section").isin("endpoints", "unknowns", "auth", "routes", "graph.entry_points", "graph.trust_zones"))
 
 
+#: Areas of the events' endpoints with what a plan says of each.
+EPISODES = """area AS (SELECT DISTINCT nid, label, host, CASE WHEN template LIKE '/admin/%' THEN 'admin' ELSE rtrim(event_type, 's') END AS area FROM ep), weights AS (SELECT area, sum(weight) AS leverage, list(DISTINCT kind) AS kinds FROM s JOIN area USING (nid) GROUP BY area),
+  lines AS (SELECT area, any_value(leverage) AS leverage, string_agg(DISTINCT area.label, ',' ORDER BY area.label) AS endpoints, (SELECT coalesce(string_agg(DISTINCT role, ',' ORDER BY role), '') FROM ep WHERE nid IN (SELECT a.nid FROM area a WHERE a.area = area.area) AND role IS NOT NULL) AS reached_by,
+    list_sort(list(DISTINCT host)) AS hosts, coalesce(nullif(array_to_string(list_filter([CASE WHEN list_contains(any_value(kinds), 'privileged') THEN 'contains privileged-looking endpoints' END, CASE WHEN list_contains(any_value(kinds), 'mixed_auth') OR list_contains(any_value(kinds), 'no_auth_state') THEN 'the auth boundary is ambiguous' END], lambda x: x IS NOT NULL), '; '), ''), 'a mapped part of the surface to confirm') || '.' AS why
+    FROM area LEFT JOIN weights USING (area) GROUP BY area)"""
+
+
+@query(f"""WITH {SIGNALS}, {EPISODES} SELECT area, coalesce(leverage, 0)::BIGINT AS leverage, why, endpoints, reached_by, 'from ' || hosts[1] || ' (via traffic)' || CASE WHEN len(hosts) > 1 THEN ',from ' || hosts[2] || ' (via traffic)' ELSE '' END AS reach FROM lines""")
+def package_lines_of_inquiry(spark, sf):
+    """The lines of inquiry of a plan, read back from its JSON."""
+    built = model.build(t.event_exchanges(spark, sf), "events", t.SCOPE, t.PRIMARY)
+    areas = reason.with_area(built.nodes).filter("type IN ('endpoint', 'route')").select("id", "area")
+    row = package.document(built, "plan", areas=areas)
+    view = "array<struct<area: string, leverage: bigint, why_it_matters: string, endpoints: array<string>, reached_by: array<string>, reach: array<string>>>"
+    lines = row.select(F.explode(F.from_json("document", f"plan struct<lines_of_inquiry: {view}>")["plan"]["lines_of_inquiry"]).alias("l"))
+    joined = lambda c: F.coalesce(F.array_join(f"l.{c}", ","), F.lit("")).alias(c)
+    return lines.select("l.area", "l.leverage", F.col("l.why_it_matters").alias("why"), joined("endpoints"), joined("reached_by"), joined("reach"))
+
+
 @query(f"""WITH {EX}, lately AS (SELECT DISTINCT host, label, event_type FROM ep), shown AS (
     SELECT 'appeared' AS change, label, CASE event_type WHEN 'purchase' THEN 'a new privileged-looking endpoint — confirm who may reach it' END AS why, 'admin' AS area FROM lately WHERE event_type = 'purchase'
     UNION ALL SELECT 'gone', label, 'an endpoint no longer seen — retired, renamed, or just not walked this time', 'endpoint' FROM lately WHERE event_type = 'view')
