@@ -246,3 +246,19 @@ def test_masks_of_long_texts_block_by_block(monkeypatch):
     whole = filter_audit.text_mask(text)
     monkeypatch.setattr(filter_audit, "BLOCK", 50)
     assert filter_audit.text_mask(text) == whole
+
+
+def test_signs_are_no_letters():
+    from trailmark.llm import language_id
+
+    assert [language_id.has_letter(t) for t in ("½ ② ٣ _ 12", "a", "½ é", "", "漢", "!!!")] == [False, True, True, False, True, False]
+
+
+def test_examples_of_licences_do_not_depend_on_the_layout(spark):
+    from trailmark.llm import licenses
+
+    rows = [(i, "\n".join(f"line {i} {k}" for k in range(i % 9))) for i in range(60)] + [(None, "x\ny"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    picked = [sorted(licenses.examples(df.repartition(n), "doc_id", "text", 12, 3)) for n in (1, 5)]
+    assert picked[0] == picked[1] and 0 < len(picked[0]) <= 36
+    assert licenses.examples(df.limit(0), "doc_id", "text") == []

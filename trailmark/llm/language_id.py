@@ -34,7 +34,12 @@ ROWS = 16_000
 LEAST = 20
 BUCKETS = 4096
 UNSURE = 0.6
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Signs such as ½ or ① are alphanumeric, but no letters."""
+    return any(m.group().isalpha() for m in _MAYBE.finditer(text))
 
 
 def held_out(id_: Column, of: int = 4, rest: int = 2) -> Column:
@@ -127,7 +132,7 @@ def predict(model):
 
             for i, x in enumerate(texts):
                 text = x.as_py()
-                if langs and text and LETTER.search(text):
+                if langs and text and has_letter(text):
                     at.append(i)
                     held.append(grams(text.encode("utf-8", "replace")))
                     if len(at) == 256:

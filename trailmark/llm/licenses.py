@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 UNKNOWN = "unknown"
 #: Most documents whose paragraphs are used as examples of no licence.
 NEGATIVES = 600
+LINES = 60
 VARIANTS = 60
 LEAST_P = 0.5
 LEAST_ALIKE = 0.6
@@ -258,15 +259,13 @@ def _scan(model):
     return run
 
 
-def examples(df: DataFrame, id_col: str, text_col: str, most: int = NEGATIVES) -> list[bytes]:
-    """Paragraphs of at most ``most`` documents, taken by a hash of the id."""
-    n = df.count()
-    if not n:
-        return []
-    share = min(1.0, most / n)
-    rows = df.filter((F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(share * 1_000_003) + 1) & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
-    lines = rows.limit(most).select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("x"))
-    return [r["x"].encode() for r in lines.toLocalIterator()]
+def examples(df: DataFrame, id_col: str, text_col: str, most: int = NEGATIVES, lines: int = LINES) -> list[bytes]:
+    """Lines of at most ``most`` documents, at most ``lines`` of each: the first by hashes of ids and of lines, so always the same."""
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(most)
+    split = F.filter(F.split("text", "\n"), lambda x: x != "")
+    first = F.slice(F.array_sort(F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, lines)
+    return [r["x"].encode() for r in rows.select(F.explode(first).alias("l")).select("l.x").toLocalIterator()]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = NEGATIVES) -> DataFrame:
