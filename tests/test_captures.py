@@ -52,6 +52,13 @@ def test_hosts(spark):
     assert column(spark, ["shop.test", "api.shop.test", "notshop.test", "SHOP.test:1", None], lambda c: domains.in_scope(c, ["https://*.shop.test/x"])) == [True, True, False, True, False]
 
 
+def test_international_hosts(spark):
+    hosts = {"WWW.Bücher.de": "www.xn--bcher-kva.de", "例え.test": "xn--r8jz45g.test", "shop.TEST": "shop.test", "ü" * 70 + ".de": "ü" * 70 + ".de", "": "", None: None}
+    assert column(spark, list(hosts), domains.ascii_host) == list(hosts.values())
+    assert column(spark, ["a.xn--bcher-kva.de"], lambda c: domains.in_scope(c, ["Bücher.de"])) == [True]
+    assert domains.clean_scope(["https://*.München.de:8443/x"]) == ["xn--mnchen-3ya.de"]
+
+
 @pytest.fixture(scope="module")
 def requests(spark):
     rows = [(1, "GET", "Shop.test", "/a", 200, "user"), (2, "POST", "api.test", "/b_x", 500, None), (3, "GET", "shop.test", "/É", None, "admin")]

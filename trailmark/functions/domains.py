@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A small public suffix list; callers pass their own for more.
 SUFFIXES = ["com", "net", "org", "io", "dev", "test", "example", "uk", "co.uk", "org.uk", "ac.uk", "jp", "co.jp", "*.ck", "!www.ck", "au", "com.au", "de", "fr", "es", "in", "co.in", "github.io", "herokuapp.com"]
 
 
+def ascii_name(host: str) -> str:
+    """A host name with its international labels in their ASCII form (``xn--``); a label that has none stays."""
+    def label(x: str) -> str:
+        try:
+            return x if x.isascii() else x.encode("idna").decode()
+        except UnicodeError:
+            return x
+
+    return host if host.isascii() else ".".join(label(x) for x in host.split("."))
+
+
+@F.pandas_udf(T.StringType())
+def _ascii_names(hosts: pd.Series) -> pd.Series:
+    known = {h: ascii_name(h) for h in hosts.dropna().unique()}
+    return hosts.map(known)
+
+
+def ascii_host(host: Column) -> Column:
+    """``host`` in lower case, its international labels in their ASCII form, which scopes and suffix rules are compared in.
+
+    Only names that are not ASCII are worth this call: it is the one function here that leaves the JVM.
+    """
+    low = F.lower(F.trim(host))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), _ascii_names(low)).otherwise(low)
+
+
 def bare_host(host: Column) -> Column:
     """Lower case, without port or brackets; an IPv6 address keeps its colons."""
     h = F.lower(F.trim(host))
@@ -25,6 +53,7 @@ def suffixes_of(host: Column) -> Column:
 
 def public_suffix(host: Column, rules: list[str] = SUFFIXES) -> Column:
     """The longest rule that fits: ``!`` exceptions first, ``*`` for any one label; the last label if none fits."""
+    rules = [ascii_name(r.lower()) for r in rules]
     plain = [r for r in rules if r[0] not in "*!"]
     wild = [r[2:] for r in rules if r.startswith("*.")]
     barred = [r[1:] for r in rules if r.startswith("!")]
@@ -51,7 +80,7 @@ def clean_scope(scope: list[str]) -> list[str]:
     for s in scope:
         s = s.strip().lower().split("://")[-1].split("/")[0]
         s = s[1:].split("]")[0] if s.startswith("[") else s if s.count(":") > 1 else s.split(":")[0]
-        out.append(s.lstrip("*").lstrip("."))
+        out.append(ascii_name(s.lstrip("*").lstrip(".")))
     return [s for s in out if s]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.functions import http
+from trailmark.functions import domains, http
 from trailmark.operators import content, stack
 from trailmark.plans import model
 from trailmark.plans.registry import query
@@ -128,3 +128,14 @@ def open_source_summaries(spark, sf):
     s = osint.summary(raw).select("run", F.from_json("summary", view).alias("s")).select("run", "s.*")
     joined = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
     return s.select("run", "host", F.col("dns.NS")[0].alias("ns"), F.col("tls.days_until_expiry").alias("days"), F.coalesce(F.size("subdomains_sample"), F.lit(0)).alias("sampled"), F.col("subdomains_count").cast("string").alias("counted"), "registrar", joined("open_ports").alias("ports"), joined("technology").alias("technology"), F.col("technology").isNotNull().alias("has_technology"))
+
+
+@query("""WITH h AS (SELECT s_suppkey, ['xn--bcher-kva', 'xn--mnchen-3ya', 'plain', 'xn--r8jz45g'][s_suppkey % 4 + 1] AS name, ['de', 'xn--p1ai', 'co.uk'][s_suppkey % 3 + 1] AS suffix FROM supplier)
+  SELECT s_suppkey, 'www.' || name || '.' || suffix AS host, name || '.' || suffix AS domain, name = 'xn--bcher-kva' AND suffix = 'de' AS in_scope FROM h""")
+def international_hosts(spark, sf):
+    """Hosts with international labels, in capitals and not, against rules and a scope that are written in letters."""
+    key = F.col("s_suppkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    host = F.concat(F.lit("WWW."), pick(("Bücher", "mÜnchen", "plain", "例え")), F.lit("."), pick(("de", "рф", "co.uk")))
+    rows = t.table(spark, sf, "supplier").select("s_suppkey", domains.ascii_host(host).alias("host"))
+    return rows.select("s_suppkey", "host", domains.registrable_domain(F.col("host"), [*domains.SUFFIXES, "рф"]).alias("domain"), domains.in_scope(F.col("host"), ["https://*.bücher.de/"]).alias("in_scope"))
