@@ -192,6 +192,16 @@ def disallowed(robots: Column) -> Column:
     return F.filter(_all(robots, r"(?im)^disallow:\s*(\S*)", 1), lambda p: p != "")
 
 
+def sitemaps(robots: Column) -> Column:
+    """array<string>: the site maps that a robots.txt names."""
+    return _all(robots, r"(?im)^sitemap:\s*(\S+)", 1)
+
+
+def sitemap_pages(xml: Column) -> Column:
+    """array<string>: the addresses that a site map lists, in order."""
+    return F.transform(_all(xml, r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+
+
 def admitted(links_: DataFrame, scope_host: str, per_template: int = 25, per_path: int = 15, closed: Sequence[str] = ()) -> DataFrame:
     """(seq, host, path, query, reason) for candidate links in order of ``seq``: what a crawl would take, and why not.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import domains, http
-from trailmark.operators import content, stack
+from trailmark.operators import content, extract, stack
 from trailmark.plans import model
 from trailmark.plans.registry import query
 from trailmark.sources import captures, osint
@@ -139,3 +139,13 @@ def international_hosts(spark, sf):
     host = F.concat(F.lit("WWW."), pick(("Bücher", "mÜnchen", "plain", "例え")), F.lit("."), pick(("de", "рф", "co.uk")))
     rows = t.table(spark, sf, "supplier").select("s_suppkey", domains.ascii_host(host).alias("host"))
     return rows.select("s_suppkey", "host", domains.registrable_domain(F.col("host"), [*domains.SUFFIXES, "рф"]).alias("domain"), domains.in_scope(F.col("host"), ["https://*.bücher.de/"]).alias("in_scope"))
+
+
+@query("""SELECT page_id, 'https://shop.test/map' || (page_id % 3) || '.xml' AS sitemap, url AS page, page_id::VARCHAR || '?a=1&b=2' AS last FROM pages""")
+def sitemaps(spark, sf):
+    """Site maps that a robots.txt names, and the pages that they list."""
+    p = t.table(spark, sf, "pages")
+    robots = F.concat(F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://shop.test/map"), (F.col("page_id") % 3).cast("string"), F.lit(".xml\n"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url><url><LOC>\n"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=2 </LOC></url></urlset>"))
+    listed = extract.sitemap_pages(xml)
+    return p.select("page_id", extract.sitemaps(robots)[0].alias("sitemap"), listed[0].alias("page"), listed[1].alias("last"))
