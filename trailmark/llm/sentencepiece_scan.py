@@ -35,6 +35,8 @@ from trailmark.llm.store import Scratch
 GIANT = 32_768
 CHUNK = 8_192
 FAN = 32
+#: Chunks whose vectors (a number for each character of the longest piece) are sent to every task, at most.
+BROADCAST = 100_000
 NEW = [T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
@@ -246,6 +248,11 @@ def _traced(vocabulary):
     return run
 
 
+def _few(chunks: DataFrame, n: int) -> DataFrame:
+    """A row of a vector or less for each of ``n`` chunks, sent to every task if these are few; else it meets the texts in a shuffle."""
+    return F.broadcast(chunks) if n <= BROADCAST else chunks
+
+
 def scan(giants: DataFrame, vocabulary, longest: int, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """From (rid, text) of non-empty texts: rid, n_pieces, score, ids."""
     cut = giants.select("rid", "text").mapInArrow(_cut(chunk, longest), "rid long, k long, own int, text string")
@@ -262,9 +269,11 @@ def scan(giants: DataFrame, vocabulary, longest: int, scratch: Scratch, chunk: i
         below = level.withColumn("block", F.floor(F.col("k") / FAN)).join(forward.withColumnRenamed("k", "block"), ["rid", "block"])
         forward = scratch.save(below.groupBy("rid", "block").applyInPandas(_spread, "rid long, k long, f binary"), "forward")
     total = levels[-1].select("rid", "m").mapInArrow(_totals, "rid long, score double")
-    ready = scratch.save(parts.join(forward, ["rid", "k"]).select("rid", "k", "own", "text", "f"), "ready")
+    n = forward.count()
+    ready = scratch.save(parts.join(_few(forward, n), ["rid", "k"]).select("rid", "k", "own", "text", "f"), "ready")
+    scratch.drop(parts)
     states = ready.mapInArrow(_origins(vocabulary), "rid long, k long, t binary").groupBy("rid").applyInPandas(_states, "rid long, k long, j int")
-    traced = ready.join(states, ["rid", "k"]).select("rid", "k", "own", "text", "f", "j").mapInArrow(_traced(vocabulary), "rid long, k long, ids array<int>")
+    traced = ready.join(_few(states, n), ["rid", "k"]).select("rid", "k", "own", "text", "f", "j").mapInArrow(_traced(vocabulary), "rid long, k long, ids array<int>")
     joined = traced.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))  # one text's ids: one value of the result
     ids = F.flatten(F.col("x.ids"))
     return joined.join(total, "rid").select("rid", F.size(ids).cast("long").alias("n_pieces"), "score", ids.alias("ids"))
