@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trailmark.functions.classify import is_probe
 from trailmark.tables import settle
@@ -18,18 +17,22 @@ STEM, SHAPE, SHARE, STEM_LENGTH = 8, 12, 0.8, 6
 FILE = r"\.[A-Za-z0-9]{1,6}$"
 
 
+def _counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with how many have the same ``keys``: counts are combined in the tasks that read, however many siblings there are."""
+    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+
+
 def _fold_level(paths: DataFrame, d: int) -> DataFrame:
     """(host, base, segs) with segment d (from 0) folded."""
     at = paths.filter(F.size("segs") > d).select("host", F.slice("segs", 1, d).alias("prefix") if d else F.array().cast("array<string>").alias("prefix"), F.col("segs")[d].alias("seg"), F.when(F.size("segs") > d + 1, F.col("segs")[d + 1]).alias("child"))
-    plain = at.filter(~F.col("seg").contains("{") & ~F.col("seg").rlike(FILE)).groupBy("host", "prefix", "seg").agg(F.array_sort(F.collect_set("child")).alias("children"))
-    group = Window.partitionBy("host", "prefix")
-    stem = F.when(F.col("seg").contains("-"), F.regexp_replace("seg", "[^-]*$", ""))
-    marked = plain.withColumn("stem", stem)
-    marked = marked.withColumn("siblings", F.count(F.lit(1)).over(group)).withColumn("stemmed", F.count(F.lit(1)).over(Window.partitionBy("host", "prefix", "stem")))
+    kept = at.filter(~F.col("seg").contains("{") & ~F.col("seg").rlike(FILE)).withColumn("stem", F.when(F.col("seg").contains("-"), F.regexp_replace("seg", "[^-]*$", "")))
+    # A segment's children are told apart by their number and the sum of their hashes: nothing gathers a set of them.
+    each = kept.select("host", "prefix", "seg", "stem", "child").distinct()
+    plain = settle(each.groupBy("host", "prefix", "seg", "stem").agg(F.count("child").alias("n_children"), F.sum(F.when(F.col("child").isNotNull(), F.xxhash64("child").cast("decimal(38,0)"))).alias("children")), "segments")
+    marked = _counted(_counted(plain, ["host", "prefix"], "siblings"), ["host", "prefix", "stem"], "stemmed")
     marked = marked.withColumn("by_stem", F.coalesce((F.col("siblings") >= STEM) & (F.col("stemmed") >= STEM) & (F.length("stem") >= STEM_LENGTH), F.lit(False)))
-    rest = marked.filter(~F.col("by_stem"))
-    rest = rest.withColumn("left", F.count(F.lit(1)).over(group)).filter((F.col("left") >= SHAPE) & (F.size("children") > 0))
-    rest = rest.withColumn("with", F.count(F.lit(1)).over(group)).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("host", "prefix", "children")))
+    rest = _counted(marked.filter(~F.col("by_stem")).drop("siblings", "stemmed", "stem"), ["host", "prefix"], "left").filter((F.col("left") >= SHAPE) & (F.col("n_children") > 0))
+    rest = _counted(_counted(rest, ["host", "prefix"], "with"), ["host", "prefix", "n_children", "children"], "same")
     shaped = rest.filter((F.col("same") >= SHAPE) & (F.col("same") >= SHARE * F.col("with"))).select("host", "prefix", "seg", F.lit("{slug}").alias("to"))
     to = marked.filter("by_stem").select("host", "prefix", "seg", F.concat("stem", F.lit("{slug}")).alias("to")).unionByName(shaped)
     keyed = paths.withColumn("prefix", F.slice("segs", 1, d) if d else F.array().cast("array<string>")).withColumn("seg", F.when(F.size("segs") > d, F.col("segs")[d]))
