@@ -230,3 +230,40 @@ def test_package_of_nothing(spark):
     empty = model.build(conform(spark.createDataFrame([], "id long")), "none")
     doc = parsed(package.document(empty).first())
     assert doc["endpoints"] == [] and doc["evidence"] == {} and doc["coverage"]["endpoints"] == "0/0"
+
+
+def test_labels_of_communities(spark):
+    """Against the same rounds over dictionaries."""
+    kinds = ["route", "script", "endpoint", "endpoint", "third_party", "parameter", "host"]
+    named = [(f"n{i:02}", kinds[i % 7], f"/area{i % 5}/x{i}" if kinds[i % 7] in ("route", "endpoint") else None, f"l{i}") for i in range(42)]
+    linked = [(f"n{i:02}", f"n{(i * k + 3) % 42:02}", "CALLS", "OBSERVED") for i in range(42) for k in (2, 5) if (i * k) % 4]
+    nodes = spark.createDataFrame(named, "id string, type string, path string, label string")
+    edges = spark.createDataFrame(linked, "src string, dst string, type string, state string")
+    near = {n[0]: set() for n in named}
+    for a, b, *_ in linked:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    kind = {n[0]: n[1] for n in named}
+    shell = {i for i in kind if kind[i] in ("route", "script") and len(near[i]) > max(12, 0.2 * len(kind))}
+    held = {i for i in kind if kind[i] in reason.LEAVES + reason.CONNECTORS} | shell
+    area = {r["id"]: r["area"] for r in reason.with_area(nodes).collect()}
+    for a in {v for i, v in area.items() if v and i not in held and kind[i] in ("route", "endpoint")}:
+        hub, *rest = sorted(i for i in kind if area[i] == a and i not in held and kind[i] in ("route", "endpoint"))
+        for i in rest:
+            near[i].add(hub)
+            near[hub].add(i)
+    label = {i: i for i in kind if i not in held}
+
+    def voted(ids):
+        counts = {}
+        for i in ids:
+            if i in label:
+                counts[label[i]] = counts.get(label[i], 0) + 1
+        return min(counts, key=lambda x: (-counts[x], x)) if counts else None
+
+    for _ in range(reason.ROUNDS):
+        label = {i: voted(near[i] | {i}) for i in label}
+    label |= {i: x for i in held if (x := voted(near[i]))}
+    assert {r["id"]: r["community"] for r in reason.communities(nodes, edges).collect()} == label
+    assert 1 < len(set(label.values())) < len(kind)
