@@ -24,8 +24,9 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters that are cut into words at once.
 BLOCK = 6_000_000
-#: Size of what a task keeps of the words it has met (characters, each word counting for ``WORD`` more); longer words are not kept.
-ROOM = 180_000_000
+#: Size of what a task keeps of the words it has met (characters, each word counting for ``WORD`` more): some 600,000 words, which
+#: take 130 MB with their ids and 220 MB with their alignments; longer words are not kept.
+ROOM = 64_000_000
 WORD = 100
 LONG = 200
 #: Words that are encoded in one call.
