@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +177,15 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-def _aligner(models) -> Aligner:
-    return Aligner(segments.byte_tokenizer(models.value[0], False), segments.piece_tokenizer(models.value[1]))
+@lru_cache(1)
+def _aligner(a: str, b: bytes) -> Aligner:
+    """That of this worker, whose tasks follow one another: the words it has met stay at hand."""
+    return Aligner(segments.byte_tokenizer(a, False), segments.piece_tokenizer(b))
 
 
 def _summaries(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(models)
+        aligner = _aligner(*models.value)
         for batch in batches:
             for at, texts in segments.groups(batch.column(1)):
                 figures, digests, pairs, times = zip(*aligner.texts(texts), strict=True)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +68,17 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def _encoder(model: str, end: int | None) -> Encoder:
+    """That of this worker, whose tasks follow one another: the words it has met stay at hand."""
+    return Encoder(segments.byte_tokenizer(model, True), end)
+
+
 def _encode(model, end: int | None, n: int):
     """Documents with their ids, and after a task's documents a row with the counts of all their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = Encoder(segments.byte_tokenizer(model.value, True), end), np.zeros(n, np.int64)
+        encoder, counts = _encoder(model.value, end), np.zeros(n, np.int64)
         names, kind = ["id", "crc", "ids", "counts"], None
         for batch in batches:
             kind = batch.column(0).type
