@@ -8,8 +8,6 @@ import pytest
 from trailmark.llm import pieces, sentencepiece_scan, token_counts
 from trailmark.llm.store import Scratch
 
-spm = pytest.importorskip("sentencepiece")
-
 
 def _varint(n):
     out = b""
@@ -35,7 +33,8 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def library(vocabulary):
-    """The library's own unigram segmentation over our vocabulary."""
+    """The library's own unigram segmentation over our vocabulary; only what compares with it needs it."""
+    spm = pytest.importorskip("sentencepiece")
     old = spm.SentencePieceProcessor(model_file=pieces.MODEL)
     scores = {i: s for s, i in vocabulary.scores.values()}
     out = b""
