@@ -279,3 +279,15 @@ def test_items_are_dealt_out_and_masks_need_no_search_without_their_signs(spark)
     ]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", redact.mask_named(F.col("t")).alias("m")).orderBy("i").collect()
     assert [r["m"] for r in got] == want
+
+
+def test_exchanges_that_add_the_same_are_one_row_and_give_the_same_graph(spark):
+    from trailmark.operators import contributions as c
+    from trailmark.sources import tables
+
+    x = c.classified(conform(tables.event_exchanges(spark, "/root/testdata/sf0.001")), tables.SCOPE, tables.PRIMARY)
+    alike = c.shapes(x.withColumn("body_params", F.slice("body_params", 1, 0)))
+    assert alike.count() < x.count() / 10
+    nodes, edges = c.graph_of(x)
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, c.nodes_from(c.node_contributions(x)).collect()))
+    assert sorted(map(str, edges.collect())) == sorted(map(str, c.edges_from(c.edge_contributions(x)).collect()))

@@ -58,7 +58,8 @@ def build(exchanges: DataFrame, name: str = "app", scope: list[str] | None = Non
     if fold:
         exchanges = fold_siblings(exchanges)
     x = settle(c.classified(exchanges, scope, primary), "exchanges")
-    contributed, linked = settle(c.node_contributions(x), "nodes"), c.edge_contributions(x)
+    alike = settle(c.shapes(x), "shapes")
+    contributed, linked = c.node_contributions(alike), c.edge_contributions(alike)
     first_nodes, first_edges = settle(c.nodes_from(contributed), "nodes"), settle(c.edges_from(linked), "edges")
     nodes, edges = (settle(t, "kept") for t in r.prune(first_nodes, first_edges))
     ref_edges, named = r.linked_references(r.references(x, nodes, scope, primary), nodes, scope, primary)
@@ -67,18 +68,21 @@ def build(exchanges: DataFrame, name: str = "app", scope: list[str] | None = Non
     worker_edges = workers.select("src", "dst", F.lit("SPAWNS").alias("type"), F.lit("INFERRED").alias("state"), "ev")
     live = contributed.join(nodes.select("id"), "id", "left_semi")
     extra = settle(named.unionByName(worker_nodes, allowMissingColumns=True), "extra")
-    marks = extra.select("id", "ev").distinct().join(live.select("id", "ev"), ["id", "ev"], "left_anti").withColumn("once", F.lit(True))
+    named_in = x.join(extra.select(F.col("ev").alias("id")).distinct(), "id", "left_semi")
+    marks = extra.select("id", "ev").distinct().join(c.node_contributions(named_in).select("id", "ev").join(nodes.select("id"), "id", "left_semi"), ["id", "ev"], "left_anti").withColumn("once", F.lit(True))
     extra = extra.withColumn("pos", F.lit(9_999)).unionByName(marks.withColumn("pos", F.lit(10_000)), allowMissingColumns=True)
     everything = live.unionByName(extra.withColumn("main", F.lit(False)), allowMissingColumns=True)
-    live_edges = linked.join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").select("src", "dst", "type", "state", "ev")
-    all_edges = live_edges.unionByName(r.referer_edges(x, nodes, scope)).unionByName(ref_edges.distinct()).unionByName(worker_edges.distinct())
-    all_edges, everything = settle(all_edges, "edges"), settle(everything, "nodes")
-    edges = settle(c.edges_from(all_edges), "edges")
+    live_edges = linked.join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").select("src", "dst", "type", "state", "ev", "times")
+    between = settle(r.referer_edges(x, nodes, scope).unionByName(ref_edges.distinct()).unionByName(worker_edges.distinct()), "edges")
+    # Evidence names every request, not the first of those alike; it is worked out only where it is asked for.
+    node_evidence = c.node_contributions(x).select("id", "ev").join(nodes.select("id"), "id", "left_semi").unionByName(extra.select("id", "ev")).distinct()
+    edge_evidence = c.edge_contributions(x).select("src", "dst", "type", "ev").join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").unionByName(between.select("src", "dst", "type", "ev")).distinct()
+    edges = settle(c.edges_from(live_edges.unionByName(between, allowMissingColumns=True)), "edges")
     nodes = settle(r.reconcile(c.nodes_from(everything), edges), "nodes")
     seen = x.agg(F.coalesce(F.bool_or(F.size("credentials") > 0), F.lit(False)).alias("creds"), F.coalesce(F.bool_or(F.col("role").isNotNull()), F.lit(False)).alias("roles")).first()
     cut = x.filter("scan_truncated and kind = 'script'").select(F.col("node_id").alias("id")).distinct()
     return CaptureModel(
-        name, scope, primary, x, nodes, edges, everything.select("id", "ev").distinct(), all_edges.select("src", "dst", "type", "ev").distinct(),
+        name, scope, primary, x, nodes, edges, node_evidence, edge_evidence,
         r.unknowns(nodes, name, seen["roles"], seen["creds"], skipped, cut, maps), c.secrets(x), stack_table(x), stats(x, nodes),
     )
 

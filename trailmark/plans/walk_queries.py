@@ -142,7 +142,7 @@ def package_lines_of_inquiry(spark, sf):
 def drift_by_area(spark, sf):
     """Two builds: purchases appear in the second, views are no longer seen."""
     rows = conform(t.event_exchanges(spark, sf))
-    builds = [contributions.nodes_from(contributions.node_contributions(contributions.classified(rows.filter(f"path NOT LIKE '{gone}'"), t.SCOPE, t.PRIMARY))) for gone in ("/admin/%", "/api/view/%")]
+    builds = [contributions.graph_of(contributions.classified(rows.filter(f"path NOT LIKE '{gone}'"), t.SCOPE, t.PRIMARY))[0] for gone in ("/admin/%", "/api/view/%")]
     areas = reason.with_area(builds[1]).filter("type IN ('endpoint', 'route') AND area <> ''").select("label", "area")
     return drift.by_area(*builds, areas)
 
