@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import exact_dedup, language_id, licenses, links, lm, mixing, ngram_join, passages, quality, sets, shingles
 from trailmark.llm.shingles import windows, word_hashes
-from trailmark.llm.store import Scratch
+from trailmark.llm.store import SHUFFLES_END, Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(17)
@@ -328,6 +330,27 @@ def test_shared_passages(docs, rows, empty):
     assert len(cut[last].split()) < len(words[last]) and len(cut[last - 1].split()) == len(words[last - 1])
 
 
+def test_passages_keep_only_what_their_result_reads(spark, docs):
+    """The tables that a step before has read are gone."""
+    scratch = Scratch(spark, "test")
+    got = passages.repeated(docs, scratch=scratch)
+    kept = {p.name.split("-", 1)[1] for p in Path(scratch.path.removeprefix("file:")).iterdir()}
+    assert not kept & {"met", "lines", "places", "items", "tiles", "units", "classes", "hits", "ends", "asked"} and {"spans", "more"} <= kept
+    assert got.count()
+
+
+def test_shuffle_files_go_with_the_writing(spark, docs):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(SHUFFLES_END)
+    saved = Scratch(spark, "test").save(docs.groupBy("doc_id").count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and saved.count() and spark.conf.get(SHUFFLES_END) == setting
+
+
 @pytest.mark.parametrize("ends", [0, 4, 9])
 def test_shared_passages_at_every_offset(spark, ends):
     """52 shared words inside longer lines, whatever is around them, are found to their ends."""

@@ -272,6 +272,7 @@ def extended(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     """Islands of hits, extended word by word: id, t, removed, start, end, keep_id.
 
     A removed one goes on as far as a document with a smaller id does, a kept one as far as any other document.
+    ``hits`` is a saved table, which is deleted once it is read, as are all tables that the result does not read.
     """
     spans = islands(hits).groupBy(*SPAN).agg(
         F.min(F.struct("start", "end", "c")).alias("first"), F.max(F.struct("end", "start", "c")).alias("last"), F.min("keep_id").alias("keep_id")
@@ -285,10 +286,14 @@ def extended(rows: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = wanted.groupBy("id", "t").agg(F.collect_set(F.struct("side", "start", "end", "c")).alias("wanted"))
     found = rows.join(wanted.hint("shuffle_hash"), ["id", "t"]).select("id", "t", "text", "wanted")
     ends = scratch.save(found.mapInArrow(_ends, ENDS.format(dict(rows.dtypes)["id"])), "ends")
+    scratch.drop(hits)
     shared = ends.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     asked = edges.join(ends, ["id", "t", "side", "start", "end", "c"]).select(*SPAN, "side", F.posexplode("keys").alias("j", "key"))
-    more = links.spread_join(scratch.save(asked, "asked"), shared, "key").filter("if(removed, lo < id, lo = id)").groupBy(*SPAN)
-    more = more.agg(*[F.max(F.when(F.col("side") == side, F.col("j") + 1)).alias(name) for side, name in ((-1, "left"), (1, "right"))])
+    asked = scratch.save(asked, "asked")
+    more = links.spread_join(asked, shared, "key").filter("if(removed, lo < id, lo = id)").groupBy(*SPAN)
+    more = scratch.save(more.agg(*[F.max(F.when(F.col("side") == side, F.col("j") + 1)).alias(name) for side, name in ((-1, "left"), (1, "right"))]), "more")
+    scratch.drop(ends)
+    scratch.drop(asked)
     start, end = F.col("first.start") - F.coalesce("left", F.lit(0)), F.col("last.end") + F.coalesce("right", F.lit(0))
     return spans.join(more, SPAN, "left").select("id", "t", "removed", start.alias("start"), end.alias("end"), "keep_id")
 
@@ -300,8 +305,13 @@ def line_links(rows: DataFrame, banded_: DataFrame, scratch: Scratch) -> tuple[D
     found = rows.join(sources.hint("shuffle_hash"), ["id", "t"]).select("id", "t", "text", "wanted")
     lines = scratch.save(found.mapInArrow(_lines, LINES.format(dict(rows.dtypes)["id"])), "lines")
     items = scratch.save(lines.select(*[f.split()[0] for f in ITEM.split(", ")]).dropDuplicates(["c"]), "items")
-    labels = links.groups(scratch.save(banded_.select("key", "c", "low").distinct(), "tiles"), items, THRESHOLD, scratch)
-    return labels.select(F.col("node").alias("c"), "label"), lines.select("c", "id", "t", "start", "size")
+    places = scratch.save(lines.select("c", "id", "t", "start", "size"), "places")
+    scratch.drop(lines)
+    tiles = scratch.save(banded_.select("key", "c", "low").distinct(), "tiles")
+    labels = links.groups(tiles, items, THRESHOLD, scratch)
+    scratch.drop(items)
+    scratch.drop(tiles)
+    return labels.select(F.col("node").alias("c"), "label"), places
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_SPAN, scratch: Scratch | None = None) -> DataFrame:
@@ -319,12 +329,16 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # Linked lines that only one document has.
     alone = lines.join(labels.select("c"), "c", "left_semi").join(units.select("c").distinct(), "c", "left_anti").distinct().withColumn("lo", F.col("id"))
     units = scratch.save(units.unionByName(alone), "units")
+    scratch.drop(met)
+    scratch.drop(lines)
     classes = units.groupBy("c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "lo", "hi")
     classes = scratch.save(classes, "classes")
     whole = classes.groupBy("label").agg(F.min("lo").alias("keep_id"), F.max("hi").alias("hi")).filter("keep_id < hi").select("label", "keep_id")
     again = links.spread_join(classes, whole, "label").select("c", "keep_id")
     hits = links.spread_join(units, again, "c").select("id", "t", "start", (F.col("start") + F.col("size")).alias("end"), "c", (F.col("id") != F.col("keep_id")).alias("removed"), "keep_id")
     hits = scratch.save(hits, "hits")
+    scratch.drop(units)
+    scratch.drop(classes)
     # Extended spans may reach each other.
     joined = islands(extended(rows, hits, scratch)).groupBy(*SPAN).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keep_id").alias("keep_id"))
     chains = islands(joined, GAP, "chain")
