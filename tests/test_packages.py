@@ -267,3 +267,28 @@ def test_labels_of_communities(spark):
     label |= {i: x for i in held if (x := voted(near[i]))}
     assert {r["id"]: r["community"] for r in reason.communities(nodes, edges).collect()} == label
     assert 1 < len(set(label.values())) < len(kind)
+
+
+def test_reach_carries_no_trails_through_its_fronts(spark, monkeypatch):
+    """Fronts have a fixed width however long the walk; trails of four hops are the smallest of the shortest, against all walks."""
+    kinds = {"h": "host", "p": "route", "q": "route"} | dict.fromkeys(("a1", "a2", "b1", "b2", "c1", "c2"), "script") | {"e1": "endpoint", "e2": "endpoint"}
+    nodes = spark.createDataFrame([(i, k, f"label {i}") for i, k in kinds.items()], "id string, type string, label string")
+    rows = [("h", "a1", "SERVES"), ("h", "a2", "LOADS"), ("p", "b1", "LOADS"), ("q", "a1", "LOADS"), ("a1", "b1", "CALLS"), ("a1", "b2", "LOADS"), ("a2", "b1", "LOADS"), ("a2", "b2", "CALLS"), ("b1", "c1", "SPAWNS")]
+    rows += [("b1", "c2", "LOADS"), ("b2", "c1", "CALLS"), ("b2", "c2", "SPAWNS"), ("c1", "e1", "CALLS"), ("c2", "e1", "REFERENCES"), ("c2", "e2", "CALLS"), ("c1", "a1", "LOADS"), ("b1", "a2", "LOADS")]
+    edges = spark.createDataFrame([(*r, "OBSERVED") for r in rows], "src string, dst string, type string, state string")
+    written, settle = [], reach.settle
+    monkeypatch.setattr(reach, "settle", lambda df, name: written.append((name, df.columns)) or settle(df, name))
+    got = {(r["start"], r["entry"]): (r["hops"], [tuple(h) for h in r["trail"]]) for r in reach.reach(nodes, edges, nodes.filter("type = 'endpoint'").select("id")).collect()}
+    want = {}
+    for start in ("e1", "e2"):
+        walks, seen = [(start, [])], {start}
+        while walks:
+            back = sorted(([(s, k, "OBSERVED", d), *trail] for at, trail in walks for s, d, k in rows if d == at and s not in seen))
+            best = {}
+            for trail in back:
+                best.setdefault(trail[0][0], trail)
+            seen |= set(best)
+            want |= {(start, s): (len(t), t) for s, t in best.items() if kinds[s] in reach.ENTRY_TYPES}
+            walks = [(s, t) for s, t in best.items() if kinds[s] not in reach.ENTRY_TYPES]
+    assert got == want and max(h for h, _ in got.values()) == 4
+    assert [c for n, c in written if n == "front"] and all("trail" not in c for n, c in written if n == "front")

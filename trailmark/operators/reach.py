@@ -58,30 +58,39 @@ def _union(fronts: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-_HOP = "array<struct<src: string, type: string, state: string, dst: string>>"
-
-
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int = ENTRIES) -> DataFrame:
     """(start, entry, label, hops, trail): how each of ``starts`` (id) is reached, at most ``most`` entries by their labels.
 
     The walk goes backwards along flow edges and ends at hosts and pages; an entry's trail is a shortest one, of several
     the smallest, as an array of (src, type, state, dst) from the entry on.  A start that is an entry itself has no rows.
+    Fronts hold the next hop only, since a node has one row for a start; trails are put together for the entries that are returned.
     """
     steps = settle(_steps(nodes, edges), "steps")
-    entries = nodes.filter(F.col("type").isin(ENTRY_TYPES)).select(F.col("id").alias("at"), "label")
+    entries = settle(nodes.filter(F.col("type").isin(ENTRY_TYPES)).select(F.col("id").alias("at"), "label"), "entries")
     first = starts.select(F.col("id").alias("at")).distinct().join(nodes.select(F.col("id").alias("at")), "at", "left_semi").join(entries, "at", "left_anti")
-    front = settle(first.select(F.col("at").alias("start"), "at", F.array().cast(_HOP).alias("trail")), "front")
+    front = settle(first.select(F.col("at").alias("start"), "at"), "front")
 
     def grow(front: DataFrame) -> DataFrame:
-        back = front.join(steps, front["at"] == steps["dst"])
-        return back.select("start", F.col("src").alias("at"), F.concat(F.array(F.struct("src", "type", "state", "dst")), "trail").alias("trail"))
+        return front.join(steps, front["at"] == steps["dst"]).select("start", F.col("src").alias("at"), "type", "state", F.col("dst").alias("next"))
 
-    fronts = _spread(front, grow, F.col("trail"), lambda new, _: new.join(entries, "at", "left_anti").select("start", "at", "trail"))
+    def goes_on(new: DataFrame, _: int) -> DataFrame | None:
+        more = new.join(entries, "at", "left_anti").select("start", "at")
+        return None if more.isEmpty() else more
+
+    # Of one length, trails differ first in the hop they begin with, or not at all.
+    fronts = _spread(front, grow, F.struct("type", "state", "next"), goes_on)
     found = _union(fronts)
     if found is None:
-        found = front.withColumn("hops", F.lit(0)).limit(0)
+        found = grow(front).withColumn("hops", F.lit(0)).limit(0)
     ranked = found.join(entries, "at").withColumn("k", F.row_number().over(Window.partitionBy("start").orderBy("label", "at")))
-    return ranked.filter(F.col("k") <= most).select("start", F.col("at").alias("entry"), "label", "hops", "trail")
+    hop = F.array(F.struct(F.col("at").alias("src"), "type", "state", F.col("next").alias("dst")))
+    out = ranked.filter(F.col("k") <= most).select("start", F.col("at").alias("entry"), "label", "hops", F.col("next").alias("at"), hop.alias("trail"))
+    for before in fronts[-2::-1]:
+        step = before.select("start", "at", "next", hop.alias("hop"))
+        out = settle(out, "trails").join(step, ["start", "at"], "left").select(
+            "start", "entry", "label", "hops", F.coalesce("next", "at").alias("at"), F.when(F.col("hop").isNull(), F.col("trail")).otherwise(F.concat("trail", "hop")).alias("trail")
+        )
+    return out.select("start", "entry", "label", "hops", "trail")
 
 
 def area_reach(nodes: DataFrame, edges: DataFrame, areas: DataFrame) -> DataFrame:
