@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.test_captures import column
 from trailmark.functions import http
 from trailmark.operators import extract, package, reach, reason, stack
-from trailmark.plans import model
+from trailmark.plans import ingest_queries, model
 from trailmark.schema import conform
 
 
@@ -292,3 +292,8 @@ def test_reach_carries_no_trails_through_its_fronts(spark, monkeypatch):
             walks = [(s, t) for s, t in best.items() if kinds[s] not in reach.ENTRY_TYPES]
     assert got == want and max(h for h, _ in got.values()) == 4
     assert [c for n, c in written if n == "front"] and all("trail" not in c for n, c in written if n == "front")
+
+
+def test_json_parameters_work_in_many_tasks(spark):
+    """One small file is not one task."""
+    assert ingest_queries.json_parameters(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
