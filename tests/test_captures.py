@@ -291,3 +291,47 @@ def test_exchanges_that_add_the_same_are_one_row_and_give_the_same_graph(spark):
     nodes, edges = c.graph_of(x)
     assert sorted(map(str, nodes.collect())) == sorted(map(str, c.nodes_from(c.node_contributions(x)).collect()))
     assert sorted(map(str, edges.collect())) == sorted(map(str, c.edges_from(c.edge_contributions(x)).collect()))
+
+
+def test_paths_of_plain_segments_and_numbers_are_templated_as_a_whole(spark):
+    from trailmark.functions.template import template_path
+
+    paths = ["/api/click/3", "3", "", "/", "//a//7/", "/static/app.min.js?v=3", "/a1/22/b-c/33", "/x/12#y/3", "/3;v=4/5", "/" + "a" * 20 + "/6", "/..//.8/9", "/8\n", None]
+    want = ["/api/click/{id}", "{id}", "/", "/", "//a//{id}/", "/static/app.min.js", "/a1/{id}/b-c/{id}", "/x/{id}", "/{id};v={value}/{id}", "/" + "a" * 20 + "/{id}", "/..//.8/{id}", "/{id}", None]
+    got = spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", template_path(F.col("p")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == want
+
+
+def test_rows_that_have_the_same_are_worked_out_once(spark):
+    from trailmark.operators import content
+
+    rows = [(1, None, "a", ["x", "y"], ["z"]), (2, "a", None, ["x", "y"], ["z"]), (3, "a", None, ["x"], ["y", "z"]), (4, "a", None, None, ["y", "z"]), (5, None, None, None, None), (6, "a", None, ["x"], ["y", "z"])]
+    df = spark.createDataFrame(rows, "id int, s string, t string, v array<string>, w array<string>")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(*values):
+        asked.add(1)
+        return str(values)
+
+    found = content.found_once(df, ["s", "t", "v", "w"], {"told": told("s", "t", "v", "w")}).orderBy("id").collect()
+    assert [r["told"] for r in found] == [str(tuple(r[1:])) for r in rows]
+    assert asked.value == 5
+
+
+def test_exchanges_of_some_columns_are_those_of_the_whole(spark):
+    from trailmark.operators import stack
+    from trailmark.sources import captures, tables
+
+    assert stack._signs(r"data-v-[0-9a-f]{8}|vue(?:\.runtime)?\.js|__vue__") == ["data-v-", "vue", "__vue__"] and stack._signs(r"a?b|cd") == [] and stack._signs(".") == []
+    items = tables.event_items(spark, "/root/testdata/sf0.001").filter("item < 60")
+    whole = {r["id"]: r for r in captures.exchanges(items, "user", b"key").collect()}
+    some = captures.exchanges(items, "user", b"key", ["id", "mime", "stack", "js_refs", "js_assets", "resp.body"]).collect()
+    assert len(some) == len(whole) == 60
+    for r in some:
+        w = whole[r["id"]]
+        assert all(r[c] == w[c] for c in ("mime", "stack", "js_refs", "js_assets")) and r["resp"]["body"] == w["resp"]["body"]
+        assert r["resp"]["line"] is None and w["resp"]["line"] and r["req"] is None and not r["secrets"] and r["path"] is None
+    told = sorted((s["category"], s["name"], s["how"], s["version"]) for w in whole.values() for s in w["stack"])
+    found = captures.technologies(items).collect()
+    assert sorted(t for r in found for t in [(r["category"], r["name"], r["how"], r["version"])] * r["times"]) == told
