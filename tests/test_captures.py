@@ -335,3 +335,18 @@ def test_exchanges_of_some_columns_are_those_of_the_whole(spark):
     told = sorted((s["category"], s["name"], s["how"], s["version"]) for w in whole.values() for s in w["stack"])
     found = captures.technologies(items).collect()
     assert sorted(t for r in found for t in [(r["category"], r["name"], r["how"], r["version"])] * r["times"]) == told
+
+
+def test_history_has_every_node_and_edge(spark, tmp_path):
+    from trailmark.plans.queries import history
+
+    at = "timestamp '2024-01-%02d 00:00:00'"
+    events = [(1, at % 2, 1, "click", '{"k": 5}'), (2, at % 20, 2, "click", '{"k": 6}'), (3, at % 21, 1, "error", "{}")]
+    spark.sql(" UNION ALL ".join(f"SELECT bigint({i}) AS event_id, {ts} AS ts, bigint({u}) AS user_id, '{e}' AS event_type, 1.0D AS value, '{p}' AS props" for i, ts, u, e, p in events)).write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r["kind"], r["key"]): (r["first_build"], r["last_build"]) for r in history(spark, str(tmp_path)).collect()}
+    a, b, e = "endpoint:GET:h1.shop.test:/api/click/{id}", "endpoint:GET:h0.shop.test:/api/click/{id}", "endpoint:GET:h1.shop.test:/api/error/{id}"
+    nodes = {a: (1, 1), b: (2, 2), e: (2, 2), "host:h1.shop.test": (1, 2), "host:h0.shop.test": (2, 2), "role:user": (1, 2), "role:admin": (2, 2), "auth:cookie:sid": (1, 2), "auth:bearer": (2, 2), f"param:{a}:5": (1, 1), f"param:{b}:6": (2, 2)}
+    assert {k: v for (kind, k), v in found.items() if kind == "node"} == nodes
+    edges = {f"host:h1.shop.test|EXPOSES|{a}", f"role:user|REACHED|{a}", f"{a}|SENT_CREDENTIAL|auth:cookie:sid", f"{a}|USES_PARAMETER|param:{a}:5"}
+    assert {k for (kind, k), v in found.items() if kind == "edge" and v == (1, 1)} == edges
+    assert sum(kind == "edge" for kind, _ in found) == 4 + 5 + 3
