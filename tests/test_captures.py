@@ -350,3 +350,20 @@ def test_history_has_every_node_and_edge(spark, tmp_path):
     edges = {f"host:h1.shop.test|EXPOSES|{a}", f"role:user|REACHED|{a}", f"{a}|SENT_CREDENTIAL|auth:cookie:sid", f"{a}|USES_PARAMETER|param:{a}:5"}
     assert {k for (kind, k), v in found.items() if kind == "edge" and v == (1, 1)} == edges
     assert sum(kind == "edge" for kind, _ in found) == 4 + 5 + 3
+
+
+def test_references_of_exchanges_that_are_alike_are_followed_once(spark):
+    from trailmark.operators import contributions as c
+    from trailmark.plans import model
+    from trailmark.sources import captures, tables
+
+    items = tables.event_items(spark, "/root/testdata/sf0.001").filter("item % 5 = 2 and item < 200")
+    x = captures.exchanges(items, "user", b"key", captures.GRAPH).localCheckpoint()
+    built = model.build(x, "events", tables.SCOPE, tables.PRIMARY)
+    alike = c.shapes(c.classified(x, tables.SCOPE, tables.PRIMARY), links=True)
+    assert x.count() == 40 and alike.count() < 40 and alike.agg(F.sum("times")).first()[0] == 40
+    spawns = {(r["src"], r["dst"]): r["n_evidence"] for r in built.edges.filter("type = 'SPAWNS'").collect()}
+    shown = {(r["src"], r["dst"]): r["n"] for r in built.edge_evidence.filter("type = 'SPAWNS'").groupBy("src", "dst").agg(F.countDistinct("ev").alias("n")).collect()}
+    assert spawns == shown and sum(n for (_, dst), n in spawns.items() if dst.endswith("/sw.js")) == 40
+    counted = {r["id"]: r["n"] for r in built.node_evidence.groupBy("id").agg(F.countDistinct("ev").alias("n")).collect()}
+    assert {r["id"]: r["n_evidence"] for r in built.nodes.collect()} == counted

@@ -58,28 +58,27 @@ def build(exchanges: DataFrame, name: str = "app", scope: list[str] | None = Non
     if fold:
         exchanges = fold_siblings(exchanges)
     x = settle(c.classified(exchanges, scope, primary), "exchanges")
-    alike = settle(c.shapes(x), "shapes")
+    alike = settle(c.shapes(x, links=True), "shapes")
     contributed, linked = c.node_contributions(alike), c.edge_contributions(alike)
     first_nodes, first_edges = settle(c.nodes_from(contributed), "nodes"), settle(c.edges_from(linked), "edges")
     nodes, edges = (settle(t, "kept") for t in r.prune(first_nodes, first_edges))
-    ref_edges, named = r.linked_references(r.references(x, nodes, scope, primary), nodes, scope, primary)
-    workers, maps = r.worker_links(x, scope)
-    worker_nodes = workers.select(F.col("dst").alias("id"), F.lit("script").alias("type"), F.lit(3).alias("layer"), F.element_at(F.split("dst", "/"), -1).alias("label"), "ev")
-    worker_edges = workers.select("src", "dst", F.lit("SPAWNS").alias("type"), F.lit("INFERRED").alias("state"), "ev")
+    extra, between = _linked(alike, nodes, scope, primary)
+    extra, times = settle(extra, "extra"), alike.select(F.col("id").alias("ev"), "times")
     live = contributed.join(nodes.select("id"), "id", "left_semi")
-    extra = settle(named.unionByName(worker_nodes, allowMissingColumns=True), "extra")
-    named_in = x.join(extra.select(F.col("ev").alias("id")).distinct(), "id", "left_semi")
-    marks = extra.select("id", "ev").distinct().join(c.node_contributions(named_in).select("id", "ev").join(nodes.select("id"), "id", "left_semi"), ["id", "ev"], "left_anti").withColumn("once", F.lit(True))
+    named_in = alike.join(extra.select(F.col("ev").alias("id")).distinct(), "id", "left_semi")
+    marks = extra.select("id", "ev").distinct().join(c.node_contributions(named_in).select("id", "ev").join(nodes.select("id"), "id", "left_semi"), ["id", "ev"], "left_anti").join(times, "ev").withColumn("once", F.lit(True))
     extra = extra.withColumn("pos", F.lit(9_999)).unionByName(marks.withColumn("pos", F.lit(10_000)), allowMissingColumns=True)
     everything = live.unionByName(extra.withColumn("main", F.lit(False)), allowMissingColumns=True)
     live_edges = linked.join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").select("src", "dst", "type", "state", "ev", "times")
-    between = settle(r.referer_edges(x, nodes, scope).unionByName(ref_edges.distinct()).unionByName(worker_edges.distinct()), "edges")
+    between = settle(between.join(times, "ev"), "edges")
     # Evidence names every request, not the first of those alike; it is worked out only where it is asked for.
-    node_evidence = c.node_contributions(x).select("id", "ev").join(nodes.select("id"), "id", "left_semi").unionByName(extra.select("id", "ev")).distinct()
-    edge_evidence = c.edge_contributions(x).select("src", "dst", "type", "ev").join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").unionByName(between.select("src", "dst", "type", "ev")).distinct()
-    edges = settle(c.edges_from(live_edges.unionByName(between, allowMissingColumns=True)), "edges")
+    each_extra, each_between = _linked(x, nodes, scope, primary)
+    node_evidence = c.node_contributions(x).select("id", "ev").join(nodes.select("id"), "id", "left_semi").unionByName(each_extra.select("id", "ev")).distinct()
+    edge_evidence = c.edge_contributions(x).select("src", "dst", "type", "ev").join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").unionByName(each_between.select("src", "dst", "type", "ev")).distinct()
+    edges = settle(c.edges_from(live_edges.unionByName(between)), "edges")
     nodes = settle(r.reconcile(c.nodes_from(everything), edges), "nodes")
     seen = x.agg(F.coalesce(F.bool_or(F.size("credentials") > 0), F.lit(False)).alias("creds"), F.coalesce(F.bool_or(F.col("role").isNotNull()), F.lit(False)).alias("roles")).first()
+    _, maps = r.worker_links(alike, scope)
     cut = x.filter("scan_truncated and kind = 'script'").select(F.col("node_id").alias("id")).distinct()
     return CaptureModel(
         name, scope, primary, x, nodes, edges, node_evidence, edge_evidence,
@@ -87,6 +86,16 @@ def build(exchanges: DataFrame, name: str = "app", scope: list[str] | None = Non
     )
 
 
+def _linked(x: DataFrame, nodes: DataFrame, scope: list[str], primary: str | None) -> tuple[DataFrame, DataFrame]:
+    """(contributions of nodes that only code names, edge contributions) of references, workers and referers of classified exchanges."""
+    ref_edges, named = r.linked_references(r.references(x, nodes, scope, primary), nodes, scope, primary)
+    workers, _ = r.worker_links(x, scope)
+    worker_nodes = workers.select(F.col("dst").alias("id"), F.lit("script").alias("type"), F.lit(3).alias("layer"), F.element_at(F.split("dst", "/"), -1).alias("label"), "ev")
+    worker_edges = workers.select("src", "dst", F.lit("SPAWNS").alias("type"), F.lit("INFERRED").alias("state"), "ev")
+    between = r.referer_edges(x, nodes, scope).unionByName(ref_edges.distinct()).unionByName(worker_edges.distinct())
+    return named.unionByName(worker_nodes, allowMissingColumns=True), between
+
+
 def stack_table(x: DataFrame) -> DataFrame:
     """Technologies by category and name, with the first ten requests that showed them."""
     rows = x.filter(~F.col("probe") & F.col("first_party")).select(F.col("id").alias("ev"), F.explode("stack").alias("s")).select("ev", "s.*")
